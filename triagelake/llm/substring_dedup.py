@@ -26,7 +26,7 @@ WINDOW, GRAM = 50, 20
 SEGMENT_BITS = 20
 #: Cells in each of the two rows at most: 2 * 128 MB of bitmaps.
 MAX_CELLS = 1 << 30
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def _smallest(grams: np.ndarray, width: int) -> np.ndarray:
