@@ -12,6 +12,7 @@ input) is packed by best fit.
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 
 import numpy as np
@@ -29,23 +30,26 @@ CAPACITY, UNCUT, PADDING = 1024, 64, 0.02
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Encoded words held by a worker at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+#: Byte-level vocabularies spell each byte as one character: printable ones as themselves, the rest from U+0100 on.
+_PRINTABLE = frozenset([*range(33, 127), *range(161, 173), *range(174, 256)])
+_SPELLED = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 
 
 class Encoder(dict):
-    """Ids (as little-endian 32-bit words) of pre-tokens, encoded by the tokenizers library once each."""
+    """Ids (as little-endian 32-bit words) of pre-tokens; the model of the tokenizers library merges each one once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.merge = Tokenizer.from_file(path).model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        out = self[word] = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        pieces = self.merge(word.encode().decode("latin-1").translate(_SPELLED))
+        out = self[word] = struct.pack(f"<{len(pieces)}I", *[x.id for x in pieces])
         return out
 
     def ids(self, text: str) -> bytes:
