@@ -221,9 +221,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = stars.join(root("class"), "class", "left").join(root("center"), "center", "left")
     at = at.select("key", "center", "class", F.coalesce("root_class", "class").alias("root"), F.coalesce("root_center", "center").alias("root_center"))
     at = written(at, "buckets")
-    split = at.groupBy("key").agg(F.max(F.col("root") != F.col("root_center")).alias("split"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("root_center").alias("center_root")).where("split")
-    open_rows = at.join(split.select("key"), "key")
-    members = open_rows.select("key", "class", "root").unionByName(open_rows.select("key", F.col("center").alias("class"), F.col("root_center").alias("root")).distinct())
+    split = at.groupBy("key").agg(F.max(F.col("root") != F.col("root_center")).alias("split")).where("split").select("key")
+    open_rows = at.join(split, "key")
+    ends = F.array(F.struct("class", "root"), F.struct(F.col("center").alias("class"), F.col("root_center").alias("root")))
+    members = open_rows.select("key", F.explode(ends).alias("end")).select("key", "end.class", "end.root").distinct()
     by = [members.select("key", F.col("class").alias(s), F.col("root").alias(f"root_{s}")) for s in ("a", "b")]
     across = by[0].join(by[1], "key").where("root_a < root_b").select("a", "b").distinct()
     more = written(_verified(across, sets, percent), "verified")
