@@ -13,10 +13,10 @@ signatures that a sample of documents found frequent last: a passage that many d
 candidate by itself. (The sample changes cost alone.) If a set has d parts or fewer that are not empty, its
 single tokens join as parts of their own, which is exact too.
 
-Candidates are linked to the first set of their bucket (not to each other), checked by the Hamming distance
-of 1,024-bit sketches and then by exact intersection. Once components are known, pairs of a bucket that lie
-in different components are checked as well, so no link between components is lost, and pairs inside one
-need no check.
+A set is first linked with the set that comes first in most of its buckets; a pair is checked by size and by
+the Hamming distance of 1,024-bit sketches and then by exact intersection. Once components are known, all
+pairs of a bucket that lie in different components are checked in the same way, so no link between
+components is lost, and pairs inside one need no check.
 
 Equal sets are one class, named by a 64-bit hash of its tokens; shingles are compared by 64-bit hashes.
 """
@@ -34,7 +34,7 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 SKETCH_BITS = 1024
 #: Signatures that come last in the join's order: at most so many, found in the documents whose id hashes to 0 modulo SAMPLE.
-FREQUENT, SAMPLE, OFTEN = 200_000, 16, 4
+FREQUENT, SAMPLE, OFTEN = 400_000, 8, 3
 _BATCH_TOKENS = 1_000_000
 
 
@@ -178,18 +178,27 @@ def _sets(width: int):
     return sets
 
 
+def _light(sets: DataFrame, side: str) -> DataFrame:
+    """class as `side`, its size and the words of its sketch."""
+    words = [F.col("sketch")[k].alias(f"{side}_{k}") for k in range(SKETCH_BITS // 64)]
+    return sets.select(F.col("class").alias(side), F.size("tokens").alias(f"n_{side}"), *words)
+
+
+def _may_be_similar(percent: int) -> F.Column:
+    """For rows with _light of a and b: sizes and Hamming distance allow the similarity."""
+    apart = F.lit(0)
+    for k in range(SKETCH_BITS // 64):
+        apart = apart + F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}")))
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return sizes & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: first by sketches, then, for those left, by the sets."""
-    light = sets.select("class", "sketch", F.size("tokens").alias("n"))
-    for side in ("a", "b"):
-        pairs = pairs.join(light.select(F.col("class").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("n").alias(f"n_{side}")), side)
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    total = F.col("n_a") + F.col("n_b")
-    near = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(apart * (100 + percent) <= (100 - percent) * total).select("a", "b")
+    """The pairs (a, b) whose sets are similar."""
     for side in ("a", "b"):
-        near = near.join(sets.select(F.col("class").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("class").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return near.where(shared * 100 >= percent * (F.size("tokens_a") + F.size("tokens_b") - shared)).select("a", "b")
+    return pairs.where(shared * 100 >= (F.size("tokens_a") + F.size("tokens_b") - shared) * percent).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -205,8 +214,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = rows.where("doc_id IS NOT NULL")
     sample = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     common = sample.mapInArrow(_emit(shingle, percent, None), "key long, class long").groupBy("key").count().where(F.col("count") >= OFTEN)
-    common = [r["key"] for r in common.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()]
-    frequent = spark.sparkContext.broadcast(np.sort(np.asarray(common, np.int64).view(np.uint64)))
+    common = common.orderBy(F.desc("count"), "key").limit(FREQUENT).select("key").toArrow()["key"].to_numpy()
+    frequent = spark.sparkContext.broadcast(np.sort(common.astype(np.int64).view(np.uint64)))
     keys = named.select("text").mapInArrow(_emit(shingle, percent, frequent), "key long, class long")
     stars = written(keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_stars, "key long, center long, class long"), "stars")
     profile = written(rows.mapInArrow(_profile(shingle), "doc_id long, n_shingles long, class long"), "profiles")
@@ -214,8 +223,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = stars.select(F.explode(F.array("center", "class")).alias("class")).distinct()
     ids = bounded(written(classes.join(asked, "class").select(F.col("first_id").alias("doc_id")), "candidates"))
     sets = written(named.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(shingle), "class long, sketch array<long>, tokens array<long>").dropDuplicates(["class"]), "sets")
-    first = stars.groupBy("class").agg(F.min("center").alias("center"))
-    links = written(_verified(first.select(F.col("center").alias("a"), F.col("class").alias("b")), sets, percent), "verified")
+    often = stars.groupBy("class", "center").count().groupBy("class").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
+    often = often.select(F.col("center").alias("a"), F.col("class").alias("b"))
+    near = often.join(_light(sets, "a"), "a").join(_light(sets, "b"), "b").where(_may_be_similar(percent)).select("a", "b")
+    links = written(_verified(near, sets, percent), "verified")
     known = components(links)
     root = lambda side: known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     at = stars.join(root("class"), "class", "left").join(root("center"), "center", "left")
@@ -225,8 +236,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_rows = at.join(split, "key")
     ends = F.array(F.struct("class", "root"), F.struct(F.col("center").alias("class"), F.col("root_center").alias("root")))
     members = open_rows.select("key", F.explode(ends).alias("end")).select("key", "end.class", "end.root").distinct()
-    by = [members.select("key", F.col("class").alias(s), F.col("root").alias(f"root_{s}")) for s in ("a", "b")]
-    across = by[0].join(by[1], "key").where("root_a < root_b").select("a", "b").distinct()
+    members = members.join(_light(sets, "a").withColumnRenamed("a", "class"), "class")
+    other = members.select("key", *(F.col(c).alias(c.replace("a_", "b_", 1) if c.startswith("a_") else {"class": "b", "root": "root_b", "n_a": "n_b"}[c]) for c in members.columns if c != "key"))
+    members = members.withColumnsRenamed({"class": "a", "root": "root_a"})
+    across = members.join(other, (members["key"] == other["key"]) & (F.col("root_a") < F.col("root_b")) & _may_be_similar(percent)).select("a", "b").distinct()
     more = written(_verified(across, sets, percent), "verified")
     links = links.unionByName(more)
     # classes get their documents' smallest ids only now: what was linked so far are contents
