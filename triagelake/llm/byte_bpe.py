@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Encoded words held by a worker at most; a batch's own new words come on top.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 @functools.lru_cache(2)
@@ -47,50 +47,62 @@ def replay(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int, bytes]
         symbols.append(-1)  # the end of a word
     n = len(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    known: dict[tuple[int, int], int] = {}
-
-    def merged(at: int) -> int:
-        """The token that the pair at this position makes, or -1."""
-        a, b = symbols[at], symbols[after[at]]
-        if b < 0:
-            return -1
-        if (found := known.get((a, b))) is None:
-            found = known[a, b] = ranks.get(tokens[a] + tokens[b], -1)
+    known: dict[int, int] = {}
+
+    def made(a: int, b: int) -> int:
+        """The token that two symbols make, or -1."""
+        found = known[a << 32 | b] = ranks.get(tokens[a] + tokens[b], -1)
         return found
 
+    pair = [-1] * n  # what the pair at each position makes
     places: dict[int, list[int]] = {}
-    for at in range(n):
-        if symbols[at] >= 0 and (rank := merged(at)) >= 0:
-            places.setdefault(rank, []).append(at)
+    for at in range(n - 1):
+        a, b = symbols[at], symbols[at + 1]
+        if a >= 0 and b >= 0:
+            rank = known.get(a << 32 | b)
+            if rank is None:
+                rank = made(a, b)
+            if rank >= 0:
+                pair[at] = rank
+                if rank in places:
+                    places[rank].append(at)
+                else:
+                    places[rank] = [at]
     queue = list(places)
     heapq.heapify(queue)
     while queue:
         rank = heapq.heappop(queue)
-        todo = places.pop(rank, [])
-        heapq.heapify(todo)
-        while todo:
-            at = heapq.heappop(todo)
-            if symbols[at] < 0 or merged(at) != rank:
+        todo = sorted(places.pop(rank))
+        for k, at in enumerate(todo):
+            if pair[at] != rank:
                 continue  # a neighbour's merge took this pair
             gone = after[at]
-            symbols[at], symbols[gone] = rank, -2
-            after[at] = after[gone]
-            before[after[at]] = at
-            lower = False
-            for near in (before[at], at):
-                if near < 0 or symbols[near] < 0 or (new := merged(near)) < 0:
-                    continue
-                if new == rank:
-                    heapq.heappush(todo, near)
+            symbols[at], symbols[gone], pair[gone] = rank, -2, -1
+            right = after[at] = after[gone]
+            before[right] = at
+            left, sooner = before[at], False
+            for near, a, b in ((at, rank, symbols[right]), (left, symbols[left] if left >= 0 else -1, rank)):
+                if a < 0 or b < 0:
+                    if near == at:
+                        pair[at] = -1
                     continue
-                if new not in places:
-                    places[new] = []
-                    heapq.heappush(queue, new)
-                places[new].append(near)
-                lower |= new < rank
-            if lower and todo:  # that merge comes before the rest of these
-                places[rank] = todo
-                heapq.heappush(queue, rank)
+                new = known.get(a << 32 | b)
+                if new is None:
+                    new = made(a, b)
+                pair[near] = new
+                if new >= 0:
+                    if new in places:
+                        places[new].append(near)
+                    else:
+                        places[new] = [near]
+                        heapq.heappush(queue, new)
+                    sooner |= new <= rank
+            if sooner and k + 1 < len(todo):  # that merge may come before the rest of these
+                if rank in places:
+                    places[rank] += todo[k + 1 :]
+                else:
+                    places[rank] = todo[k + 1 :]
+                    heapq.heappush(queue, rank)
                 break
     for k, at in enumerate(first):
         if at >= 0:
