@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, written
 
 #: The usual short statement of each license.
 TEMPLATES = (
@@ -103,33 +103,40 @@ def detected(files: DataFrame, path_col: str, text_col: str, templates=TEMPLATES
     return files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "path string, license string, score double")
 
 
-def directories(path) -> F.Column:
-    """All directories above a path, the root (an empty string) included."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+def upwards(directory: F.Column) -> F.Column:
+    """A directory and all above it, the root (an empty string) included."""
+    parts = F.split(directory, "/")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
 
 
 def inherited(found: DataFrame, licence_file: str = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$") -> DataFrame:
     """found (path, license, score) with `effective` and `origin`: own, inherited or none.
 
     Where a directory has several licence files the best score, then the first path, counts. Rows without a
-    path have no directories and inherit nothing; repeated rows are answered alike.
+    path have no directories and inherit nothing; repeated rows are answered alike. Ancestors are looked up
+    for each distinct directory, not for each file.
     """
     best = F.min(F.struct((-F.col("score")).alias("s"), "path", "license"))
     holders = found.where(F.col("license").isNotNull() & F.col("path").rlike(licence_file)).groupBy(F.regexp_replace("path", "/?[^/]*$", "").alias("dir")).agg(best.alias("b")).select("dir", F.col("b.license").alias("given"))
-    above = found.where("license IS NULL AND path IS NOT NULL").select("path").distinct().select("path", F.explode(directories(F.col("path"))).alias("dir"))
-    nearest = above.join(holders, "dir").groupBy("path").agg(F.max_by("given", F.length("dir")).alias("given"))
-    out = found.join(nearest, "path", "left")
+    above = found.where("license IS NULL AND path IS NOT NULL").select(F.regexp_replace("path", "/?[^/]*$", "").alias("of")).distinct().select("of", F.explode(upwards(F.col("of"))).alias("dir"))
+    nearest = above.join(holders, "dir").groupBy("of").agg(F.max_by("given", F.length("dir")).alias("given"))
+    out = found.withColumn("of", F.when(F.col("license").isNull(), F.regexp_replace("path", "/?[^/]*$", ""))).join(nearest, "of", "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none")
     return out.select("path", "license", "score", F.coalesce("license", "given").alias("effective"), origin.alias("origin"))
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/doc_id; in a source/lang the licensed document with the smallest id is its licence file."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")))
-    found = detected(docs, "path", "text").withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long")).withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
-    first = found.where("license IS NOT NULL").groupBy("dir").agg(F.min("doc_id").alias("doc_id"))
+    """Documents as files source/lang/doc_id; in a source/lang the licensed document with the smallest id is its licence file.
+
+    What the scan found is written once, without texts, for it is read for the licence files and again for
+    those that inherit. A document without an id is called `-` and is never a licence file.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    found = written(detected(docs.select(place.alias("path"), "text"), "path", "text"), "license-found")
+    found = found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).try_cast("long")).withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
+    first = found.where("license IS NOT NULL AND doc_id IS NOT NULL").groupBy("dir").agg(F.min("doc_id").alias("doc_id"))
     files = found.join(first.withColumn("holds", F.lit(True)), ["dir", "doc_id"], "left")
     files = files.select(F.when(F.col("holds"), F.concat("dir", F.lit("/LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("path")).alias("path"), "license", "score")
     out = inherited(files)
-    return out.select(F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("doc_id"), "path", "license", F.round("score", 9).alias("score"), "effective", "origin")
+    return out.select(F.regexp_extract("path", "([0-9]+)$", 1).try_cast("long").alias("doc_id"), "path", "license", F.round("score", 9).alias("score"), "effective", "origin")
