@@ -113,10 +113,16 @@ def replay(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int, bytes]
     return out
 
 
+@functools.lru_cache(2)
+def _known(path: str, pattern: str) -> dict[str, bytes]:
+    """Words that this worker has encoded, in whichever task."""
+    return {}
+
+
 def _encode(path: str, pattern: str):
     def encode(batches):
         ranks, tokens = vocabulary(path)
-        split, cache = regex.compile(pattern).findall, {}
+        split, cache = regex.compile(pattern).findall, _known(path, pattern)
         for batch in batches:
             rows = batch.column(1).to_pylist()
             at, size = 0, 0
@@ -155,7 +161,9 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
         tokens = vocabulary(path)[1]
         for batch in batches:
             ids = batch.column(1)
-            lists = [b"".join(map(tokens.__getitem__, x.as_py() or ())) for x in ids]
+            ends = np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
+            flat = ids.flatten().to_numpy(zero_copy_only=False)  # null lists have no values
+            lists = [b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(lists, pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(back, "doc_id long, ids array<int>, bytes binary")
