@@ -117,6 +117,6 @@ def held_out(id_col: Column) -> Column:
 BROADCAST_IDS = 1_000_000
 
 
-def bounded(ids: DataFrame) -> DataFrame:
-    """A written table of ids, marked for broadcast if it is small enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def bounded(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of ids or other short rows, marked for broadcast if it has `most` rows at most."""
+    return F.broadcast(rows) if rows.count() <= most else rows

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import bounded, texts, written
 
 #: The usual short statement of each license.
 TEMPLATES = (
@@ -35,6 +35,8 @@ TEMPLATES = (
 ANCHOR = re.compile(rb"licen[sc]e", re.IGNORECASE)
 LEAST = 0.8
 OTHER = ""
+#: Licences of directories are broadcast up to so many directories, joined by a shuffle beyond.
+BROADCAST_DIRECTORIES = 200_000
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9a-z]+)*")
 
 
@@ -119,7 +121,7 @@ def inherited(found: DataFrame, licence_file: str = r"(?i)(^|/)(licen[sc]e|copyi
     best = F.min(F.struct((-F.col("score")).alias("s"), "path", "license"))
     holders = found.where(F.col("license").isNotNull() & F.col("path").rlike(licence_file)).groupBy(F.regexp_replace("path", "/?[^/]*$", "").alias("dir")).agg(best.alias("b")).select("dir", F.col("b.license").alias("given"))
     above = found.where("license IS NULL AND path IS NOT NULL").select(F.regexp_replace("path", "/?[^/]*$", "").alias("of")).distinct().select("of", F.explode(upwards(F.col("of"))).alias("dir"))
-    nearest = above.join(holders, "dir").groupBy("of").agg(F.max_by("given", F.length("dir")).alias("given"))
+    nearest = bounded(written(above.join(holders, "dir").groupBy("of").agg(F.max_by("given", F.length("dir")).alias("given")), "license-nearest"), BROADCAST_DIRECTORIES)
     out = found.withColumn("of", F.when(F.col("license").isNull(), F.regexp_replace("path", "/?[^/]*$", ""))).join(nearest, "of", "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none")
     return out.select("path", "license", "score", F.coalesce("license", "given").alias("effective"), origin.alias("origin"))
