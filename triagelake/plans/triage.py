@@ -66,7 +66,7 @@ def _findings(s, d):
 
 
 QUERIES = {
-    "s05_s08_s11_report_records": lambda s, d: scanners.records(reports(s, d)),
+    "s05_s07_s08_report_records": lambda s, d: scanners.records(reports(s, d)),
     "p13_safe_text": lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", texts.safe(F.col("text")).alias("safe")),
     "p14_truncated": lambda s, d: _table(s, d, "documents").select("doc_id", texts.truncated(F.col("text")).alias("text")),
     "p21_plain_text": lambda s, d: _table(s, d, "documents").select("doc_id", F.sha2(texts.plain(F.col("text")), 256).alias("plain_sha256")),
@@ -95,7 +95,7 @@ c AS (SELECT key{0}, count(*) FILTER (truth AND found) AS tp, count(*) FILTER (N
 p AS (SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM c),
 m AS (SELECT *, CASE WHEN 0.25 * precision + recall = 0 THEN 0 ELSE 1.25::DOUBLE * precision * recall / (0.25::DOUBLE * precision + recall) END AS f_half FROM p)"""
 ORACLE_SQL = {
-    "s05_s08_s11_report_records": f"""WITH {FOUND}, e AS (SELECT * FROM c WHERE rule_id <> 'email')
+    "s05_s07_s08_report_records": f"""WITH {FOUND}, e AS (SELECT * FROM c WHERE rule_id <> 'email')
 SELECT repo_id, CASE WHEN doc_id % 3 = 0 THEN 'secrets' ELSE 'sarif' END AS tool, rule_id, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE severity END AS severity, path, line_no, CASE WHEN doc_id % 3 = 0 THEN '<[REDACTED]>' ELSE line END AS message FROM e WHERE doc_id % 13 <> 0
 UNION ALL SELECT DISTINCT ON (doc_id) repo_id, 'failed', NULL, NULL, NULL, NULL, NULL FROM e WHERE doc_id % 13 = 0""",
     "p13_safe_text": r"""SELECT conv_id, turn, NOT regexp_matches(text, '(^|[ \t\r\n"''`(])(/(tmp|work|Users|home|root|etc|var)\b|[A-Za-z]:\\|\.\.)') AND NOT regexp_matches(text, '(?i)\b(confirmed|exploited|proved|proven)\b') AS safe FROM conversations""",
