@@ -26,3 +26,37 @@ def merged(rows: DataFrame) -> DataFrame:
     out = by_reason.groupBy("area", "producer").agg(F.max("worst").alias("worst"), F.max("last").alias("last"), reasons.alias("reasons"))
     state = F.element_at(F.array(*(F.lit(s) for s in STATES)), F.col("worst").cast("int"))
     return out.select("area", "producer", state.alias("state"), "last.covered", "last.total", F.array_join(F.transform("reasons", lambda r: r["reason"]), "; ").alias("reason"))
+
+
+#: Languages from first to last where scores tie, and what a file of code and a static asset count.
+DOMINANT = ("typescript", "javascript", "java", "python", "go")
+FILE_SCORE, ASSET_SCORE = 10, 1
+
+
+def dominant(files: DataFrame, asset: Column) -> DataFrame:
+    """repo_id, language, score: the language with the largest score; files are (repo_id, language)."""
+    order = F.array_position(F.array(*(F.lit(x) for x in DOMINANT)), F.col("language"))
+    is_asset = asset & F.col("language").isin("typescript", "javascript")
+    scores = files.where(F.col("language").isin(*DOMINANT)).groupBy("repo_id", "language").agg(F.sum(F.when(is_asset, ASSET_SCORE).otherwise(FILE_SCORE)).alias("score"))
+    best = F.max(F.struct("score", (-order).alias("order"), "language"))
+    return scores.groupBy("repo_id").agg(best.alias("x")).select("repo_id", "x.language", "x.score")
+
+
+def gaps(rows: DataFrame, areas: list[str]) -> DataFrame:
+    """producer, area, state, reason for each known area that a producer does not report."""
+    wanted = rows.select("producer").distinct().select("producer", F.explode(F.array(*(F.lit(a) for a in areas))).alias("area"))
+    return wanted.join(rows.select("producer", "area").distinct(), ["producer", "area"], "left_anti").select("producer", "area", F.lit("skipped").alias("state"), F.lit("not reported").alias("reason"))
+
+
+def worst_of(refs: Column) -> Column:
+    """The worst state that a reference ends with; skipped if coverage is not available, else checked."""
+    out = None
+    for state in ("failed", "degraded", "partial", "skipped"):
+        fits = F.exists(refs, lambda r: r.endswith(f":{state}"))  # noqa: B023
+        out = F.when(fits, state) if out is None else out.when(fits, state)
+    return out.when(F.array_contains(refs, "coverage-unavailable"), "skipped").otherwise("checked")
+
+
+def unexplained(rows: DataFrame) -> DataFrame:
+    """Rows that are not checked and give no reason."""
+    return rows.where((F.col("state") != "checked") & (F.coalesce(F.trim("reason"), F.lit("")) == ""))

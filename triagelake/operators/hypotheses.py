@@ -23,3 +23,21 @@ def first(rows: DataFrame, group: list[str], order: list[Column], most: int) ->
 def latest(rows: DataFrame, group: list[str], attempt: str, *kept: str) -> DataFrame:
     """The row with the largest attempt of each group, by an aggregate rather than a sort."""
     return rows.groupBy(*group).agg(F.max(F.struct(attempt, *kept)).alias("x")).select(*group, "x.*")
+
+
+def upserted(base: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
+    """base, and the first new row (by order) of each key that base does not have: what exists wins."""
+    fresh = new.join(base.select(*key).distinct(), key, "left_anti")
+    return base.unionByName(first(fresh, key, [F.col(order)], 1).drop("nth"))
+
+
+def representative(rows: DataFrame, group: list[str], family: str, order: list[Column], most: int) -> DataFrame:
+    """`most` rows of each group, and their nth: the first of each family in order, then the others in order."""
+    in_family = first(rows, [*group, family], order, most).withColumnRenamed("nth", "family_nth")
+    return first(in_family, group, [(F.col("family_nth") > 1).cast("int"), *order], most).drop("family_nth")
+
+
+def merged(rows: DataFrame, key: list[str], order: str, scalars: list[str], arrays: list[str]) -> DataFrame:
+    """One row a key: scalars of its first row by order, and the sorted distinct values of its arrays."""
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(a)))).alias(a) for a in arrays]
+    return rows.groupBy(*key).agg(*(F.min_by(c, order).alias(c) for c in scalars), *sets)

@@ -13,3 +13,16 @@ def dangling(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> Dat
     """record_id, n for each reference that is not known. References are counted before they are looked up."""
     asked = rows.groupBy(F.col(key).alias("record_id")).agg(F.count("*").alias("n"))
     return asked.join(known.select(F.col(known_key).alias("record_id")), "record_id", "left_anti")
+
+
+def unallowed(rules: DataFrame, rule: str) -> DataFrame:
+    """rule, violation for rules (required, allowed): no kind allowed, or one required that is not allowed."""
+    kind = F.when(F.size("allowed") == 0, "none_allowed").when(F.size(F.array_except("required", "allowed")) > 0, "required_not_allowed")
+    return rules.select(rule, kind.alias("violation")).where("violation IS NOT NULL")
+
+
+def incompatible(rows: DataFrame, base: DataFrame, key: str, *equal: str) -> DataFrame:
+    """key, violation for each column that is not equal to the base's row of that key; `missing` without one."""
+    right = base.select(key, F.lit(True).alias("has_base"), *(F.col(c).alias(f"base_{c}") for c in equal))
+    wrong = F.array(F.when(F.col("has_base").isNull(), "missing"), *(F.when(F.col("has_base") & ~F.col(c).eqNullSafe(F.col(f"base_{c}")), c) for c in equal))
+    return rows.join(right, key, "left").select(key, F.explode(F.filter(wrong, lambda x: x.isNotNull())).alias("violation"))
