@@ -45,6 +45,12 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def each_text(column: pa.Array, rows: int = 256):
+    """The same, one by one; the bytes of so many rows are held at a time."""
+    for at in range(0, len(column), rows):
+        yield from texts(column.slice(at, rows))
+
+
 def lower_ascii(text: bytes) -> bytes:
     return text.lower()  # bytes.lower() changes A-Z alone
 

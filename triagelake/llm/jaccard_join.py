@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, longs, lower_ascii, mix, texts, written
+from .common import WordHashes, bounded, each_text, longs, lower_ascii, mix, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -110,7 +110,7 @@ def _emit(width: int, percent: int, frequent):
         last = np.empty(0, np.uint64) if frequent is None else frequent.value
         for batch in batches:
             keys, sets, size = [], [], 0
-            for text in texts(batch.column(0)):
+            for text in each_text(batch.column(0)):
                 tokens = shingles(text, width, hashes)
                 if not len(tokens):
                     continue
@@ -153,7 +153,7 @@ def _profile(width: int):
         hashes = WordHashes()
         for batch in batches:
             sizes, names = [], []
-            for text in texts(batch.column(1)):
+            for text in each_text(batch.column(1)):
                 tokens = shingles(text, width, hashes)
                 sizes.append(len(tokens))
                 names.append(class_of(tokens))
@@ -162,18 +162,29 @@ def _profile(width: int):
     return profile
 
 
+def _lists(names: list[int], *lists: list[np.ndarray]) -> pa.RecordBatch:
+    """A batch of class, sketch and tokens, each list laid out once."""
+    columns = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in lists]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *columns], names=["class", "sketch", "tokens"])
+
+
 def _sets(width: int):
     def sets(batches):
         hashes = WordHashes()
         for batch in batches:
-            names, sketches, members = [], [], []
-            for text in texts(batch.column(0)):
+            names, sketches, members, size = [], [], [], 0
+            for text in each_text(batch.column(0)):
                 tokens = shingles(text, width, hashes)
                 bits = np.bincount((mix(tokens, 10) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
                 names.append(class_of(tokens))
                 sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
                 members.append(tokens.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(members, pa.list_(pa.int64()))], names=["class", "sketch", "tokens"])
+                size += len(tokens)
+                if size > _BATCH_TOKENS:
+                    yield _lists(names, sketches, members)
+                    names, sketches, members, size = [], [], [], 0
+            if names:
+                yield _lists(names, sketches, members)
 
     return sets
 
