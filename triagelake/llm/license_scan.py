@@ -1,10 +1,17 @@
-"""License scan: TF-IDF cosine of text lines to templates, then inheritance along directories.
+"""License scan: TF-IDF cosine of blocks of text to licence notices and full texts, then inheritance along directories.
 
 Terms are the templates' words; a word outside them counts as the term OTHER. A term's weight is
-1 + ln((1 + files) / (1 + files that have it)), counted over all files. Each line of a text that holds an
-anchor word (one that all templates need) is compared with each template; a file's license is that of its
-best line. A file without one inherits from the nearest directory above it that has a licence file: each
-file's ancestor directories are joined with the directories of licence files and the longest wins.
+1 + ln((1 + files) / (1 + files that have it)), counted over all files. A text is cut into pieces at line and
+sentence ends; comment marks are no words. A template of RUN_WORDS at most is compared with every run of
+consecutive pieces (a run ends with the piece that takes it to twice the template's words), so that wrapped
+headers are seen whole; every template is compared with the whole text. An SPDX tag names its license itself
+and scores 1. A file's license is that of its best block. A file without one inherits from the nearest
+directory above it that has a licence file: each file's ancestor directories are joined with the directories
+of licence files and the longest wins.
+
+What cannot reach the threshold is not compared: a cosine is at most the root of the share of the template's
+squared weight that lies on terms the block has (Cauchy-Schwarz). So a block that reaches `least` holds one of
+the template's heaviest terms, those without which the others make up less than `least` squared.
 """
 
 from __future__ import annotations
@@ -12,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded, texts, written
 
-#: The usual short statement of each license.
+_APACHE = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+_NO_WARRANTY = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."
+#: The usual notices of each license; the full texts lie in `licences`, named by their license.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -31,13 +42,22 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software to deal in the software without restriction under the MIT license."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MIT", "Licensed under the MIT License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 " + _APACHE),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 " + _APACHE),
+    *((name, text) for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")) for text in (_GNU.format(kind=kind, version=version), _GNU.format(kind=kind, version=version) + _NO_WARRANTY.format(kind=kind))),
 )
-ANCHOR = re.compile(rb"licen[sc]e", re.IGNORECASE)
 LEAST = 0.8
 OTHER = ""
+#: Templates of so many words are sought in runs of pieces; longer ones are whole texts of licence files.
+RUN_WORDS = 600
+TAG = "spdx-license-identifier"
 #: Licences of directories are broadcast up to so many directories, joined by a shuffle beyond.
 BROADCAST_DIRECTORIES = 200_000
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9a-z]+)*")
+_PIECE_END = re.compile(r"\n|(?<=[.;:!?])\s+")
+_TAG = re.compile(TAG + r":[ \t]*(\(*[a-z0-9.+-]+\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[a-z0-9.+-]+\)*)*)", re.IGNORECASE)
 
 
 def terms(line: str, known: frozenset[str] | None) -> Counter:
@@ -72,35 +92,111 @@ def weights(files: DataFrame, text_col: str, known: frozenset[str]) -> dict[str,
     return {OTHER: 1.0} | {t: 1 + math.log((1 + total) / (1 + have.get(t, 0))) for t in known}
 
 
-def detected(files: DataFrame, path_col: str, text_col: str, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """path, license, score for each row of files: the best line's template (ties: the one listed first), or null.
-
-    Whole texts are read, line by line. A null text, or one whose best line scores under `least`, has none.
+def all_templates() -> tuple[tuple[str, str], ...]:
+    """Notices, then the full texts; read on the driver."""
+    return (*TEMPLATES, *((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licences").glob("*.txt"))))
+
+
+def tagged(text: str, names: dict[str, str]) -> str | None:
+    """What the first SPDX tag says: a template's license, the versions' -only and -or-later included, or the expression as it stands."""
+    found = _TAG.search(text)
+    if not found:
+        return None
+    return names.get(re.sub(r"(-only|-or-later|\+)$", "", found[1].lower().strip("()")), found[1])
+
+
+class Template:
+    """A template's counts, and what of it a block needs to reach `least`."""
+
+    def __init__(self, name: str, text: str, idf: dict[str, float], least: float):
+        self.name, self.counts, self.idf, self.least = name, terms(text, None), idf, least
+        self.size = self.counts.total()
+        self.parts = {t: (n * idf[t]) ** 2 for t, n in self.counts.items()}
+        self.square = sum(self.parts.values())
+        self.needed = least**2 * self.square * (1 - 1e-9)
+        self.anchors, rest = set(), self.square
+        for t in sorted(self.parts, key=lambda t: (-self.parts[t], t)):
+            if rest < self.needed:
+                break
+            self.anchors.add(t)
+            rest -= self.parts[t]
+
+    def possible(self, here: set[str]) -> bool:
+        return not self.anchors.isdisjoint(here) and sum(v for t, v in self.parts.items() if t in here) >= self.needed
+
+    def best_run(self, pieces: list[list[str]]) -> tuple[float, int]:
+        """The best score of a run of pieces (words as terms) and its first piece; 0 if none can reach `least`."""
+        sizes, most = [len(p) for p in pieces], 2 * self.size
+        own = [not self.counts.keys().isdisjoint(p) for p in pieces]
+        anchored = [not self.anchors.isdisjoint(p) for p in pieces]
+        starts: set[int] = set()
+        for at in (k for k, x in enumerate(anchored) if x):
+            first = last = at
+            words = 0
+            while first and words + sizes[first - 1] < most:
+                first -= 1
+                words += sizes[first]
+            words = 0
+            while last + 1 < len(pieces) and words < most:
+                words += sizes[last]
+                last += 1
+            if self.possible(set().union(*pieces[first : last + 1])):
+                starts.update(k for k in range(first, at + 1) if own[k])
+        best, where = 0.0, 0
+        for start in sorted(starts):
+            have: dict[str, int] = {}
+            dot = square = 0.0
+            words, seen = 0, False
+            for at in range(start, len(pieces)):
+                for t in pieces[at]:
+                    weight, n = self.idf[t] ** 2, have.get(t, 0)
+                    square += (2 * n + 1) * weight
+                    dot += self.counts.get(t, 0) * weight
+                    have[t] = n + 1
+                words, seen = words + sizes[at], seen or anchored[at]
+                if seen and own[at] and (score := round(dot / math.sqrt(square * self.square), 12)) > best:
+                    best, where = score, start
+                if words >= most:
+                    break
+        return best, where
+
+
+def scanned(text: str, forms: list[Template], names: dict[str, str], known: frozenset[str], idf: dict[str, float], least: float) -> tuple[str | None, float | None]:
+    """A text's license and score: the best block's; ties go to the earlier one, then to the template listed first."""
+    here = known.intersection(_WORD.findall(text.lower()))
+    if TAG in here and (said := tagged(text, names)):
+        return said, 1.0
+    found = []
+    forms = [(k, f) for k, f in enumerate(forms) if f.possible(here)]
+    if not forms:
+        return None, None
+    whole = terms(text, known)
+    pieces = [p for p in ([w if w in known else OTHER for w in _WORD.findall(x)] for x in _PIECE_END.split(text.lower())) if p]
+    for k, form in forms:
+        found.append((round(cosine(whole, form.counts, idf), 12), 0, -k))
+        if form.size <= RUN_WORDS:
+            score, where = form.best_run(pieces)
+            found.append((score, -where, -k))
+    score, _, k = max(found)
+    return next((f.name, score) for n, f in forms if n == -k) if score >= least else (None, None)
+
+
+def detected(files: DataFrame, path_col: str, text_col: str, templates=None, least: float = LEAST) -> DataFrame:
+    """path, license, score for each row of files: the best block's template, or null.
+
+    Whole texts are read. A null text, or one whose best block scores under `least`, has none. Templates are
+    pairs of license and text; by default the notices and full texts here.
     """
-    known = frozenset(t for _, text in templates for t in terms(text, None))
+    templates = all_templates() if templates is None else templates
+    known = frozenset(t for _, text in templates for t in terms(text, None)) | {TAG}
     idf = weights(files, text_col, known)
-    vectors = [(name, terms(text, known)) for name, text in templates]
+    forms = [Template(name, text, idf, least) for name, text in templates]
+    spdx = {name.lower(): name for name, _ in templates}
 
     def scan(batches):
-        seen: dict[bytes, tuple[float, str | None]] = {}
         for batch in batches:
-            names, scores = [], []
-            for text in texts(batch.column(1)):
-                best, license_ = 0.0, None
-                for line in text.split(b"\n") if ANCHOR.search(text) else ():
-                    if not ANCHOR.search(line):
-                        continue
-                    if line not in seen:
-                        if len(seen) > 10_000:
-                            seen.clear()
-                        words = terms(line.decode(), known)
-                        score, name = max(((cosine(words, v, idf), -k) for k, (_, v) in enumerate(vectors)), default=(0.0, 0))
-                        seen[line] = (score, vectors[-name][0]) if score >= least else (0.0, None)
-                    if seen[line][0] > best:
-                        best, license_ = seen[line]
-                names.append(license_)
-                scores.append(best if license_ else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["path", "license", "score"])
+            found = [scanned(text.decode(), forms, spdx, known, idf, least) for text in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["path", "license", "score"])
 
     return files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "path string, license string, score double")
 
