@@ -34,7 +34,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of documents and their places in sequences of 1,024 ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, encode_special_tokens=False)
 
 
 STAGES = [("quality classifier", quality_classifier), ("exact dedup", exact_copies), ("n-gram jaccard join", near_copies), ("substring dedup", repeated_passages), ("packing", packed)]

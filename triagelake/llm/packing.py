@@ -37,13 +37,23 @@ _SPELLED = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in
 
 
 class Encoder(dict):
-    """Ids (as little-endian 32-bit words) of pre-tokens; the model of the tokenizers library merges each one once."""
+    """Ids (as little-endian 32-bit words) of pre-tokens; the model of the tokenizers library merges each one once.
 
-    def __init__(self, path: str):
+    Texts are cut at the tokenizer's added tokens first, as the library does: the leftmost, of these the longest.
+    With `encode_special_tokens` (the library's name for it) special ones among them are text like any other.
+    """
+
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         from tokenizers import Tokenizer
 
-        self.merge = Tokenizer.from_file(path).model.tokenize
+        tokenizer = Tokenizer.from_file(path)
+        self.merge = tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        added = {t.content: (k, t) for k, t in tokenizer.get_added_tokens_decoder().items() if not (t.special and encode_special_tokens)}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that strip or match single words are not supported")
+        self.added = {content: struct.pack("<I", k) for content, (k, _) in added.items()}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
@@ -53,12 +63,14 @@ class Encoder(dict):
         return out
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if self.cut is None or not any(x in text for x in self.added):
+            return b"".join(map(self.__getitem__, self.split(text)))
+        return b"".join(self.added[x] if k % 2 else b"".join(map(self.__getitem__, self.split(x))) for k, x in enumerate(self.cut(text)))
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, encode_special_tokens: bool = False) -> Encoder:
+    return Encoder(path, encode_special_tokens)
 
 
 def cuts(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -74,9 +86,9 @@ def cuts(total: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def _pieces(path: str, capacity: int):
+def _pieces(path: str, capacity: int, encode_special_tokens: bool):
     def cut(batches):
-        part, ranks, words = TaskContext.get().partitionId(), {}, encoder(path)
+        part, ranks, words = TaskContext.get().partitionId(), {}, encoder(path, encode_special_tokens)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -109,17 +121,19 @@ def _best_fit(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pieces.assign(sequence_id=bins, offset=at)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]].astype({"sequence_id": "int64", "offset": "int64"})
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, encode_special_tokens: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one piece, the id that ends a document. Rows that repeat an id are packed as
     documents of their own; a null id is carried along. Sequence ids are unique, not dense; those of class
-    k lie from k * 2**40. An empty table gives no pieces. Other columns are not looked at.
+    k lie from k * 2**40. An empty table gives no pieces. Other columns are not looked at. The queries set
+    `encode_special_tokens` to False, the default of the tokenizers library, so that the literal of an added
+    token is its one id; here the default is to take it as text.
     """
     path = tokenizer or public_tokenizers.path(VOCABULARY)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "part long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long, rank long"
-    pieces = written(source.mapInArrow(_pieces(path, capacity), schema), "pieces")
+    pieces = written(source.mapInArrow(_pieces(path, capacity, encode_special_tokens), schema), "pieces")
     counts = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))
     w = Window.partitionBy("class").orderBy("part")
     counts = counts.select("class", "part", (F.sum("n").over(w) - F.col("n")).alias("before"), (F.sum("n").over(Window.partitionBy("class"))).alias("all"))
@@ -134,14 +148,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     return full.unionByName(rest)
 
 
-def sequences(pieces: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """The packed ids: sequence_id, ids (array of the pieces' ids in order, not padded). Ids of docs must be unique."""
+def sequences(pieces: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
+    """The packed ids: sequence_id, ids (array of the pieces' ids in order, not padded). Ids of docs must be unique; `encode_special_tokens` is that of pack."""
     path = tokenizer or public_tokenizers.path(VOCABULARY)
     wanted = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def slices(batches):
-        words = encoder(path)
+        words = encoder(path, encode_special_tokens)
         for batch in batches:
             out = []
             for text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -154,4 +168,4 @@ def sequences(pieces: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), encode_special_tokens=False)
