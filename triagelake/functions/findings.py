@@ -18,6 +18,17 @@ REDACTIONS = (
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"),
     (r"(password|secret|token|api_key)\s*[=:]\s*\S+", "[REDACTED_VALUE]"),
 )
+_S = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: The reference's six shapes of secrets in its order (spaces and word edges as in JavaScript): rule, pattern, what replaces it.
+SECRETS = (
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "-----BEGIN REDACTED PRIVATE KEY-----\n***REDACTED***\n-----END REDACTED PRIVATE KEY-----"),
+    ("aws-key", f"{_EDGE}AKIA[0-9A-Z]{{16}}{_EDGE}", "***REDACTED***"),
+    ("github-token", f"{_EDGE}gh[pousr]_[A-Za-z0-9_]{{20,}}{_EDGE}", "***REDACTED***"),
+    ("payment-key", f"{_EDGE}sk_(?:live|test)_[A-Za-z0-9_=-]{{10,}}{_EDGE}", "***REDACTED***"),
+    ("bearer", f"(?i){_EDGE}(Authorization[{_S}]*:[{_S}]*Bearer[{_S}]+)[A-Za-z0-9._~+/=-]{{8,}}", "$1***REDACTED***"),
+    ("assignment", f"(?i){_EDGE}((?:api[_-]?key|access[_-]?token|auth[_-]?token|token|secret|password|passwd|pwd)[{_S}]*[:=][{_S}]*[\"']?)[^\"',{_S}\\\\]{{8,}}", "$1***REDACTED***"),
+)
 
 
 def language(path: Column) -> Column:
@@ -65,6 +76,13 @@ def redacted(text: Column) -> Column:
     return text
 
 
+def without_secrets(text: Column) -> Column:
+    """The six redactions of whole texts, in order: key blocks span lines, so lines are split after it."""
+    for _, pattern, mask in SECRETS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(mask))
+    return text
+
+
 def safe_relative(path: Column) -> Column:
     """Neither empty nor absolute, no NUL or backslash, no empty, `.` or `..` segment."""
     bad = F.exists(F.split(path, "/"), lambda p: p.isin("", ".", ".."))

@@ -30,6 +30,21 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("repo_id", "path", "doc_id", "line_no", "line", "hit.*").withColumn("severity", fn.normal_severity(F.col("raw_severity"), F.col("category")))
 
 
+def secrets(texts: DataFrame) -> DataFrame:
+    """repo_id, path, line_no, rule_id, snippet: each match of each shape of secret in whole texts, by the line it starts in, redacted.
+
+    Texts are not split into lines first: key blocks, headers and assignments may span them.
+    """
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    rows = texts.select("repo_id", "path", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    hits = F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(rule).alias("rule_id"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"), F.split("text", pattern).alias("between")) for k, (rule, pattern, _) in enumerate(fn.SECRETS)))
+    each = rows.select("repo_id", "path", "row", F.explode(hits).alias("hit")).where(F.size("hit.found") > 0)
+    each = each.select("repo_id", "path", "row", "hit.ord", "hit.rule_id", F.posexplode(F.arrays_zip("hit.found", "hit.between")).alias("nth", "x")).where(F.col("x.found").isNotNull())
+    so_far = Window.partitionBy("row", "ord").orderBy("nth")
+    before = F.sum(breaks(F.col("x.between"))).over(so_far) + F.sum(breaks(F.col("x.found"))).over(so_far) - breaks(F.col("x.found"))
+    return each.select("repo_id", "path", (before + 1).alias("line_no"), "rule_id", fn.without_secrets(F.col("x.found")).alias("snippet"))
+
+
 def deduplicated(found: DataFrame) -> DataFrame:
     """The first finding of each fingerprint (repository, rule, redacted line), by path, line and rule order."""
     keyed = found.withColumn("snippet", fn.redacted(F.col("line"))).withColumn("fingerprint", fn.stable_id("fp", F.col("repo_id"), F.col("rule_id"), F.col("snippet")))

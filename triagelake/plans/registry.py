@@ -27,6 +27,7 @@ QUERIES = {
     "p07_safe_path": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", fn.safe_relative(F.regexp_extract("url", r"://[^/]+/(.*)$", 1)).alias("safe")),
     "x01_candidates": lambda s, d: op.candidates(s, d).select("repo_id", "path", "line_no", "rule_id", "category", "severity"),
     "p10_p20_w01_findings": lambda s, d: _dedup(s, d).select("fingerprint", "repo_id", "path", "line_no", "rule_id", "severity", "snippet"),
+    "p10_x01_secrets": lambda s, d: op.secrets(corpus.files(s, d, "text")),
     "a03_clusters": lambda s, d: op.clusters(_dedup(s, d)),
     "a04_w03_actions": lambda s, d: op.actions(_dedup(s, d)),
     "a05_summary": lambda s, d: _dedup(s, d).groupingSets([["severity"], ["category"], []], "severity", "category").agg(F.count("*").alias("n")),
