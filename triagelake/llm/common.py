@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these six ASCII characters; bytes.split() cuts at the same ones.
 SPACES = r"[\x20\x09-\x0D]+"
 #: A word-hash cache is emptied when it holds this many words.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: A writer holds a row group in memory; texts need no larger ones than this.
+ROW_GROUP_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         return conf
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("/tmp/triagelake-checkpoints")
         known = spark.sparkContext.getCheckpointDir()
     return known
@@ -36,10 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows handed to a Python worker at once: a table of long texts is cut into smaller batches.
+BATCH_BYTES = "8m"
+
+
+def in_batches(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow over batches bounded by bytes as well as by rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
