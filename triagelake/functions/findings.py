@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SEVERITIES = ("unknown", "low", "medium", "high", "critical")
 SCORES = {"critical": 100, "high": 80, "medium": 50, "low": 20, "unknown": 10}
 #: File extensions and their languages.
-LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift", "sol": "solidity", "vue": "vue", "svelte": "svelte", "c": "c", "cpp": "cpp"}
+LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "kts": "kotlin", "cs": "csharp", "php": "php", "rb": "ruby", "swift": "swift", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "vue": "vue", "svelte": "svelte"}
 #: Patterns of secrets and what replaces them, in order.
 REDACTIONS = (
     (r"AKIA[0-9A-Z]{16}", "[REDACTED_AWS_KEY]"),

@@ -9,7 +9,7 @@ from triagelake.operators import findings as op
 from triagelake.operators import graph, integrity
 from triagelake.sources import corpus
 
-from . import code, triage
+from . import code, files, triage
 from .findings_sql import FILES as _FILES
 from .findings_sql import FOUND as _FOUND
 from .findings_sql import SEVERITY_RANK as _SEV
@@ -42,7 +42,7 @@ ORACLE_SQL = {
     "s01_corpus_files": f"WITH {_FILES} SELECT repo_id, path, size, sha256 FROM f",
     "s02_snapshot_hash": f"WITH {_FILES} SELECT repo_id, count(*) AS n_files, sha256(string_agg(path || chr(0) || sha256 || chr(0) || size || chr(10), '' ORDER BY path)) AS source_hash FROM f GROUP BY repo_id",
     "s03_running_total": f"WITH {_FILES} SELECT repo_id, path, sum(size) OVER (PARTITION BY repo_id ORDER BY path ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM f",
-    "p01_language": f"WITH {_FILES} SELECT path, CASE doc_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'java' WHEN 4 THEN 'solidity' END AS language FROM f",
+    "p01_language": f"WITH {_FILES} SELECT path, CASE doc_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'java' END AS language FROM f",
     "p07_safe_path": r"WITH p AS (SELECT page_id, regexp_extract(url, '://[^/]+/(.*)$', 1) AS p FROM pages) SELECT page_id, p <> '' AND NOT contains(p, chr(0)) AND NOT contains(p, '\') AND NOT list_has_any(string_split(p, '/'), ['', '.', '..']) AS safe FROM p",
     "x01_candidates": f"WITH {_FOUND} SELECT repo_id, path, line_no, rule_id, category, severity FROM c",
     "p10_p20_w01_findings": f"WITH {_FOUND} SELECT fingerprint, repo_id, path, line_no, rule_id, severity, snippet FROM d",
@@ -63,5 +63,5 @@ s AS (SELECT DISTINCT a AS node FROM e WHERE a LIKE 'c%'), t AS (SELECT DISTINCT
 SELECT node, 0 AS distance FROM s UNION SELECT node, 1 FROM t UNION SELECT DISTINCT b, 2 FROM e JOIN t ON e.a = t.node""",
 }
 
-QUERIES |= triage.QUERIES | code.QUERIES
-ORACLE_SQL |= triage.ORACLE_SQL | code.ORACLE_SQL
+QUERIES |= triage.QUERIES | code.QUERIES | files.QUERIES
+ORACLE_SQL |= triage.ORACLE_SQL | code.ORACLE_SQL | files.ORACLE_SQL

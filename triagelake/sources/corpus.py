@@ -1,13 +1,18 @@
-"""The corpus as files of repositories."""
+"""The corpus as files of repositories, the limits of a snapshot, and its hash."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Directories that are never scanned.
-IGNORED = ("node_modules", "dist", "vendor", "build", "coverage", "target", ".git", ".venv")
+IGNORED = (".git", "node_modules", "dist", "build", ".next", "out", "target", "vendor", ".venv", "venv", "__pycache__", ".cache", "coverage", "logs")
+#: Bytes of a file, files of a repository and bytes of a repository at most.
+FILE_BYTES, FILES, REPO_BYTES = 5 << 20, 50_000, 500 << 20
 EXTENSIONS = ("py", "ts", "java", "md", "sol", "json", "yml")
+#: Limits for documents taken as files, which are small: with these some repositories overflow.
 MAX_FILE, MAX_REPO = 20_000, 200_000
 
 
@@ -25,28 +30,84 @@ def files(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 
 
 def snapshot_hash(corpus: DataFrame) -> DataFrame:
-    """repo_id, n_files, source_hash over path, hash and size in path order. A repository's list of hashes is one row."""
+    """repo_id, n_files, source_hash over path, hash and size in path order.
+
+    The hash reads its lines one after another, so a repository's are one row: FILES lines at most where
+    corpus is what limits left, which is how it should be called.
+    """
     line = F.concat("path", F.lit("\0"), "sha256", F.lit("\0"), F.col("size").cast("string"), F.lit("\n"))
     lines = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
     return corpus.groupBy("repo_id").agg(F.count("*").alias("n_files"), F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256).alias("source_hash"))
 
 
-def exclusions(corpus: DataFrame) -> DataFrame:
-    """repo_id, path, reason: ignored directories, files that are too large, and what is over the repository's budget.
+def running(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """rows with total (of value, up to the row) and nth (its place), for each group in the order of a column.
+
+    Rows are range-partitioned by (group, order), so that a group of any size spans partitions; each part adds
+    up alone, and what parts hand on is one row for each part and group.
+    """
+    ranged = written(rows.repartitionByRange(group, order).withColumn("part", F.spark_partition_id()), "ranged")
+    inside = Window.partitionBy("part", group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy("part", group).agg(F.sum(value).alias("sum"), F.count("*").alias("n"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", group, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
+    local = ranged.withColumns({"total": F.sum(value).over(inside), "nth": F.count("*").over(inside)})
+    joined = local.join(sums, ["part", group])
+    return joined.select(*rows.columns, (F.col("total") + F.col("sum_before")).alias("total"), (F.col("nth") + F.col("n_before")).alias("nth"))
+
+
+def limited(corpus: DataFrame, file_bytes: int = FILE_BYTES, files: int = FILES, repo_bytes: int = REPO_BYTES) -> DataFrame:
+    """repo_id, path, reason of what a snapshot leaves out: builtin-ignore, too_large, truncated.
 
-    Files fill the budget in path order; a file that does not fit leaves its room to later, smaller ones, so
-    only repositories over the budget need the ordered fold.
+    Files fill the budget in path order; one that does not fit leaves its room to later, smaller ones. All
+    files before the first that does not fit are settled by running totals; of what comes after it, only
+    files that fit into the room that is left are looked at again, by running totals once more.
     """
-    ignored = F.arrays_overlap(F.split("path", "/"), F.array(*(F.lit(x) for x in IGNORED)))
-    rows = corpus.withColumn("reason", F.when(ignored, "ignored_directory").when(F.col("size") > MAX_FILE, "too_large"))
-    inside = rows.where("reason IS NULL")
-    over = inside.groupBy("repo_id").agg(F.sum("size").alias("total"), F.array_sort(F.collect_list(F.struct("path", "size"))).alias("all")).where(F.col("total") > MAX_REPO)
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("out"))
-    step = lambda s, f: F.when(s["used"] + f["size"] <= MAX_REPO, F.struct((s["used"] + f["size"]).alias("used"), s["out"].alias("out"))).otherwise(F.struct(s["used"].alias("used"), F.array_append(s["out"], f["path"]).alias("out")))
-    cut = over.select("repo_id", F.explode(F.aggregate("all", start, step)["out"]).alias("path"), F.lit("truncated").alias("reason"))
-    return rows.where("reason IS NOT NULL").select("repo_id", "path", "reason").unionByName(cut)
+    directories = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    ignored = F.arrays_overlap(directories, F.array(*(F.lit(x) for x in IGNORED)))
+    rows = corpus.select("repo_id", "path", "size").withColumn("reason", F.when(ignored, "builtin-ignore").when(F.col("size") > file_bytes, "too_large"))
+    inside = written(rows.where("reason IS NULL").drop("reason"), "inside")
+    room = inside.groupBy("repo_id").agg(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("had"))
+    cut, left = [], inside
+    while True:
+        ordered = written(running(left, "repo_id", "path", "size").join(room, "repo_id"), "ordered")
+        over = (F.col("used") + F.col("total") > repo_bytes) | (F.col("had") + F.col("nth") > files)
+        first = ordered.where(over).groupBy("repo_id").agg(F.min("path").alias("first"))
+        first = written(first, "first-cut")
+        if first.isEmpty():
+            break
+        behind = ordered.join(first, "repo_id").where("path >= first")
+        kept = ordered.join(first, "repo_id").where("path < first").groupBy("repo_id").agg(F.max("total").alias("more"), F.max("nth").alias("nths"))
+        room = room.join(first.select("repo_id"), "repo_id").join(kept, "repo_id", "left")
+        room = written(room.select("repo_id", (F.col("used") + F.coalesce("more", F.lit(0))).alias("used"), (F.col("had") + F.coalesce("nths", F.lit(0))).alias("had")), "room")
+        judged = behind.select("repo_id", "path", "size", "first").join(room, "repo_id")
+        fits = (F.col("used") + F.col("size") <= repo_bytes) & (F.col("had") < files) & (F.col("path") > F.col("first"))
+        judged = written(judged.withColumn("fits", fits), "judged")
+        cut.append(judged.where("NOT fits"))
+        left = judged.where("fits").select("repo_id", "path", "size")
+    out = rows.where("reason IS NOT NULL").select("repo_id", "path", "reason")
+    for more in cut:
+        out = out.unionByName(more.select("repo_id", "path", F.lit("truncated").alias("reason")))
+    return out
+
+
+def exclusions(corpus: DataFrame) -> DataFrame:
+    """The same with the limits for documents as files."""
+    return limited(corpus, MAX_FILE, FILES, MAX_REPO).replace("builtin-ignore", "ignored_directory", "reason")
+
+
+def kept(corpus: DataFrame, **limits: int) -> DataFrame:
+    """The files that a snapshot holds."""
+    return corpus.join(limited(corpus, **limits), ["repo_id", "path"], "left_anti")
+
+
+def manifest_summary(corpus: DataFrame, **limits: int) -> DataFrame:
+    """repo_id, n_files and bytes of the files kept, n_exclusions."""
+    flagged = corpus.join(limited(corpus, **limits), ["repo_id", "path"], "left")
+    out = F.col("reason").isNotNull()
+    return flagged.groupBy("repo_id").agg(F.count_if(~out).alias("n_files"), F.coalesce(F.sum(F.when(~out, F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(out).alias("n_exclusions"))
 
 
 def running_total(corpus: DataFrame) -> DataFrame:
     """repo_id, path, used: bytes up to each file in path order."""
-    return corpus.select("repo_id", "path", F.sum("size").over(Window.partitionBy("repo_id").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)).alias("used"))
+    return running(corpus.select("repo_id", "path", "size"), "repo_id", "path", "size").select("repo_id", "path", F.col("total").alias("used"))

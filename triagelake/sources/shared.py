@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet under spark.checkpoint.dir (a folder in /tmp where that is unset) and read back."""
+    """df, written once as Parquet under spark.checkpoint.dir (in local mode a folder in /tmp where that is unset) and read back."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/triagelake-checkpoints"
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        folder = "/tmp/triagelake-checkpoints"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
