@@ -72,10 +72,14 @@ def lower_ascii(text: bytes) -> bytes:
 class WordHashes(dict):
     """xxh64 of each word, kept for words seen before."""
 
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
+        out = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return out
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import in_batches, written
 
 
 def _same_as_before(column: pa.Array) -> np.ndarray:
@@ -21,15 +21,17 @@ def _same_as_before(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.or_(same, nulls))
 
 
-def with_names(df: DataFrame, keys: list[str], tie: str, label: str) -> DataFrame:
+def with_names(df: DataFrame, keys: list[str], tie: str, label: str, short: list[str] | None = None) -> DataFrame:
     """df without `keys`, with `name`: the dense rank, from 0, of its key tuple in sorted order.
 
     The rows are range-partitioned and sorted by (keys, tie): a key that holds many rows spans as many
-    partitions as it needs, for `tie` splits it. Each sorted partition numbers its keys in one streaming
+    partitions as it needs, for `tie` splits it. Range partitioning samples keys on the driver, so long keys
+    have `short` columns, digests of theirs, for it; rows are sorted by those, then by the keys themselves. Each sorted partition numbers its keys in one streaming
     pass; the last key of one partition and the first of the next are compared, so a key that spans
     partitions keeps one name. What is compared is one row per partition.
     """
-    rest = [f for f in df.schema.fields if f.name not in keys]
+    short = short or []
+    rest = [f for f in df.schema.fields if f.name not in (*keys, *short)]
     edge = [T.StructField(f"{side}_{k}", df.schema[k].dataType) for side in ("first", "last") for k in keys]
     schema = T.StructType([*rest, T.StructField("part", T.IntegerType()), T.StructField("local", T.LongType()), T.StructField("names", T.LongType()), *edge])
     names = [f.name for f in rest]
@@ -60,8 +62,8 @@ def with_names(df: DataFrame, keys: list[str], tie: str, label: str) -> DataFram
                 names=schema.names,
             )
 
-    by = [*keys, tie]
-    numbered = written(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(number, schema), label)
+    ranged = df.repartitionByRange(*(short or keys), tie).sortWithinPartitions(*short, *keys, tie)
+    numbered = written(in_batches(ranged.drop(*short), number, schema), label)
     order = Window.orderBy("part")
     joins_on = F.lit(True)
     for k in keys:

@@ -5,7 +5,7 @@ rank; then neighbouring names are paired, the pairs are sorted and named in turn
 for each document. Two documents that end in the same round with the same name have the same text: ranks
 are given to contents, not to hashes, so nothing can collide.
 
-Only the first round moves text (once). A round moves two integers for each pair, half as many as before.
+Only the first round moves text (once, partitioned by digests of its blocks and sorted by the blocks). A round moves two integers for each pair, half as many as before.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, texts, written
+from .common import bounded, each_text, in_batches, written
 from .dense_names import with_names
 
 BLOCK_BYTES = 1024
+#: Groups of equal texts (five integers each) are broadcast up to so many and joined by a shuffle beyond.
+BROADCAST_GROUPS = 200_000
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
 
 
@@ -37,7 +39,7 @@ def _blocks(size: int):
             rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [], [])
             held = 0
-            for row, doc, text in zip(rows, ids, texts(batch.column(2)), strict=True):
+            for row, doc, text in zip(rows, ids, each_text(batch.column(2)), strict=True):
                 text = normalised(text)
                 n = max(1, -(-len(text) // size))
                 digest = hashlib.sha256(text).hexdigest()
@@ -45,7 +47,7 @@ def _blocks(size: int):
                     for column, value in zip(out, (row, doc if k == 0 else None, digest if k == 0 else None, n, k, text[k * size : (k + 1) * size]), strict=True):
                         column.append(value)
                 held += len(text)
-                if held > 8_000_000:
+                if held > 4_000_000:
                     yield _batch(out)
                     out, held = ([], [], [], [], [], []), 0
             yield _batch(out)
@@ -67,8 +69,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives an empty result.
     """
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = source.mapInArrow(_blocks(block_bytes), "row long, doc_id long, sha string, n long, pos long, block binary")
-    first = with_names(blocks, ["block"], "row", "block-names")
+    blocks = in_batches(source, _blocks(block_bytes), "row long, doc_id long, sha string, n long, pos long, block binary")
+    blocks = written(blocks.withColumns({"one": F.xxhash64("block"), "two": F.xxhash64(F.lit(1), "block")}), "blocks")
+    first = with_names(blocks, ["block"], "row", "block-names", short=["one", "two"])
     heads = first.where("pos = 0").select("row", "doc_id", "sha")
     longest = first.agg(F.max("n")).first()[0] or 1
     done, names, turn = [], first.select("row", "n", "pos", "name"), 0
@@ -90,7 +93,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     groups = rows.groupBy("turn", "name").agg(F.min(best).alias("best"), F.count("*").alias("size")).where("size > 1")
     groups = groups.select("turn", "name", F.col("best.doc_id").alias("keep"), F.col("best.row").alias("keep_row"), "size")
-    joined = rows.join(groups, ["turn", "name"], "left")
+    joined = rows.join(bounded(written(groups, "groups"), BROADCAST_GROUPS), ["turn", "name"], "left")
     alone = F.col("size").isNull()
     return joined.select(
         "doc_id",
@@ -102,18 +105,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, one row of each group of equal texts. Rows without an id stay.
+    """docs, all columns whatever their names, one row of each group of equal texts. Rows without an id stay.
 
-    Rows that repeat an id are told apart by their texts alone, so those with equal texts become one.
+    Null texts count as empty. Rows that repeat an id are told apart by their texts alone, so those with
+    equal texts become one. An empty table stays empty.
     """
     groups = exact_groups(docs, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     groups = written(groups.where("rows > 1 OR NOT kept"), "copies")
-    gone = groups.where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    left = docs.join(bounded(gone), docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
-    repeated = groups.where("kept").select(F.col("doc_id").alias("repeated_id"))
+    gone = bounded(groups.where("NOT kept").select("doc_id"))
+    left = docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
+    repeated = groups.where("kept").select("doc_id")
     if repeated.isEmpty():
         return left
-    among = docs[id_col].cast("long") == F.col("repeated_id")
+    among = docs[id_col].cast("long") == repeated["doc_id"]
     once = left.join(repeated, among, "left_semi").dropDuplicates([id_col, text_col])
     return left.join(repeated, among, "left_anti").unionByName(once)
 
