@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, texts
+from .common import BATCH_BYTES, each_text, held_out, in_batches
 
 #: Positives, and unlabelled documents, in the learning sample at most (drawn by hashed id).
 SAMPLE = 12_000
@@ -87,7 +87,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
 
 def _featured(batches):
     for batch in batches:
-        rows = [features(t) for t in texts(batch.column(1))]
+        rows = [features(t) for t in each_text(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
 
@@ -110,7 +110,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     ids = _sampled(known.where("y = 1"), positives, 1).select("doc_id")  # SAMPLE ids, give or take its root
 
     def matrix(sample: DataFrame) -> np.ndarray:
-        found = sorted(sample.select("doc_id", "text").mapInArrow(_featured, "doc_id long, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
+        found = sorted(in_batches(sample.select("doc_id", "text"), _featured, "doc_id long, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
         return np.array([r["x"] for r in found]).reshape(-1, WIDTH)
 
     positive = matrix(rows.join(F.broadcast(ids), "doc_id", "left_semi"))
@@ -119,7 +119,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def _score_of(model: Model | None, column) -> np.ndarray:
-    rows = [features(t) for t in texts(column)]
+    rows = [features(t) for t in each_text(column)]
     return model.score(np.array(rows)) if model is not None and rows else np.full(len(rows), 0.5)
 
 
@@ -127,7 +127,7 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     """doc_id, held_out, score, predicted for each row of docs.
 
     Null texts count as empty and get a score as others do. Without a model every score is 0.5. Rows are
-    judged alone: repeated rows get equal scores, a null id is carried along and not held out; an empty
+    judged alone and whole, however long: repeated rows get equal scores, a null id is carried along and not held out; an empty
     table gives an empty result; other columns are not looked at.
     """
 
@@ -137,18 +137,23 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return in_batches(rows, score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the model does not reject."""
+    """The rows of docs, with all their columns whatever their names, that the model does not reject.
 
-    def keep(batches):
-        for batch in batches:
-            s = _score_of(model, batch.column(batch.schema.get_field_index(text_col)))
-            yield batch.filter(pa.array(s >= 0.5))
+    Only texts go to Python workers, and a truth value comes back. Null texts count as empty; without a
+    model every row stays; rows without an id and repeated rows are judged as others; an empty table stays
+    empty.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        return pa.array(_score_of(model, text) >= 0.5)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(good(F.col(text_col).cast("string")))
 
 
 def op10_quality_pu(spark, sf_dir: str) -> DataFrame:
