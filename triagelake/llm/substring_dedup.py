@@ -7,7 +7,7 @@ sketches are merged by a shuffle on cell segments and only "two or more" is kept
 cell, two rows of cells. The broadcast bitmaps are at most 2 * MAX_CELLS / 8 bytes; beyond that size the
 estimates grow coarser and more windows pass to the exact stage, none is lost.
 
-Pass two sends windows estimated to repeat (as 128-bit hashes with document and position) to their groups
+Pass two sends windows estimated to repeat (as two independent 64-bit hashes with document and position) to their groups
 and compares ids exactly. What a batch of documents already proves (a smaller id in the same batch) is
 settled before the shuffle, so a passage that every document has reaches its group once for each batch.
 """
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Windows, longs, mix, texts
+from .common import BATCH_BYTES, WordHashes, Windows, each_text, in_batches, longs, mix
 
 WINDOW, GRAM = 50, 20
 SEGMENT_BITS = 20
@@ -39,7 +39,7 @@ def _smallest(grams: np.ndarray, width: int) -> np.ndarray:
 
 class _Hasher:
     def __init__(self, window: int, gram: int):
-        self.words, self.grams, self.span = WordHashes(), Windows(gram, 0x9E3779B97F4A7C15), window - gram + 1
+        self.words, self.others, self.grams, self.span = WordHashes(), WordHashes(1), Windows(gram, 0x9E3779B97F4A7C15), window - gram + 1
         self.one, self.two = Windows(window, 0x2545F4914F6CDD1D), Windows(window, 0xD1342543DE82EF95)
 
     def least(self, hashes: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ def _sketch(mask: int, window: int, gram: int):
     def fill(batches):
         hasher, held, size = _Hasher(window, gram), [], 0
         for batch in batches:
-            for text in texts(batch.column(0)):
+            for text in each_text(batch.column(0)):
                 least = np.unique(hasher.least(hasher.words.of(text.split())))
                 if len(least):
                     held.append(least)
@@ -119,8 +119,8 @@ def repeated_cells(docs: DataFrame, text_col: str, window: int, gram: int, max_c
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     cells = min(max_cells, max(1 << SEGMENT_BITS, 1 << (int(size) // 20).bit_length()))
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_sketch(cells - 1, window, gram), "line int, segment long, once binary, twice binary")
-    merged = parts.repartition("line", "segment").sortWithinPartitions("line", "segment").mapInArrow(_merge, "line int, segment long, bits binary")
+    parts = in_batches(docs.select(F.col(text_col).cast("string").alias("text")), _sketch(cells - 1, window, gram), "line int, segment long, once binary, twice binary")
+    merged = in_batches(parts.repartition("line", "segment").sortWithinPartitions("line", "segment"), _merge, "line int, segment long, bits binary")
     maps = np.zeros((2, cells // 8), np.uint8)
     step = (1 << SEGMENT_BITS) // 8
     for r in merged.toLocalIterator():
@@ -146,14 +146,15 @@ def _suspects(mask: int, maps, window: int, gram: int):
         hasher = _Hasher(window, gram)
         for batch in batches:
             found, held = [], 0
-            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
-                hashes = hasher.words.of(text.split())
+            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), each_text(batch.column(2)), strict=True):
+                words = text.split()
+                hashes = hasher.words.of(words)
                 least = hasher.least(hashes)
                 if not len(least):
                     continue
                 hit = np.flatnonzero(bit(0, _cells(least, 0, mask)) & bit(1, _cells(least, 1, mask)))
                 if len(hit):
-                    found.append((hasher.one.of(hashes)[hit], hasher.two.of(hashes)[hit], np.full(len(hit), doc, np.int64), hit.astype(np.int64) | (mark << 32)))
+                    found.append((hasher.one.of(hashes)[hit], hasher.two.of(hasher.others.of(words))[hit], np.full(len(hit), doc, np.int64), hit.astype(np.int64) | (mark << 32)))
                     held += len(hit)
                 if held >= _FLUSH:
                     yield settle(found)
@@ -197,7 +198,7 @@ def _kept(text: bytes, places, window: int) -> tuple[int, list[bytes]]:
 def _cut(window: int):
     def cut(batches):
         for batch in batches:
-            rows = [_kept(text, places, window) for text, places in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+            rows = [_kept(text, places, window) for text, places in zip(each_text(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
             counts, gone = [n for n, _ in rows], [n - len(words) for n, words in rows]
             kept = [b" ".join(words).decode() for _, words in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
@@ -209,13 +210,15 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int
     """doc_id, mark, places: where windows start that a smaller id has too. mark tells texts under one id apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _mark(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
     mask, maps = repeated_cells(rows, "text", window, gram, max_cells)
-    suspects = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_suspects(mask, maps, window, gram), "sure boolean, one long, two long, doc_id long, place long")
-    later = suspects.repartition("one").sortWithinPartitions("sure", "one", "two", "doc_id").mapInArrow(_later, "doc_id long, place long")
+    suspects = in_batches(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), _suspects(mask, maps, window, gram), "sure boolean, one long, two long, doc_id long, place long")
+    later = in_batches(suspects.repartition("one").sortWithinPartitions("sure", "one", "two", "doc_id"), _later, "doc_id long, place long")
     return later.groupBy("doc_id", F.expr("shiftright(place, 32)").alias("mark")).agg(F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("places"))
 
 
-def _mark(text_col: str):
-    return F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(0x7FFFFFFF)
+def _mark(text_col: str, docs: DataFrame | None = None):
+    """Tells texts under one id apart; of the column of docs, where that is given."""
+    text = F.col(text_col) if docs is None else docs[text_col]
+    return F.xxhash64(text.cast("string")).bitwiseAND(0x7FFFFFFF)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -229,33 +232,31 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     places = _repeats(docs, id_col, text_col, window, gram, max_cells)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _mark(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(places, ["doc_id", "mark"], "left").select("doc_id", "text", "places").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    return in_batches(rows.join(places, ["doc_id", "mark"], "left").select("doc_id", "text", "places"), _cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
-    """docs, all columns, with the kept words as the text of rows that lose some; other rows stay as they are.
+    """docs, all columns whatever their names, with the kept words as the text of rows that lose some; other rows stay as they are.
 
     length_col, where docs have it, becomes the new text's length in those rows. Cases as in without_repeats.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     places = _repeats(docs, id_col, text_col, window, GRAM, MAX_CELLS)
-    places = places.select(F.col("doc_id").alias("repeat_id"), F.col("mark").alias("repeat_mark"), F.col("places").alias("repeat_places"))
-    joined = docs.join(places, (docs[id_col].cast("long") == F.col("repeat_id")) & (_mark(text_col) == F.col("repeat_mark")), "left")
-    columns, schema = docs.columns, docs.schema
-
-    def replace(batches):
-        for batch in batches:
-            arrays = [batch.column(k) for k in range(len(columns))]
-            at = columns.index(text_col)
-            new = [_kept(t, p, window)[1] if p else None for t, p in zip(texts(arrays[at]), batch.column(len(columns)).to_pylist(), strict=True)]
-            strings = [old if words is None else b" ".join(words).decode() for old, words in zip(arrays[at].to_pylist(), new, strict=True)]
-            if length_col in columns:
-                k = columns.index(length_col)
-                lengths = [old if words is None else len(t) for old, words, t in zip(arrays[k].to_pylist(), new, strings, strict=True)]
-                arrays[k] = pa.array(lengths, arrays[k].type)
-            arrays[at] = pa.array(strings, arrays[at].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
-
-    return joined.select(*(docs[c] for c in columns), "repeat_places").mapInArrow(replace, schema)
+    joined = docs.join(places, (docs[id_col].cast("long") == places["doc_id"]) & (_mark(text_col, docs) == places["mark"]), "left")
+    cut, text = places["places"].isNotNull(), docs[text_col]
+
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, places: pa.Array) -> pa.Array:
+        rows = zip(each_text(text), (p.as_py() for p in places), strict=True)
+        return pa.array([None if p is None else b" ".join(_kept(t, p, window)[1]).decode() for t, p in rows], pa.string())
+
+    # only texts that lose words go to Python workers
+    new = kept(F.when(cut, text.cast("string")), places["places"])
+    joined = joined.select(*(docs[c] for c in docs.columns), F.struct(cut.alias("cut"), new.alias("text")).alias("__cut"))
+    at = F.col("__cut")
+    changed = {text_col: at["text"], length_col: F.length(at["text"])}
+    of = lambda c: F.when(at["cut"], changed[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`")
+    return joined.select(*(of(c) for c in docs.columns))
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
