@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Encoded words held by a worker at most; a batch's own new words come on top.
 CACHE_WORDS = 500_000

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, texts
+from .common import held_out, in_batches, texts
 
 #: A dictionary holds so many bytes of so many documents at most, so many characters of each.
 DICTIONARY_BYTES, DICTIONARY_DOCS, CHARS_OF_EACH = 400_000, 400, 1500
@@ -87,7 +87,7 @@ def predicted(docs: DataFrame, contents: dict[str, bytes], id_col: str = "doc_id
     null id is carried along and is not held out; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_classify(contents), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return in_batches(rows, _classify(contents), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, texts, written
+from .common import bounded, in_batches, texts, written
 
 _APACHE = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
 _GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
@@ -87,7 +87,7 @@ def weights(files: DataFrame, text_col: str, known: frozenset[str]) -> dict[str,
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
     total = files.count()
-    counts = files.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = in_batches(files.select(F.col(text_col).cast("string").alias("text")), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     have = {r["term"]: r["n"] for r in counts}
     return {OTHER: 1.0} | {t: 1 + math.log((1 + total) / (1 + have.get(t, 0))) for t in known}
 
@@ -198,7 +198,7 @@ def detected(files: DataFrame, path_col: str, text_col: str, templates=None, lea
             found = [scanned(text.decode(), forms, spdx, known, idf, least) for text in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["path", "license", "score"])
 
-    return files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "path string, license string, score double")
+    return in_batches(files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")), scan, "path string, license string, score double")
 
 
 def upwards(directory: F.Column) -> F.Column:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_batches, written
 
 CAPACITY, UNCUT, PADDING = 1024, 64, 0.02
 END_ID = 0
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     path = tokenizer or public_tokenizers.path(VOCABULARY)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "part long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long, rank long"
-    pieces = written(source.mapInArrow(_pieces(path, capacity, encode_special_tokens), schema), "pieces")
+    pieces = written(in_batches(source, _pieces(path, capacity, encode_special_tokens), schema), "pieces")
     counts = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))
     w = Window.partitionBy("class").orderBy("part")
     counts = counts.select("class", "part", (F.sum("n").over(w) - F.col("n")).alias("before"), (F.sum("n").over(Window.partitionBy("class"))).alias("all"))
@@ -163,7 +163,7 @@ def sequences(pieces: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
                 out += [{"sequence_id": c["sequence_id"], "offset": c["offset"], "ids": ids[c["start"] : c["start"] + c["length"]]} for c in spots]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
-    cut = texts.join(wanted, "doc_id").select("text", "cuts").mapInArrow(slices, "sequence_id long, offset long, ids array<long>")
+    cut = in_batches(texts.join(wanted, "doc_id").select("text", "cuts"), slices, "sequence_id long, offset long, ids array<long>")
     return cut.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
