@@ -1,39 +1,45 @@
 """A corpus pipeline: classify, remove exact and near copies, cut repeated passages, pack.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. Rows without a doc_id leave at the first stage, for nothing later could name their pieces.
+documents. In every stage a null text counts as empty, an empty table gives an empty one, texts may be of
+any length, and other columns, whatever their names and nulls, are carried along unread. Rows without a
+doc_id are classified, cut in no way, kept beside others and packed under a null id.
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from triagelake.llm import exact_dedup, jaccard_join, packing, quality_pu, substring_dedup
 from triagelake.llm.common import written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from the labels beside the documents."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    return quality_pu.accepted(named, quality_pu.learned(named, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Documents that the classifier does not reject; it learns from the labels beside the documents.
+
+    Rows are judged alone, so repeated rows and ties share a fate. Without a positive label every row stays.
+    """
+    return quality_pu.accepted(docs, quality_pu.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document, the one with the smallest id, of each group of equal texts; of repeated rows one. Rows without an id stay."""
     return exact_dedup.one_of_each(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of similar texts."""
+    """One document, the one with the smallest id, of each group of similar texts. Rows without words or without an id stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words or more that a document with a smaller id has."""
+    """Documents without the passages of 50 words or more that a document with a smaller id has.
+
+    Texts that lose nothing stay as they are, white space included; rows that repeat an id cut nothing of each other.
+    """
     return substring_dedup.cleaned(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents and their places in sequences of 1,024 ids."""
+    """The pieces of documents and their places in sequences of 1,024 ids; an empty text is one piece, the id that ends it."""
     return packing.pack(docs, encode_special_tokens=False)
 
 
