@@ -38,6 +38,7 @@ def _evidence(kind: str, body: str, prefix: str = "ci_iac") -> str:
 
 
 _FILES_OF = lambda where: f"{trees.LINES}, w AS (SELECT * FROM lines WHERE {where})"
+_ON = r"regexp_extract(line, '^\s*on\s*:\s*(.+?)\s*$', 1)"
 _STEPS = rf"""{_FILES_OF(_WORKFLOW)}, v AS (SELECT *, {_value('uses')} AS uses, {_value('run')} AS run, {_value('name')} AS named, {_value('path')} AS spot FROM w),
 o AS (SELECT *, last_value(named IGNORE NULLS) OVER (PARTITION BY repo_id, path ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS above,
   first_value(named IGNORE NULLS) OVER d AS next_name, first_value(spot IGNORE NULLS) OVER d AS next_path FROM v WINDOW d AS (PARTITION BY repo_id, path ORDER BY n ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
@@ -141,7 +142,7 @@ regexp_matches(path, '{paths.IGNORED_CONTENT}') AS ignored_content, (regexp_matc
     "p08_scanner_paths": f"WITH {trees.TREE} SELECT repo_id, path, CASE WHEN size % 8 IN (3, 4) OR (size % 8 = 6 AND contains(path, '/')) THEN NULL ELSE path END AS scanned FROM tree WHERE NOT contains(path, '#')",
     "p09_quiet_rules": rf"WITH {trees.TREE} SELECT repo_id, path, size % 3 > 0 AND (regexp_matches(lower(path), 'syntax-?highlighter/scripts/sh[a-z0-9_-]*\.js$') OR (regexp_matches(lower(path), '[.-]min\.js$') AND regexp_matches(lower(path), '/(libs|lib|vendor|vendors|third_party|bower_components)/'))) AS quiet FROM tree",
     "x11_workflow_names": rf"WITH {_FILES_OF(_WORKFLOW)}, e AS (SELECT *, regexp_extract(line, '^\s*name\s*:\s*(.+?)\s*$', 1) AS v FROM w), f AS (SELECT repo_id, path, arg_min(v, n) FILTER (WHERE v <> '') AS v, max(n) AS n_lines FROM e GROUP BY ALL) SELECT repo_id, path, coalesce({_scalar('v')}, regexp_replace({_BASE}, '(?i)\.ya?ml$', '')) AS name, n_lines FROM f",
-    "x12_workflow_triggers": rf"""WITH {_FILES_OF(_WORKFLOW)}, i AS (SELECT *, {_scalar("regexp_extract(line, '^\s*on\s*:\s*(.+?)\s*$', 1)")} AS v, regexp_extract(line, '^\s{{2,}}([A-Za-z_][\w-]*)\s*:', 1) AS b FROM w),
+    "x12_workflow_triggers": rf"""WITH {_FILES_OF(_WORKFLOW)}, i AS (SELECT *, {_scalar(_ON)} AS v, regexp_extract(line, '^\s{{2,}}([A-Za-z_][\w-]*)\s*:', 1) AS b FROM w),
 e AS (SELECT repo_id, path, n, line, unnest(list_append(CASE WHEN v LIKE '[%]' THEN list_transform(string_split(v[2:-2], ','), lambda x: {_scalar('x')}) WHEN v IS NOT NULL THEN [v] ELSE [] END, b)) AS event FROM i)
 SELECT repo_id, path, event, max(n) AS n, {_evidence('workflow-trigger', 'arg_max(line, n)')} AS evidence_id FROM e WHERE event IN ({_IN(workflows.EVENTS)}) GROUP BY repo_id, path, event""",
     "x13_p29_workflow_steps": f"WITH {_STEPS} SELECT repo_id, path, n, step_id, coalesce(above, uses, run) AS name, uses, run, regexp_matches(uses, '(?i)@[0-9a-f]{{40}}$') AS pinned, {_evidence('workflow-step', 'line')} AS evidence_id FROM s",
