@@ -16,10 +16,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, in_batches, texts
+from .common import each_text, held_out, in_batches
 
-#: A dictionary holds so many bytes of so many documents at most, so many characters of each.
-DICTIONARY_BYTES, DICTIONARY_DOCS, CHARS_OF_EACH = 400_000, 400, 1500
+#: A dictionary holds so many bytes of so many documents at most. Of a document longer than all its pieces
+#: together, so many pieces of so many characters are taken, one from each part of the text, at hashed places.
+DICTIONARY_BYTES, DICTIONARY_DOCS, PIECES, PIECE_CHARS = 400_000, 400, 3, 500
 BLOCK_BYTES, LEVEL, MARGIN = 4096, 6, 0.02
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -32,6 +33,14 @@ def letters(text: bytes) -> bytes:
     return b" ".join(text.translate(_TO_LETTERS).split())
 
 
+def _pieces():
+    """Characters of a document that a dictionary takes: the whole text, or pieces spread over it."""
+    part = F.floor(F.length("text") / PIECES).cast("int")
+    at = [part * k + F.pmod(F.xxhash64("id", F.lit(k)), (part - PIECE_CHARS + 1).cast("long")).cast("int") for k in range(PIECES)]
+    spread = F.concat_ws(" ", *(F.substring(F.col("text"), place + 1, F.lit(PIECE_CHARS)) for place in at))
+    return F.when(F.length("text") <= PIECES * PIECE_CHARS, F.col("text")).otherwise(spread).alias("text")
+
+
 def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Raw content for each language, from the documents whose hashed ids are smallest.
 
@@ -45,7 +54,7 @@ def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
         share = F.when(F.col("lang") == lang, min(1.0, 2 * DICTIONARY_DOCS / n)).otherwise(share)
     sample = rows.withColumn("place", place).where(F.col("place") <= share)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text"))
-    sample = sample.select("lang", "place", "id", F.substring("text", 1, CHARS_OF_EACH).alias("text")).withColumn("n", first).where(F.col("n") <= DICTIONARY_DOCS)
+    sample = sample.select("lang", "place", "id", _pieces()).withColumn("n", first).where(F.col("n") <= DICTIONARY_DOCS)
     out: dict[str, list[bytes]] = {}
     for r in sample.orderBy("lang", F.desc("n")).select("lang", "text").collect():
         out.setdefault(r["lang"], []).append(letters(r["text"].encode()))
@@ -62,7 +71,7 @@ def _classify(contents: dict[str, bytes]):
             coders.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False).compress)
         for batch in batches:
             found, scores, sure = [], [], []
-            for text in texts(batch.column(2)):
+            for text in each_text(batch.column(2)):
                 if not langs or not _LETTER.search(text.decode()):
                     found.append(UNKNOWN), scores.append(0.0), sure.append(False)
                     continue
@@ -83,7 +92,7 @@ def predicted(docs: DataFrame, contents: dict[str, bytes], id_col: str = "doc_id
     """doc_id, held_out, lang_pred, score, accepted for each row of docs.
 
     Ties go to the language that sorts first. A null text, or one without a letter, is `und` with score 0,
-    as is every text if nothing was learned. Rows are judged alone, so repeated rows get equal answers; a
+    as is every text if nothing was learned. A text of any length is read whole. Rows are judged alone, so repeated rows get equal answers; a
     null id is carried along and is not held out; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
