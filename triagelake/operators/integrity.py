@@ -1,6 +1,6 @@
 """Integrity checks, returned as rows of violations."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,112 @@ def incompatible(rows: DataFrame, base: DataFrame, key: str, *equal: str) -> Dat
     right = base.select(key, F.lit(True).alias("has_base"), *(F.col(c).alias(f"base_{c}") for c in equal))
     wrong = F.array(F.when(F.col("has_base").isNull(), "missing"), *(F.when(F.col("has_base") & ~F.col(c).eqNullSafe(F.col(f"base_{c}")), c) for c in equal))
     return rows.join(right, key, "left").select(key, F.explode(F.filter(wrong, lambda x: x.isNotNull())).alias("violation"))
+
+
+#: What records may say.
+HYPOTHESIS_STATUSES = ("candidate", "statically_supported", "statically_contradicted", "inconclusive")
+CONTEXT_STATUSES = ("standalone", "linked_to_hypothesis", "corroborated", "weakened", "contradicted")
+STATES = ("checked", "partial", "degraded", "skipped", "failed")
+LEVELS = ("present", "imported", "used", "reachable_from_boundary", "affected_symbol_reachable", "unknown")
+LEADS = ("direct_finding", "hypothesis")
+IMPACTS = ("blocks-deploy", "degrades", "informational")
+
+
+def _violations(rows: DataFrame, record: str, *checks: tuple[str, Column, str]) -> DataFrame:
+    """check_id, record_id, message for each check that a row fails, in one pass; a test that is null is not failed."""
+    failed = F.array(*(F.when(test, F.struct(F.lit(check).alias("check_id"), F.lit(message).alias("message"))) for check, test, message in checks))
+    return rows.select(F.col(record).alias("record_id"), F.explode(F.filter(failed, lambda x: x.isNotNull())).alias("x")).select("x.check_id", "record_id", "x.message")
+
+
+def _unknown(rows: DataFrame, record: str, ids: Column, known: DataFrame, key: str, what: str) -> DataFrame:
+    """The same for each id of a list, once, that the table of known ids of its graph lacks."""
+    asked = rows.select("graph_id", F.col(record).alias("record_id"), F.explode(ids).alias(key)).distinct()
+    lost = asked.join(known.select("graph_id", key).distinct(), ["graph_id", key], "left_anti")
+    return lost.select(F.lit(f"unknown_{what}").alias("check_id"), "record_id", F.lit(f"references an unknown {what}").alias("message"))
+
+
+def _duplicates(rows: DataFrame, record: str) -> DataFrame:
+    again = rows.groupBy("graph_id", record).agg(F.count("*").alias("n")).where("n > 1")
+    return again.select(F.lit("duplicate").alias("check_id"), F.col(record).alias("record_id"), F.lit("is not unique").alias("message"))
+
+
+def _all(*frames: DataFrame) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _blank(column: str) -> Column:
+    return F.trim(F.coalesce(column, F.lit(""))) == ""
+
+
+def candidates(rows: DataFrame, findings: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Candidates need texts, references, validation and support, and may name only what their graph has."""
+    own = _violations(
+        rows, "candidate_id", ("blank_title", _blank("title"), "has no title"), ("no_coverage", F.size("coverage_refs") == 0, "has no coverage references"), ("no_validation", F.size("required_validation") == 0, "has no required validation"),
+        ("no_support", (F.size("supporting_node_ids") == 0) & (F.size("supporting_edge_ids") == 0), "has no supporting references"),
+    )
+    both = lambda kind: F.concat(f"supporting_{kind}_ids", f"contradicting_{kind}_ids")
+    return _all(own, _duplicates(rows, "candidate_id"), _unknown(rows, "candidate_id", F.col("finding_ids"), findings, "finding_id", "finding"), _unknown(rows, "candidate_id", both("node"), nodes, "node_id", "node"), _unknown(rows, "candidate_id", both("edge"), edges, "edge_id", "edge"))
+
+
+def hypotheses(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Hypotheses need texts, a known status and state, a confidence from 0 to 1, a known candidate of their own, and the evidence their status claims."""
+    s = F.col("status")
+    own = _violations(
+        rows, "hypothesis_id", ("blank_title", _blank("title"), "has no title"), ("blank_summary", _blank("summary"), "has no summary"), ("unknown_status", ~s.isin(*HYPOTHESIS_STATUSES), "has an unknown status"), ("unknown_state", ~F.col("state").isin(*STATES), "has an unknown coverage state"),
+        ("confidence", ~F.col("confidence").between(0, 1), "has a confidence out of range"), ("unsupported", (s == "statically_supported") & (F.size("supporting_evidence_ids") == 0), "is supported without supporting evidence"),
+        ("uncontradicted", (s == "statically_contradicted") & (F.size("contradicting_evidence_ids") == 0), "is contradicted without contradicting evidence"),
+    )
+    return _all(own, _duplicates(rows, "hypothesis_id"), _unknown(rows, "hypothesis_id", F.array("candidate_id"), known, "candidate_id", "candidate"))
+
+
+def contexts(rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """Contexts need a known status, one for each finding, and exactly the ids that their status allows."""
+    s, bare, named = F.col("status"), (F.size("node_ids") == 0) & (F.size("edge_ids") == 0), F.size("hypothesis_ids") > 0
+    graph = s.isin("corroborated", "weakened", "contradicted")
+    own = _violations(
+        rows, "finding_id", ("unknown_status", ~s.isin(*CONTEXT_STATUSES), "has an unknown status"), ("unknown_state", ~F.col("state").isin(*STATES), "has an unknown coverage state"), ("blank_reason", _blank("reason"), "has no reason"),
+        ("standalone_context", (s == "standalone") & (~bare | named), "is standalone but has context"), ("unlinked", (s == "linked_to_hypothesis") & ~named, "is linked without hypotheses"),
+        ("stray_hypotheses", graph & named, "has hypotheses that its status does not allow"), ("no_context", graph & bare, "has no context that its status needs"),
+    )
+    lost = findings.select("graph_id", "finding_id").distinct().join(rows.select("graph_id", "finding_id"), ["graph_id", "finding_id"], "left_anti")
+    missing = lost.select(F.lit("missing").alias("check_id"), F.col("finding_id").alias("record_id"), F.lit("has no context").alias("message"))
+    return _all(own, _duplicates(rows, "finding_id"), _unknown(rows, "finding_id", F.array("finding_id"), findings, "finding_id", "finding"), missing)
+
+
+def components(rows: DataFrame) -> DataFrame:
+    """Components need a known level and state, and a path where their level speaks of one."""
+    own = _violations(
+        rows, "component_id", ("unknown_level", ~F.col("level").isin(*LEVELS), "has an unknown level"), ("unknown_state", ~F.col("state").isin(*STATES), "has an unknown coverage state"),
+        ("no_path", ~F.col("level").isin("present", "unknown") & (F.size("path_edge_ids") == 0), "has no path that its level needs"),
+    )
+    return _all(own, _duplicates(rows, "component_id"))
+
+
+def recipes(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Recipes need one known hypothesis each, and lists that are not empty."""
+    own = _violations(
+        rows, "hypothesis_id", ("no_fixtures", F.size("fixtures") == 0, "has no fixtures"), ("no_steps", F.size("steps") == 0, "has no steps"), ("no_expectation", _blank("expected"), "has no expected result"),
+        ("no_notes", F.size("notes") == 0, "has no safety notes"), ("no_materialization", F.size("materialization") == 0, "has no materialization hints"),
+    )
+    return _all(own, _duplicates(rows, "hypothesis_id"), _unknown(rows, "hypothesis_id", F.array("hypothesis_id"), known, "hypothesis_id", "hypothesis"))
+
+
+def groups(rows: DataFrame, actions: DataFrame) -> DataFrame:
+    """Groups need a known lead and impact, a key, a score, and the ids that their lead implies."""
+    lead = F.col("lead")
+    own = _violations(
+        rows, "group_id", ("unknown_lead", ~lead.isin(*LEADS), "has an unknown lead"), ("unknown_impact", ~F.col("impact").isin(*IMPACTS), "has an unknown impact"), ("blank_key", _blank("remediation_key"), "has no remediation key"), ("score", F.col("score") < 0, "has a negative score"),
+        ("no_action", (lead == "direct_finding") & (F.size("action_ids") == 0), "is led by a finding without an action"), ("stray_action", (lead == "hypothesis") & (F.size("action_ids") > 0), "is led by a hypothesis but has actions"),
+        ("no_hypothesis", (lead == "hypothesis") & (F.size("hypothesis_ids") == 0), "is led by a hypothesis without one"),
+    )
+    return _all(own, _duplicates(rows, "group_id"), _unknown(rows, "group_id", F.col("action_ids"), actions, "action_id", "action"))
+
+
+def missing_evidence(rows: DataFrame, record: str, evidence: DataFrame) -> DataFrame:
+    """Evidence ids of records that no evidence has."""
+    asked = rows.select(F.col(record).alias("record_id"), F.explode("evidence_ids").alias("evidence_id"))
+    lost = asked.join(evidence.select("evidence_id").distinct(), "evidence_id", "left_anti")
+    return lost.select(F.lit("missing_evidence").alias("check_id"), "record_id", F.concat(F.lit("references missing evidence "), "evidence_id").alias("message"))
