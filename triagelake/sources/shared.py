@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet under spark.checkpoint.dir (in local mode a folder in /tmp where that is unset) and read back."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None:
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode a folder in /tmp where that is unset."""
+    known = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if known is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        folder = "/tmp/triagelake-checkpoints"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        known = "/tmp/triagelake-checkpoints"
+    return known
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
