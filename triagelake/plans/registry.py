@@ -9,7 +9,7 @@ from triagelake.operators import findings as op
 from triagelake.operators import graph, integrity
 from triagelake.sources import corpus
 
-from . import assessments, code, files, graphs, programs, quick, reports, scores, tables, triage
+from . import assessments, code, components, files, graphs, programs, quick, reports, scores, tables, triage
 from .findings_sql import FILES as _FILES
 from .findings_sql import FOUND as _FOUND
 from .findings_sql import SEVERITY_RANK as _SEV
@@ -63,6 +63,6 @@ s AS (SELECT DISTINCT a AS node FROM e WHERE a LIKE 'c%'), t AS (SELECT DISTINCT
 SELECT node, 0 AS distance FROM s UNION SELECT node, 1 FROM t UNION SELECT DISTINCT b, 2 FROM e JOIN t ON e.a = t.node""",
 }
 
-for _plan in (triage, code, files, reports, programs, graphs, assessments, scores, quick, tables):
+for _plan in (triage, code, files, reports, programs, graphs, assessments, scores, quick, tables, components):
     QUERIES |= _plan.QUERIES
     ORACLE_SQL |= _plan.ORACLE_SQL
