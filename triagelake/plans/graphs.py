@@ -13,7 +13,7 @@ from triagelake.sources.shared import written
 from . import files as fp
 from .programs import _CONTEXT, _ENTITY, _SYMBOL, _lit
 
-NODE_COLUMNS, EDGE_COLUMNS = ("graph_id", "node_id", "kind", "stable_key", "path", F.coalesce("line", F.lit(0)).cast("long").alias("line")), ("graph_id", "edge_id", "kind", "from_id", "to_id")
+NODE_COLUMNS, EDGE_COLUMNS = ("graph_id", "node_id", "kind", "stable_key", "path", "CAST(coalesce(line, 0) AS BIGINT) AS line"), ("graph_id", "edge_id", "kind", "from_id", "to_id")
 
 
 def _nid(key: str, graph: str = "repo_id") -> str:
@@ -122,18 +122,18 @@ def _candidates(s, d):
 
 CANDIDATE = ("graph_id", "candidate_id", "rule_id", "title", "reason", "start_key", "end_key")
 QUERIES = {
-    "g02_g05_j08_j11_code_nodes": lambda s, d: _code(s, d)[0].select(*NODE_COLUMNS),
-    "g02_g05_j08_j11_code_edges": lambda s, d: _code(s, d)[1].select(*EDGE_COLUMNS),
-    "g06_ci_nodes": lambda s, d: _ci(s, d)[0].select(*NODE_COLUMNS),
-    "g06_ci_edges": lambda s, d: _ci(s, d)[1].select(*EDGE_COLUMNS),
-    "g07_infra_nodes": lambda s, d: pg.infra_graph(fp._infra(s, d))[0].select(*NODE_COLUMNS),
-    "g07_infra_edges": lambda s, d: pg.infra_graph(fp._infra(s, d))[1].select(*EDGE_COLUMNS),
-    "g08_content_nodes": lambda s, d: pg.content_graph(fp._exposures(s, d))[0].select(*NODE_COLUMNS),
-    "g08_content_edges": lambda s, d: pg.content_graph(fp._exposures(s, d))[1].select(*EDGE_COLUMNS),
-    "g09_contract_nodes": lambda s, d: pg.contract_graph(_contracts(s, d))[0].select(*NODE_COLUMNS),
-    "g09_contract_edges": lambda s, d: pg.contract_graph(_contracts(s, d))[1].select(*EDGE_COLUMNS),
-    "g01_finding_nodes": lambda s, d: pg.finding_graph(_findings(s, d), _clusters(s, d))[0].select(*NODE_COLUMNS),
-    "g01_finding_edges": lambda s, d: pg.finding_graph(_findings(s, d), _clusters(s, d))[1].select(*EDGE_COLUMNS),
+    "g02_g05_j08_j11_code_nodes": lambda s, d: _code(s, d)[0].selectExpr(*NODE_COLUMNS),
+    "g02_g05_j08_j11_code_edges": lambda s, d: _code(s, d)[1].selectExpr(*EDGE_COLUMNS),
+    "g06_ci_nodes": lambda s, d: _ci(s, d)[0].selectExpr(*NODE_COLUMNS),
+    "g06_ci_edges": lambda s, d: _ci(s, d)[1].selectExpr(*EDGE_COLUMNS),
+    "g07_infra_nodes": lambda s, d: pg.infra_graph(fp._infra(s, d))[0].selectExpr(*NODE_COLUMNS),
+    "g07_infra_edges": lambda s, d: pg.infra_graph(fp._infra(s, d))[1].selectExpr(*EDGE_COLUMNS),
+    "g08_content_nodes": lambda s, d: pg.content_graph(fp._exposures(s, d))[0].selectExpr(*NODE_COLUMNS),
+    "g08_content_edges": lambda s, d: pg.content_graph(fp._exposures(s, d))[1].selectExpr(*EDGE_COLUMNS),
+    "g09_contract_nodes": lambda s, d: pg.contract_graph(_contracts(s, d))[0].selectExpr(*NODE_COLUMNS),
+    "g09_contract_edges": lambda s, d: pg.contract_graph(_contracts(s, d))[1].selectExpr(*EDGE_COLUMNS),
+    "g01_finding_nodes": lambda s, d: pg.finding_graph(_findings(s, d), _clusters(s, d))[0].selectExpr(*NODE_COLUMNS),
+    "g01_finding_edges": lambda s, d: pg.finding_graph(_findings(s, d), _clusters(s, d))[1].selectExpr(*EDGE_COLUMNS),
     "g10_p23_rule_paths": lambda s, d: co.paths(*_written_code(s, d)).select("rule_id", "graph_id", "start_id", "end_id", F.array_join("edge_ids", ">").alias("edges")),
     "g11_code_flows": lambda s, d: co.flows(*_written_code(s, d)).select("graph_id", "flow_id", "source_id", "sink_id", F.array_join("edge_ids", ">").alias("edges")),
     "g12_reached": lambda s, d: co.reached(*_written_code(s, d)).select("graph_id", "node_id", "start_id", F.array_join("edge_ids", ">").alias("edges")),

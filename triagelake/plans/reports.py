@@ -67,7 +67,7 @@ def _records(s, d, check):
     return rp.records(_reports(s, d).where(F.col("check") == check)).withColumn("ord", F.col("report_id") * 100 + F.col("ord"))
 
 
-_OUT = ("repo_id", "rule_id", "message", "path", F.coalesce("line_no", F.lit(0)).cast("long").alias("line_no"), "severity")
+_OUT = ("repo_id", "rule_id", "message", "path", "CAST(coalesce(line_no, 0) AS BIGINT) AS line_no", "severity")
 
 
 def _npm(s, d):
@@ -99,12 +99,12 @@ def _packages(s, d):
 
 QUERIES = {
     "s05_s06_failures": lambda s, d: rp.failures(_reports(s, d)).select("repo_id", "report_id", "tool"),
-    "s09_s13_trivy": lambda s, d: rp.trivy(_records(s, d, "dependencies.trivy"), _manifests(s, d)).select(*_OUT, F.col("metadata")["packageName"].alias("package"), F.col("metadata")["fixedVersion"].alias("fixed")),
-    "s09_trivy_config": lambda s, d: rp.trivy(_records(s, d, "iac.trivy-config"), _manifests(s, d)).select(*_OUT),
-    "s10_osv": lambda s, d: rp.osv(_records(s, d, "dependencies.osv")).select(*_OUT),
-    "s11_actionlint": lambda s, d: rp.actionlint(_records(s, d, "github-actions.actionlint")).select(*_OUT),
-    "s12_zizmor": lambda s, d: rp.zizmor(_records(s, d, "github-actions.zizmor")).select(*_OUT),
-    "s08_sarif": lambda s, d: rp.sarif(_records(s, d, "code-patterns.opengrep")).select(*_OUT),
+    "s09_s13_trivy": lambda s, d: rp.trivy(_records(s, d, "dependencies.trivy"), _manifests(s, d)).selectExpr(*_OUT, "metadata['packageName'] AS package", "metadata['fixedVersion'] AS fixed"),
+    "s09_trivy_config": lambda s, d: rp.trivy(_records(s, d, "iac.trivy-config"), _manifests(s, d)).selectExpr(*_OUT),
+    "s10_osv": lambda s, d: rp.osv(_records(s, d, "dependencies.osv")).selectExpr(*_OUT),
+    "s11_actionlint": lambda s, d: rp.actionlint(_records(s, d, "github-actions.actionlint")).selectExpr(*_OUT),
+    "s12_zizmor": lambda s, d: rp.zizmor(_records(s, d, "github-actions.zizmor")).selectExpr(*_OUT),
+    "s08_sarif": lambda s, d: rp.sarif(_records(s, d, "code-patterns.opengrep")).selectExpr(*_OUT),
     "s14_components": lambda s, d: rp.components(_records(s, d, "sbom.syft")),
     "s15_npm_dependencies": lambda s, d: dependencies.npm_dependencies(_npm(s, d)),
     "s16_advised": lambda s, d: dependencies.advised(dependencies.npm_dependencies(_npm(s, d)), _facts(s, d).where("rule IS NOT NULL").select(F.lit("npm").alias("ecosystem"), F.concat("package", F.lit("-2")).alias("name"), "version", F.col("rule").alias("advisory_id")).distinct()),
