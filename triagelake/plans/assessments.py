@@ -111,12 +111,14 @@ _WITH = lambda *names: ", ".join(_SQL[n] for n in names) + (f", {_NODES}" if "ed
 _WORST = "CASE WHEN list_contains({0}, 'failed') THEN 'failed' WHEN list_contains({0}, 'degraded') THEN 'degraded' WHEN list_contains({0}, 'partial') THEN 'partial' WHEN list_contains({0}, 'skipped') THEN 'skipped' ELSE 'checked' END"
 _S = lambda x: f"array_to_string({x}, ',')"
 _CTX = f"""{_WITH('findings', 'edges', 'flows', 'components', 'links')}, own AS (SELECT DISTINCT f.graph_id, f.finding_id, e.to_id AS node_id FROM findings f JOIN edges e ON e.graph_id = f.graph_id AND e.from_id = f.node_id AND e.kind = 'affects'),
-roots AS (SELECT * FROM findings UNION SELECT * FROM own), touch AS (SELECT r.graph_id, r.finding_id, e.kind, e.edge_id, e.from_id, e.to_id, e.state FROM roots r JOIN edges e ON e.graph_id = r.graph_id AND (e.from_id = r.node_id OR e.to_id = r.node_id) AND e.kind IN ('contradicted_by', 'protected_by')),
-tf AS (SELECT o.graph_id, o.finding_id, min(w.flow_id) AS flow_id FROM own o JOIN flows w ON w.graph_id = o.graph_id AND w.state = 'checked' AND (w.source_id = o.node_id OR w.sink_id = o.node_id OR list_contains(w.control_ids, o.node_id) OR EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = w.graph_id AND list_contains(w.edge_ids, e.edge_id) AND (e.from_id = o.node_id OR e.to_id = o.node_id))) GROUP BY ALL),
+roots AS (SELECT * FROM findings UNION SELECT * FROM own), guards AS (SELECT * FROM edges WHERE kind IN ('contradicted_by', 'protected_by')), touch AS (SELECT r.graph_id, r.finding_id, e.kind, e.edge_id, e.from_id, e.to_id, e.state FROM roots r JOIN guards e ON e.graph_id = r.graph_id AND e.from_id = r.node_id UNION SELECT r.graph_id, r.finding_id, e.kind, e.edge_id, e.from_id, e.to_id, e.state FROM roots r JOIN guards e ON e.graph_id = r.graph_id AND e.to_id = r.node_id),
+fe AS (SELECT w.graph_id, w.flow_id, e.from_id, e.to_id, e.state FROM (SELECT graph_id, flow_id, unnest(edge_ids) AS edge_id FROM flows) w JOIN edges e ON e.graph_id = w.graph_id AND e.edge_id = w.edge_id), fs AS (SELECT graph_id, flow_id, list(state) AS ss FROM fe GROUP BY ALL),
+fn AS (SELECT graph_id, flow_id, unnest(list_concat([source_id, sink_id], control_ids)) AS node_id FROM flows UNION SELECT graph_id, flow_id, from_id FROM fe UNION SELECT graph_id, flow_id, to_id FROM fe),
+tf AS (SELECT o.graph_id, o.finding_id, min(fn.flow_id) AS flow_id FROM own o JOIN fn ON fn.graph_id = o.graph_id AND fn.node_id = o.node_id JOIN flows w ON w.graph_id = fn.graph_id AND w.flow_id = fn.flow_id AND w.state = 'checked' GROUP BY ALL),
 raw AS (SELECT graph_id, finding_id, CASE kind WHEN 'contradicted_by' THEN 0 ELSE 6 END AS rank, [from_id, to_id] AS ns, [edge_id] AS es, [state] AS ss, []::VARCHAR[] AS hs FROM touch
   UNION ALL SELECT graph_id, finding_id, 1, node_ids, edge_ids, ['checked'], [hypothesis_id] FROM links
   UNION ALL SELECT f.graph_id, f.finding_id, 2, [e.from_id, e.to_id], [e.edge_id], [e.state], [] FROM findings f JOIN edges e ON e.graph_id = f.graph_id AND e.from_id = f.node_id AND e.kind = 'supported_by' WHERE e.to_id NOT LIKE 'f%'
-  UNION ALL SELECT t.graph_id, t.finding_id, 3, list_concat([o.node_id, w.source_id, w.sink_id], w.control_ids), w.edge_ids, (SELECT list(e.state) FROM edges e WHERE e.graph_id = w.graph_id AND list_contains(w.edge_ids, e.edge_id)), [] FROM tf t JOIN flows w ON w.graph_id = t.graph_id AND w.flow_id = t.flow_id JOIN own o ON o.graph_id = t.graph_id AND o.finding_id = t.finding_id
+  UNION ALL SELECT t.graph_id, t.finding_id, 3, list_concat([o.node_id, w.source_id, w.sink_id], w.control_ids), w.edge_ids, coalesce(fs.ss, []), [] FROM tf t JOIN flows w ON w.graph_id = t.graph_id AND w.flow_id = t.flow_id LEFT JOIN fs ON fs.graph_id = w.graph_id AND fs.flow_id = w.flow_id JOIN own o ON o.graph_id = t.graph_id AND o.finding_id = t.finding_id
   UNION ALL SELECT graph_id, unnest(finding_ids), CASE WHEN level = 'present' THEN 5 ELSE 4 END, [component_id], path_edge_ids, [state], [] FROM components WHERE level IN ('imported', 'used', 'reachable_from_boundary') OR (level = 'present' AND state = 'checked')),
 best AS (SELECT graph_id, finding_id, min(rank) AS rank FROM raw GROUP BY ALL), got AS (SELECT raw.graph_id, raw.finding_id, raw.rank, list_sort(list_distinct(flatten(list(ns)))) AS ns, list_sort(list_distinct(flatten(list(es)))) AS es, list_sort(list_distinct(flatten(list(hs)))) AS hs, flatten(list(ss)) AS ss FROM raw JOIN best ON best.graph_id = raw.graph_id AND best.finding_id = raw.finding_id AND best.rank = raw.rank GROUP BY ALL),
 ctx AS (SELECT f.graph_id, f.finding_id, CASE rank WHEN 0 THEN 'contradicted' WHEN 1 THEN 'linked_to_hypothesis' WHEN 2 THEN 'corroborated' WHEN 3 THEN 'corroborated' WHEN 4 THEN 'corroborated' WHEN 5 THEN 'weakened' WHEN 6 THEN 'weakened' ELSE 'standalone' END AS status, coalesce(ns, []) AS node_ids, coalesce(es, []) AS edge_ids, coalesce(hs, []) AS hypothesis_ids,
@@ -129,7 +131,7 @@ grp AS (SELECT a.graph_id, 'group_' || substr(sha256('direct' || chr(0) || a.act
   CASE WHEN hs IS NULL THEN 'Direct action ' || a.action_id || ' has no linked static hypotheses.' ELSE 'Direct action ' || a.action_id || ' includes linked static hypotheses: ' || array_to_string(hs, ', ') || '.' END AS reason FROM actions a LEFT JOIN ha ON ha.graph_id = a.graph_id AND ha.action_id = a.action_id
   UNION ALL SELECT graph_id, 'group_' || substr(sha256('hypothesis' || chr(0) || hypothesis_id), 1, 16), 'hypothesis', 'hypothesis:' || family, (CASE status WHEN 'statically_supported' THEN 80 WHEN 'candidate' THEN 50 ELSE 30 END + floor(confidence * 10 + 0.5))::BIGINT, CASE status WHEN 'statically_supported' THEN 'degrades' ELSE 'informational' END, [], list_sort(finding_ids), [hypothesis_id],
   'Static hypothesis ' || hypothesis_id || ' has no matching direct action and should be shown as a likely attack path.' FROM hypotheses y WHERE status <> 'statically_contradicted' AND NOT EXISTS (SELECT 1 FROM al WHERE al.graph_id = y.graph_id AND al.hypothesis_id = y.hypothesis_id))"""
-_EV = "list_sort(list_distinct(flatten(coalesce((SELECT list(h.evidence_ids) FROM held h WHERE h.graph_id = c.graph_id AND list_contains(list_concat({0}_node_ids, {0}_edge_ids), h.id)), []))))"
+_EV = "{0}_ev AS (SELECT i.graph_id, i.candidate_id, list_sort(list_distinct(flatten(list(h.evidence_ids)))) AS {0}_ids FROM (SELECT graph_id, candidate_id, unnest(list_concat({0}_node_ids, {0}_edge_ids)) AS id FROM candidates) i JOIN held h ON h.graph_id = i.graph_id AND h.id = i.id GROUP BY ALL)"
 _HINTED = """hh AS (SELECT graph_id, hypothesis_id, hint_id, fixtures, notes, gaps FROM hints WHERE hypothesis_id IS NOT NULL UNION SELECT i.graph_id, y.hypothesis_id, hint_id, fixtures, notes, gaps FROM hints i JOIN hypotheses y ON y.graph_id = i.graph_id AND y.candidate_id = i.candidate_id),
 hl AS (SELECT graph_id, hypothesis_id, list_distinct(flatten(list(fixtures))) AS fx, list_sort(list_distinct(flatten(list(notes)))) AS nt, list_distinct(flatten(list(gaps))) AS gp FROM hh GROUP BY ALL)"""
 _RECIPES = f"""{_SQL['hypotheses']}, {_SQL['hints']}, {_HINTED}, rec AS (SELECT y.graph_id, 'recipe_' || substr(sha256(y.hypothesis_id), 1, 16) AS recipe_id, y.hypothesis_id, list_sort(list_distinct(list_concat(required_validation, coalesce(fx, [])))) AS fixtures,
@@ -141,12 +143,12 @@ _MSG = lambda *rows: " UNION ALL ".join(f"SELECT '{check}' AS check_id, {record}
 ORACLE_SQL = {
     "g19_contexts": f"WITH {_CTX} SELECT graph_id, finding_id, status, {_S('node_ids')} AS node_ids, {_S('edge_ids')} AS edge_ids, {_S('hypothesis_ids')} AS hypothesis_ids, reason, state FROM ctx",
     "g20_touched_flows": f"WITH {_CTX} SELECT * FROM tf",
-    "j15_g17_static_hypotheses": f"""WITH {_WITH('candidates', 'edges')}, held AS (SELECT graph_id, node_id AS id, evidence_ids FROM nodes UNION ALL SELECT graph_id, edge_id, evidence_ids FROM edges),
+    "j15_g17_static_hypotheses": f"""WITH {_WITH('candidates', 'edges')}, held AS (SELECT graph_id, node_id AS id, evidence_ids FROM nodes UNION ALL SELECT graph_id, edge_id, evidence_ids FROM edges), {_EV.format('supporting')}, {_EV.format('contradicting')},
 c AS (SELECT *, CASE WHEN len(list_filter(coverage_refs, lambda r: ends_with(r, ':failed'))) > 0 THEN 'failed' WHEN len(list_filter(coverage_refs, lambda r: ends_with(r, ':degraded'))) > 0 THEN 'degraded' WHEN len(list_filter(coverage_refs, lambda r: ends_with(r, ':partial'))) > 0 THEN 'partial' WHEN len(list_filter(coverage_refs, lambda r: ends_with(r, ':skipped'))) > 0 THEN 'skipped' WHEN len(list_filter(coverage_refs, lambda r: contains(r, 'coverage-unavailable'))) > 0 THEN 'skipped' ELSE 'checked' END AS state FROM candidates),
 j AS (SELECT *, CASE WHEN len(contradicting_node_ids) + len(contradicting_edge_ids) > 0 THEN 'statically_contradicted' WHEN state <> 'checked' THEN 'inconclusive' WHEN len(supporting_edge_ids) = 0 THEN 'candidate' ELSE 'statically_supported' END AS status FROM c)
 SELECT graph_id, 'hypothesis_' || substr(sha256(graph_id || chr(0) || candidate_id), 1, 16) AS hypothesis_id, candidate_id, family, rule_id, title, status, CASE status WHEN 'statically_contradicted' THEN 0.1::DOUBLE WHEN 'inconclusive' THEN CASE WHEN state = 'failed' THEN 0.15::DOUBLE ELSE 0.25::DOUBLE END WHEN 'candidate' THEN 0.5::DOUBLE ELSE least(9500, 6500 + 500 * len(supporting_edge_ids) + 100 * len(supporting_node_ids) + 400 * len(finding_ids)) / 10000.0::DOUBLE END AS confidence, state,
 CASE status WHEN 'statically_supported' THEN 'Static graph evidence supports "' || title || '" across ' || len(supporting_edge_ids) || ' graph edges; runtime validation is still required.' WHEN 'statically_contradicted' THEN 'Observed graph controls or contradictions block static support for "' || title || '".' WHEN 'inconclusive' THEN 'Static support for "' || title || '" is inconclusive because graph coverage is ' || state || '; destination allowlist was not observed on the analyzed path.' ELSE 'Candidate graph references exist for "' || title || '", but there is no supporting path edge strong enough for static support.' END AS summary,
-{_S('finding_ids')} AS finding_ids, {_S('required_validation')} AS required_validation, {_S(_EV.format('supporting'))} AS supporting_evidence_ids, {_S(_EV.format('contradicting'))} AS contradicting_evidence_ids FROM j c""",
+{_S('finding_ids')} AS finding_ids, {_S('required_validation')} AS required_validation, {_S("coalesce(supporting_ids, [])")} AS supporting_evidence_ids, {_S("coalesce(contradicting_ids, [])")} AS contradicting_evidence_ids FROM j LEFT JOIN supporting_ev USING (graph_id, candidate_id) LEFT JOIN contradicting_ev USING (graph_id, candidate_id)""",
     "j18_finding_links": f"WITH {_SQL['hypotheses']} SELECT DISTINCT graph_id, unnest(finding_ids) AS finding_id, hypothesis_id FROM hypotheses WHERE status <> 'statically_contradicted'",
     "j16_linked_actions": f"WITH {_GROUPS} SELECT * FROM al",
     "g21_j17_action_groups": f"WITH {_GROUPS} SELECT graph_id, group_id, lead, remediation_key, score, impact, {_S('action_ids')} AS action_ids, {_S('finding_ids')} AS finding_ids, {_S('hypothesis_ids')} AS hypothesis_ids, reason FROM grp",
