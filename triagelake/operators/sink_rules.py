@@ -193,9 +193,14 @@ def _outbound(code: Column, e: dict[str, Column]) -> Column:
     return F.when(e["browser"] | text.rlike(r"this\.http|httpclient"), "outbound_http").when(controlled, "server_side_request").otherwise("outbound_http")
 
 
-def sink_of(candidate: Column, code: Column, e: dict[str, Column]) -> Column:
-    """The sink type of one text of a call; null if no rule matches."""
-    lower, method = F.lower(candidate), F.lower(method_name(candidate))
+def read(text: Column) -> Column:
+    """A text of a call with what rules ask of it, computed once: its lower case and the name of its method."""
+    return F.struct(text.alias("text"), F.lower(text).alias("lower"), method_name(text).alias("name"))
+
+
+def sink_of(said: Column, code: Column, e: dict[str, Column]) -> Column:
+    """The sink type of one text of a call, as read() gives it; null if no rule matches."""
+    candidate, lower, method = said["text"], said["lower"], F.lower(said["name"])
     out = F.when(F.lit(False), None)
     for rule in RULES:
         match = F.lit(False)
@@ -225,11 +230,11 @@ def call_sinks(entities: DataFrame) -> DataFrame:
     c = F.col("call")
     selected = F.coalesce(c["resolved"], c["name"])
     texts = F.array_distinct(F.filter(F.array(selected, c["name"], c["resolved"], c["code"]), lambda x: x.isNotNull() & (x != "")))
-    tried = F.transform(texts, lambda x: F.struct(x.alias("text"), sink_of(x, F.coalesce(c["code"], x), e).alias("sink")))
+    tried = F.transform(F.transform(texts, read), lambda x: F.struct(x["text"].alias("text"), x["name"].alias("name"), sink_of(x, F.coalesce(c["code"], x["text"]), e).alias("sink")))
     hit = F.get(F.filter(tried, lambda x: x["sink"].isNotNull()), F.lit(0))
     found = rows.select("repo_id", "full_name", "path", F.coalesce(c["line"], F.col("line")).alias("line"), c["nth"].alias("nth"), selected.alias("call_name"), hit.alias("hit")).where("hit IS NOT NULL")
     text = F.col("hit.text")
-    label = F.when(text.contains("child_process.exec"), "child_process.exec").when(F.lower(text).contains("runtime.exec"), "Runtime.exec").otherwise(method_name(text))
+    label = F.when(text.contains("child_process.exec"), "child_process.exec").when(F.lower(text).contains("runtime.exec"), "Runtime.exec").otherwise(F.col("hit.name"))
     return found.select("repo_id", "full_name", "path", "line", "nth", "call_name", label.alias("label"), F.col("hit.sink").alias("sink_type"))
 
 

@@ -175,7 +175,7 @@ UNION ALL SELECT w.graph_id, 'flow:' || flow_id, 'flow', w.state, coalesce(x.lab
         ("unknown_status", "finding_id", "has an unknown status", "sp WHERE status = 'odd'"), ("standalone_context", "finding_id", "is standalone but has context", "sp WHERE status = 'standalone' AND (node_ids <> [] OR edge_ids <> [] OR hs <> [])"),
         ("unlinked", "finding_id", "is linked without hypotheses", "sp WHERE status = 'linked_to_hypothesis' AND hs = []"), ("stray_hypotheses", "finding_id", "has hypotheses that its status does not allow", "sp WHERE status IN ('contradicted', 'corroborated', 'weakened') AND hs <> []"), ("no_context", "finding_id", "has no context that its status needs", "sp WHERE status IN ('contradicted', 'corroborated', 'weakened') AND node_ids = [] AND edge_ids = []"),
     ),
-    "v08_components": f"WITH {_SQL['components']} " + _MSG(("no_path", "component_id", "has no path that its level needs", "components WHERE level NOT IN ('present', 'unknown') AND path_edge_ids = []")),
+    "v08_components": f"WITH {_SQL['components']} " + _MSG(("no_path", "component_id", "has no path that its level needs", "components WHERE level NOT IN ('present', 'unknown') AND path_edge_ids = []"), ("duplicate", "component_id", "is not unique", "(SELECT component_id FROM components GROUP BY graph_id, component_id HAVING count(*) > 1)")),
     "v09_recipes": f"WITH {_RECIPES} " + _MSG(("no_steps", "hypothesis_id", "has no steps", "rec WHERE len(gaps) > 1"), ("unknown_hypothesis", "rec.hypothesis_id", "references an unknown hypothesis", "rec JOIN hypotheses y ON y.graph_id = rec.graph_id AND y.hypothesis_id = rec.hypothesis_id WHERE family = 'fam2'")),
     "v10_v17_groups": f"WITH {_GROUPS}, sp AS (SELECT *, CASE WHEN score % 10 = 0 THEN [] ELSE action_ids END AS acts FROM grp) " + _MSG(
         ("no_action", "group_id", "is led by a finding without an action", "sp WHERE lead = 'direct_finding' AND acts = []"), ("unknown_action", "group_id", "references an unknown action", "sp JOIN actions a ON a.graph_id = sp.graph_id AND list_contains(sp.acts, a.action_id) WHERE a.score % 7 = 0"),

@@ -8,7 +8,7 @@ from triagelake.operators import correlation as co
 from triagelake.operators import property_graph as pg
 from triagelake.operators import workflows
 from triagelake.sources import programs, trees
-from triagelake.sources.shared import written
+from triagelake.sources.shared import once
 
 from . import files as fp
 from .programs import _CONTEXT, _ENTITY, _SYMBOL, _lit
@@ -69,8 +69,14 @@ def _code(s, d):
 
 
 def _written_code(s, d):
-    nodes, edges = _code(s, d)
-    return written(nodes, "code-nodes"), written(edges, "code-edges")
+    pair: list = []
+
+    def built(k):
+        if not pair:
+            pair.extend(_code(s, d))
+        return pair[k]
+
+    return once(s, "code-nodes", d, lambda: built(0)), once(s, "code-edges", d, lambda: built(1))
 
 
 def _ci(s, d):
@@ -117,13 +123,13 @@ def _protected(edges):
 
 def _candidates(s, d):
     nodes, edges = _written_code(s, d)
-    return written(co.candidates(nodes, _protected(edges), contexts(s, d), coverage(s, d), co.RULES[:2]), "candidates")
+    return once(s, "candidates", d, lambda: co.candidates(nodes, _protected(edges), contexts(s, d), coverage(s, d), co.RULES[:2]))
 
 
 CANDIDATE = ("graph_id", "candidate_id", "rule_id", "title", "reason", "start_key", "end_key")
 QUERIES = {
-    "g02_g05_j08_j11_code_nodes": lambda s, d: _code(s, d)[0].selectExpr(*NODE_COLUMNS),
-    "g02_g05_j08_j11_code_edges": lambda s, d: _code(s, d)[1].selectExpr(*EDGE_COLUMNS),
+    "g02_g05_j08_j11_code_nodes": lambda s, d: _written_code(s, d)[0].selectExpr(*NODE_COLUMNS),
+    "g02_g05_j08_j11_code_edges": lambda s, d: _written_code(s, d)[1].selectExpr(*EDGE_COLUMNS),
     "g06_ci_nodes": lambda s, d: _ci(s, d)[0].selectExpr(*NODE_COLUMNS),
     "g06_ci_edges": lambda s, d: _ci(s, d)[1].selectExpr(*EDGE_COLUMNS),
     "g07_infra_nodes": lambda s, d: pg.infra_graph(fp._infra(s, d))[0].selectExpr(*NODE_COLUMNS),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from triagelake.operators import correlation, quick
 from triagelake.sources import reports as rp
-from triagelake.sources.shared import written
+from triagelake.sources.shared import once
 
 from . import scores
 from .reports import _FACT, _GOOD, TOOLS, _facts, _records
@@ -30,7 +30,7 @@ def _files(s, d):
 
 
 def _findings(s, d):
-    return written(quick.found(_candidates(s, d), _files(s, d)), "quick-findings")
+    return once(s, "quick-findings", d, lambda: quick.found(_candidates(s, d), _files(s, d)))
 
 
 def _coverage(s, d):

@@ -8,6 +8,7 @@ from triagelake.functions import findings as fn
 from triagelake.operators import findings as op
 from triagelake.operators import graph, integrity
 from triagelake.sources import corpus
+from triagelake.sources.shared import once
 
 from . import assessments, code, components, files, graphs, programs, quick, reports, scores, tables, triage
 from .findings_sql import FILES as _FILES
@@ -15,7 +16,7 @@ from .findings_sql import FOUND as _FOUND
 from .findings_sql import SEVERITY_RANK as _SEV
 
 def _dedup(spark, d):
-    return op.deduplicated(op.candidates(spark, d))
+    return once(spark, "text-findings", d, lambda: op.deduplicated(op.candidates(spark, d)))
 
 
 QUERIES = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from triagelake.sources import programs, slices, tables
 from triagelake.sources.shared import folder
+from triagelake.streaming import events
 
 from . import assessments as az
 from .programs import _CONTEXT
@@ -129,6 +130,7 @@ def _assembled(s, d):
 QUERIES = {
     "s25_artifacts": _artifacts, "s26_s27_graph_tables": _graphs, "s28_history": _history, "s29_coverage_table": _coverage, "s30_s31_assessments": _assessments, "s32_expectations": lambda s, d: _expectations(s, d).fillna(0, ["min_findings"]), "s33_challenges": _challenges,
     "s20_entities": _entities, "s21_flow_seeds": _seeds, "s22_usages": _usages, "s23_tabular_rows": lambda s, d: slices.rows_of(_lines(s, d)).select("repo_id", "record", "method", F.coalesce("number", F.lit(0)).cast("long").alias("number"), F.coalesce("name", F.lit("")).alias("name"), F.array_join("arguments", ";").alias("arguments")),
+    "event_windows": lambda s, d: events.arrived(s, f"{d}/events.parquet", _at(s, "event-windows")).select(F.date_format("since", "yyyy-MM-dd HH").alias("since"), "event_type", "n", "cents"),
     "s24_request_seeds": lambda s, d: slices.request_seeds(slices.rows_of(_lines(s, d))), "s34_assembled": _assembled,
 }
 _KNOWN = "known AS (SELECT DISTINCT repo_id, path FROM ent WHERE line % 4 > 0)"
@@ -147,6 +149,7 @@ SELECT file, NULL::VARCHAR AS id, NULL::VARCHAR AS origin_url, NULL::VARCHAR AS
     "s23_tabular_rows": """SELECT 'repo' || (c_custkey % 5) AS repo_id, 'METHOD' AS record, 'm' || c_custkey AS method, (c_custkey % 70 + 1)::BIGINT AS number, '' AS name, '' AS arguments FROM customer UNION ALL SELECT 'repo' || (o_custkey % 5), 'CALL', 'm' || o_custkey, o_orderkey % 80, 'call' || o_orderkey, 'a=' || o_orderkey || ';b=é' FROM orders
 UNION ALL SELECT 'repo' || (o_custkey % 5), 'PARAM', 'm' || o_custkey, o_orderkey % 4, CASE WHEN o_orderkey % 2 = 0 THEN 'req' WHEN o_orderkey % 5 = 0 THEN 'Body' ELSE 'x' END, '' FROM orders WHERE o_orderkey % 3 = 0""",
     "s24_request_seeds": "SELECT 'repo' || (o_custkey % 5) AS repo_id, 'm' || o_custkey AS full_name, 'src/' || c_mktsegment AS path, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 ELSE c_custkey % 70 + 1 END::BIGINT AS line, CASE WHEN o_orderkey % 2 = 0 THEN 'req' ELSE 'Body' END AS source_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 5 = 0)",
+    "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS since, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL",
     "s34_assembled": """WITH c AS (SELECT o_custkey, string_agg('call' || o_orderkey || ':call(' || o_orderpriority || ')', '|' ORDER BY o_orderkey % 80, 'call' || o_orderkey) AS calls FROM orders GROUP BY ALL), p AS (SELECT o_custkey, string_agg(n, ',' ORDER BY k, n) AS parameters FROM (SELECT o_custkey, o_orderkey % 4 AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'req' WHEN o_orderkey % 5 = 0 THEN 'Body' ELSE 'x' END AS n FROM orders WHERE o_orderkey % 3 = 0) GROUP BY ALL)
 SELECT 'repo' || (c_custkey % 5) AS repo_id, 'm' || c_custkey AS full_name, 'src/' || c_mktsegment AS path, (c_custkey % 70 + 1)::BIGINT AS line, coalesce(parameters, '') AS parameters, coalesce(calls, '') AS calls FROM customer LEFT JOIN c ON c.o_custkey = c_custkey LEFT JOIN p ON p.o_custkey = c_custkey""",
 }

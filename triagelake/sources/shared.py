@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +24,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def once(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+    """What build() gives for a folder of tables, written by the first query of an application that asks and read by the others.
+
+    If the written table is gone, it is built again.
+    """
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key in _KEPT:
+        path, schema = _KEPT[key]
+        try:
+            spark.read.parquet(path)
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:
+            del _KEPT[key]
+    df = build()
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _KEPT[key] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)
