@@ -244,6 +244,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     places = _repeats(docs, id_col, text_col, window, GRAM, MAX_CELLS)
     joined = docs.join(places, (docs[id_col].cast("long") == places["doc_id"]) & (_mark(text_col, docs) == places["mark"]), "left")
     cut, text = places["places"].isNotNull(), docs[text_col]
+    spare = "_".join(["cut", *(c.lower() for c in docs.columns)])  # longer than any name that docs have
 
     @F.arrow_udf("string")
     def kept(text: pa.Array, places: pa.Array) -> pa.Array:
@@ -252,8 +253,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     # only texts that lose words go to Python workers
     new = kept(F.when(cut, text.cast("string")), places["places"])
-    joined = joined.select(*(docs[c] for c in docs.columns), F.struct(cut.alias("cut"), new.alias("text")).alias("__cut"))
-    at = F.col("__cut")
+    joined = joined.select(*(docs[c] for c in docs.columns), F.struct(cut.alias("cut"), new.alias("text")).alias(spare))
+    at = F.col(f"`{spare}`")
     changed = {text_col: at["text"], length_col: F.length(at["text"])}
     of = lambda c: F.when(at["cut"], changed[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`")
     return joined.select(*(of(c) for c in docs.columns))
