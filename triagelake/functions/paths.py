@@ -108,10 +108,21 @@ def is_asset(path: Column) -> Column:
     return F.arrays_overlap(F.split(low, "/"), F.array(*(F.lit(x) for x in ASSETS))) | low.contains("-doc/") | low.rlike(r"\.(min|bundle)\.js$")
 
 
+def _file_url(url: Column) -> Column:
+    """The path of a file:// URL of this machine; null for other hosts, encoded slashes, malformed escapes and bytes that are no UTF-8."""
+    path = F.regexp_extract(url, r"^file://(?i:localhost)?(/[^?#]*)", 1)
+    kept = F.split(path, "/")
+    up = lambda done, part: F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(part)))
+    path = F.array_join(F.aggregate(F.slice(kept, 2, F.size(kept)), F.slice(kept, 1, 1), up), "/")
+    decoded = F.try_url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    bad = (path == "") | path.rlike("(?i)%2f") | path.rlike("%(?![0-9A-Fa-f]{2})") | (decoded.contains("\ufffd") & ~path.contains("\ufffd"))
+    return F.when(~bad, decoded)
+
+
 def scanned(path: Column) -> Column:
     """A scanner's path in the repository: no file scheme, source directory or ./; null where that is not safe."""
-    out = F.trim(path)
-    out = F.when(out.startswith("file://"), F.url_decode(F.regexp_replace(out, "^file://(localhost)?", ""))).otherwise(out)
+    out = F.regexp_replace(path, r"(?U)^\s+|\s+$", "")
+    out = F.when(out.startswith("file://"), _file_url(out)).otherwise(out)
     out = F.regexp_replace(F.regexp_replace(out, f"^{SOURCE_DIR}/", ""), r"^\./", "")
     bad = (out == "") | out.contains("\0") | out.contains("\\") | F.exists(F.split(out, "/"), lambda p: p.isin("", ".", ".."))
     return F.when(~bad, out)

@@ -160,8 +160,20 @@ def contexts(entities: DataFrame) -> DataFrame:
     )
 
 
-def _named(names: Column, text: Column, before: str, after: str) -> Column:
-    return F.exists(names, lambda n: F.rlike(text, F.concat(F.lit(before), n, F.lit(after))))
+def _quoted(name: Column) -> Column:
+    """A pattern of the name itself, whatever characters it holds (`{ id }`, `$id`)."""
+    return F.regexp_replace(name, r"([^\w])", r"\\$1")
+
+
+def _edge(name: Column, end: str) -> Column:
+    """A word boundary where the name begins ("^") or ends ("$") with a word character; beside others there is none to ask for."""
+    return F.when(name.rlike(r"^\w" if end == "^" else r"\w$"), r"\b").otherwise("")
+
+
+def _named(names: Column, text: Column, before: str, after: str, whole: bool = False) -> Column:
+    """Whether the text holds one of the names between two patterns; whole: as a word of its own."""
+    bare = lambda n: F.concat(_edge(n, "^"), _quoted(n), _edge(n, "$")) if whole else _quoted(n)
+    return F.exists(names, lambda n: F.rlike(text, F.concat(F.lit(before), bare(n), F.lit(after))))
 
 
 def _holds(rule: str, candidate: Column, e: dict[str, Column]) -> Column:
@@ -189,7 +201,7 @@ def _outbound(code: Column, e: dict[str, Column]) -> Column:
     """Whether a request's values decide where a call goes; code that runs in browsers is not asked."""
     text = F.lower(code)
     hinted = e["external"] | e["boundary"].isNotNull()
-    controlled = text.rlike(REQUEST_VALUE) | (hinted & (_named(e["names"], text, r"(?i)\b", r"\b") | (e["external"] & text.rlike(TARGET_NAME))))
+    controlled = text.rlike(REQUEST_VALUE) | (hinted & (_named(e["names"], text, "(?i)", "", whole=True) | (e["external"] & text.rlike(TARGET_NAME))))
     return F.when(e["browser"] | text.rlike(r"this\.http|httpclient"), "outbound_http").when(controlled, "server_side_request").otherwise("outbound_http")
 
 
@@ -244,7 +256,8 @@ def entity_sinks(entities: DataFrame, calls: DataFrame) -> DataFrame:
     text = F.lower(F.concat_ws("\n", "descriptor", "wide"))
     http = F.col("http")
     weak = F.filter(F.array(*(F.lit(w) for w in WEAK)), lambda w: F.rlike(text, F.concat(F.lit("(?:^|[^a-z0-9])"), w, F.lit("(?:[^a-z0-9]|$)"))))
-    raw = F.exists("names", lambda n: F.rlike(text, F.concat(F.lit(r"(?:\+\s*|\$\{\s*|%\s*|\{\s*)"), n, F.lit(r"\b|\b"), n, F.lit(r"\s*(?:\+|%|,|\})"))))
+    inserted = lambda n: F.concat(F.lit(r"(?:\+\s*|\$\{\s*|%\s*|\{\s*)"), _quoted(n), _edge(n, "$"), F.lit("|"), _edge(n, "^"), _quoted(n), F.lit(r"\s*(?:\+|%|,|\})"))
+    raw = F.exists("names", lambda n: F.rlike(text, inserted(n)))
     reflected = http & text.rlike(RESPONSE) & raw & ~text.rlike(ENCODED)
     html, plain = text.rlike(HTML_TEXT), text.rlike(PLAIN_RESPONSE)
     login = http & text.rlike(LOGIN[0]) & text.rlike(LOGIN[1]) & text.rlike(LOGIN[2]) & text.rlike(DECISION)

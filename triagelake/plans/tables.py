@@ -24,15 +24,16 @@ def _artifacts(s, d):
     contents = s.read.parquet(f"{d}/documents.parquet").select(F.encode("text", "UTF-8").alias("content"))
     tables.store_artifacts(contents.where(F.length("content") < 3000), path)
     stored = tables.store_artifacts(contents, path)
-    return s.read.parquet(path).select("sha256", "bytes").join(stored.select("sha256", "location"), "sha256")
+    return tables.artifacts(s, path).select("sha256", "bytes").join(stored.select("sha256", "location"), "sha256")
 
 
 def _graphs(s, d):
-    """Nodes of all graphs, then those of two graphs again, without resources."""
+    """Nodes of all graphs, then those of two graphs again, without resources, then one graph by nothing."""
     path, nodes = _at(s, "graphs"), az.nodes(s, d).drop("evidence_ids")
     tables.replace_graphs({"nodes": nodes}, path)
     tables.replace_graphs({"nodes": nodes.where("graph_id IN ('g1', 'g2') AND kind <> 'Resource'")}, path)
-    return tables.graph_table(s, path, "nodes", "g0", "g1").select("graph_id", "node_id", "kind")
+    tables.replace_graphs({"nodes": nodes.where("false")}, path, s.createDataFrame([("g3",)], "graph string"))
+    return tables.graph_table(s, path, "nodes").select("graph_id", "node_id", "kind")
 
 
 def _history(s, d):
@@ -40,7 +41,7 @@ def _history(s, d):
     rows = s.read.parquet(f"{d}/orders.parquet").selectExpr("'run' || (o_custkey % 50) AS run_id", "'stage' || (o_orderkey % 4) AS stage", "CAST(o_orderkey % 3 AS INT) AS attempt", "'done' AS status")
     tables.append_history(rows.where("attempt < 2"), path)
     tables.append_history(rows, path)
-    return s.read.parquet(path)
+    return tables.history(s, path, rows.schema)
 
 
 def _coverage(s, d):
@@ -48,7 +49,8 @@ def _coverage(s, d):
     rows = s.read.parquet(f"{d}/part.parquet").selectExpr("'run' || (p_partkey % 6) AS run_id", "'area' || (p_partkey % 5) AS area", "'p' || (p_size % 3) AS producer", "'checked' AS state").distinct()
     tables.replace_coverage(rows, path)
     tables.replace_coverage(rows.where("run_id = 'run2' AND area <> 'area1'").withColumn("state", F.lit("partial")), path)
-    return tables.coverage_of(s, path, "run1", "run2")
+    tables.replace_coverage(rows.where("false"), path, s.createDataFrame([("run3",)], "run string"))
+    return tables.coverage_of(s, path, "run1", "run2", "run3")
 
 
 def _assessments(s, d):
@@ -56,8 +58,8 @@ def _assessments(s, d):
     path = _at(s, "assessments")
     finding = F.struct(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("severity"), F.array(F.struct(F.concat(F.lit("a"), (F.col("o_orderkey") % 9).cast("string")).alias("filePath"), (F.col("o_orderkey") % 50).alias("startLine"))).alias("locations"))
     rows = s.read.parquet(f"{d}/orders.parquet").groupBy(F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("repo_id")).agg(F.array_sort(F.collect_list(finding)).alias("findings"), F.lit("not-ready-to-deploy").alias("verdict"))
-    tables.write_assessments(rows.repartition(8), path)
-    back = tables.read_assessments(s, path, "repo_id string, verdict string, findings array<struct<id string, severity string, locations array<struct<filePath string, startLine long>>>>")
+    tables.write_assessments(rows, path, "run1")
+    back = tables.read_assessments(s, path, "repo_id string, verdict string, findings array<struct<id string, severity string, locations array<struct<filePath string, startLine long>>>>", "run1")
     each = back.select("repo_id", "verdict", F.explode("findings").alias("f"))
     return each.select("repo_id", "verdict", F.col("f.id").alias("finding_id"), F.col("f.severity").alias("severity"), F.concat(F.col("f.locations")[0]["filePath"], F.lit(":"), F.col("f.locations")[0]["startLine"].cast("string")).alias("place"))
 
@@ -136,7 +138,7 @@ QUERIES = {
 _KNOWN = "known AS (SELECT DISTINCT repo_id, path FROM ent WHERE line % 4 > 0)"
 ORACLE_SQL = {
     "s25_artifacts": "SELECT DISTINCT sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS bytes, 'blobs/sha256/' || substr(sha256(text), 1, 2) || '/' || sha256(text) AS location FROM documents",
-    "s26_s27_graph_tables": f"WITH {az._SQL['edges']}, {az._NODES} SELECT graph_id, node_id, kind FROM nodes WHERE graph_id = 'g0' OR (graph_id = 'g1' AND kind <> 'Resource')",
+    "s26_s27_graph_tables": f"WITH {az._SQL['edges']}, {az._NODES} SELECT graph_id, node_id, kind FROM nodes WHERE graph_id NOT IN ('g1', 'g2', 'g3') OR (graph_id IN ('g1', 'g2') AND kind <> 'Resource')",
     "s28_history": "SELECT DISTINCT 'run' || (o_custkey % 50) AS run_id, 'stage' || (o_orderkey % 4) AS stage, (o_orderkey % 3)::INT AS attempt, 'done' AS status FROM orders",
     "s29_coverage_table": "WITH c AS (SELECT DISTINCT 'run' || (p_partkey % 6) AS run_id, 'area' || (p_partkey % 5) AS area, 'p' || (p_size % 3) AS producer FROM part) SELECT run_id, area, producer, CASE run_id WHEN 'run2' THEN 'partial' ELSE 'checked' END AS state FROM c WHERE run_id = 'run1' OR (run_id = 'run2' AND area <> 'area1')",
     "s30_s31_assessments": "SELECT 'r' || o_custkey AS repo_id, 'not-ready-to-deploy' AS verdict, 'f' || o_orderkey AS finding_id, o_orderpriority AS severity, 'a' || (o_orderkey % 9) || ':' || (o_orderkey % 50) AS place FROM orders",
