@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 NEIGHBOURS, QUERY_EVERY, FACTOR = 20, 20, 1.0
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 4096, 4096, 128
+#: What rounding may do to a distance, relative to the vectors' norms: bounds let this much more through.
+SLACK = 1e-7
 
 
 def _tree(points: np.ndarray, leaf: int):
@@ -49,6 +51,7 @@ def search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries:
     lifted = np.sqrt(np.maximum(0.0, largest**2 - (points**2).sum(axis=1)))
     leaves, vantages, ways = _tree(np.column_stack([points, lifted]), leaf)
     base = (queries**2).sum(axis=1) + largest**2
+    scale = np.sqrt(base)
     away = lambda scores, rows: np.sqrt(np.maximum(0.0, base[rows, None] - 2 * scores))
     every = np.arange(len(queries))
     bound = np.zeros((len(queries), len(leaves)))
@@ -64,7 +67,7 @@ def search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries:
     for turn in range(len(leaves)):
         at = order[rows, turn]
         limit = np.where(np.isneginf(best[rows, -1]), np.inf, away(np.maximum(best[rows, -1:], -1e300), rows)[:, 0])
-        go = bound[rows, at] * factor <= limit + 1e-9
+        go = bound[rows, at] * factor <= limit + SLACK * scale[rows]
         rows, at = rows[go], at[go]
         if not len(rows):
             break
@@ -72,7 +75,7 @@ def search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries:
         by = np.argsort(at, kind="stable")
         for some in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
             asked, members = rows[some], leaves[at[some[0]]]
-            scores = np.round(queries[asked] @ points[members].T, 12)
+            scores = _products(queries[asked], points[members])
             scores[query_ids[asked][:, None] == ids[members][None, :]] = -np.inf
             better = scores.max(axis=1) >= best[asked, -1]
             asked, scores = asked[better], scores[better]
@@ -85,6 +88,14 @@ def search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries:
     return np.repeat(every, found.sum(axis=1)), names[found], best[found], visited / max(1, len(queries) * len(leaves))
 
 
+def _products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Inner products of all pairs, summed from the first component to the last, so that no blocking of the work changes a bit."""
+    out = np.zeros((len(queries), len(points)))
+    for d in range(points.shape[1]):
+        out += queries[:, d, None] * points[None, :, d]
+    return out
+
+
 def _exact(ids, points, names, queries) -> np.ndarray:
     """Inner products summed from the first component to the last, the same wherever they are computed."""
     order = np.argsort(ids)
@@ -105,7 +116,8 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k candidates with the largest inner product, nearest first.
 
-    Ties go to the smaller id; a query's own id is no candidate. Vectors that are null, empty, all zero or
+    Scores are chosen unrounded, in double precision, however small or large the components are. Ties go to
+    the smaller id; a query's own id is no candidate. Vectors that are null, empty, all zero or
     hold a null or a non-finite component, and rows without an id, take no part; only vectors of the same
     length are compared. Rows that repeat an id are answered once, by the first in sorted order. Empty
     tables give an empty result; other columns are not looked at.
