@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: What an import looks like, by the extension of its file.
 JS_IMPORT = r"(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)['\"]([^'\"]+)['\"]"
 PY_IMPORT, PY_FROM = r"^\s*import\s+(.+)$", r"^\s*from\s+([A-Za-z_]\w*)[\w.]*\s+import\b"
-GO_IMPORT = r'"([^".][^"]*\.[^"]*)"'
+GO_IMPORT = r"[\"`]([^\"`]+)[\"`]"
 JAVA_IMPORT = r"^\s*import\s+(?:static\s+)?([\w.]+)"
 VALUE_CALL, STATE_CHANGE = r"\.call\s*\{\s*value|\.call\.value\s*\(|\.send\s*\(", r"balances\s*\[[^\]]+\]\s*(-=|=[^=])"
 
@@ -29,7 +29,7 @@ def packages(path: Column, line: Column) -> Column:
     named = (
         F.when(path.rlike(r"\.[cm]?[jt]sx?$"), F.transform(F.regexp_extract_all(line, F.lit(JS_IMPORT), F.lit(1)), _js_package))
         .when(path.endswith(".py"), python)
-        .when(path.endswith(".go"), F.regexp_extract_all(line, F.lit(GO_IMPORT), F.lit(1)))
+        .when(path.endswith(".go"), F.filter(F.regexp_extract_all(line, F.lit(GO_IMPORT), F.lit(1)), lambda x: x.contains(".") & ~x.startswith(".")))
         .when(path.endswith(".java") & ~java.rlike(r"^javax?\.") & (F.size(parts) > 1), F.array(F.array_join(F.slice(parts, 1, 3), ".")))
     )
     return F.filter(named, lambda x: x.isNotNull() & (x != ""))
