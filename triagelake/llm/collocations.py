@@ -19,6 +19,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ SHORT = 24
 #: Bits of the bitmap of frequent phrases at most: 32 MB. Beyond 1/16 of them in use it filters less.
 MAX_BITS = 1 << 28
 #: A worker hands its chunks on at so many bytes, and counts phrases over so many words at a time.
-CHUNK_BYTES, BLOCK_WORDS = 24 << 20, 1_200_000
+CHUNK_BYTES, BLOCK_WORDS = 24 << 20, 1_600_000
 _CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,69 +107,79 @@ def _joined(first: np.ndarray, then: np.ndarray) -> np.ndarray:
         return mix(first * _TIMES + then)
 
 
-def _block(lang: str, tokens: list[bytes], limits: np.ndarray, lengths: np.ndarray, weights: np.ndarray, size: int, bitmap: _Bitmap | None):
-    """(phrases, hashes, counts) of one language's chunks: those of `size` words whose shorter phrases pass the bitmap.
+def _block(lang: str, tokens: list[bytes], limits: np.ndarray, lengths: np.ndarray, weights: np.ndarray, wanted: list[tuple[int, int]], bitmap: _Bitmap | None):
+    """For each (size, tested) of wanted: (size, places, hashes, counts) of a language's distinct phrases of `size` words, those whose parts of `tested` words all pass the bitmap.
 
-    tokens: the words of all chunks, one empty token behind each chunk. limits: starts counted in each chunk.
+    tokens: the words of all chunks, one separator behind each chunk. limits: starts counted in each chunk.
     """
-    if len(tokens) <= size:
-        return [], np.empty(0, np.uint64), np.empty(0, np.int64)
     vocabulary: dict[bytes, int] = defaultdict(itertools.count().__next__)
     ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
-    names = list(vocabulary)
     seed = xxhash.xxh64_intdigest(lang.encode())
-    of_word = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))
-    starts = np.cumsum(lengths + 1) - (lengths + 1)
-    place = np.arange(len(tokens)) - np.repeat(starts, lengths + 1)
+    of_word = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
+    single = of_word[ids]
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths + 1) - (lengths + 1), lengths + 1)
+    left = np.repeat(lengths, lengths + 1) - place  # words from here to the end of the chunk
     counted = place < np.repeat(limits, lengths + 1)
     weight = np.repeat(weights, lengths + 1)
-    word = place < np.repeat(lengths, lengths + 1)
-    single = of_word[ids]
-    hashes = single
-    whole = word.copy()
-    for n in range(2, size):  # hashes and validity of phrases of size - 1 words
-        hashes = _joined(hashes[:-1], single[n - 1 :])
-        whole = whole[:-1] & word[n - 1 :]
-    if size == 1:
-        at = np.flatnonzero(whole & counted)
-    else:
-        passed = whole.copy()
-        at = np.flatnonzero(whole)
-        passed[at] = bitmap[hashes[at]]
-        at = np.flatnonzero(passed[:-1] & passed[1:] & whole[:-1] & word[size - 1 :][: len(passed) - 1] & counted[: len(passed) - 1])
-    if not len(at):
-        return [], np.empty(0, np.uint64), np.empty(0, np.int64)
-    key = ids[at]
-    for n in range(1, size):  # exact: each phrase is named by its first words' name and its last word
-        _, key = np.unique(key, return_inverse=True)
-        key = key * len(names) + ids[at + n]
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    counts = np.zeros(len(first), np.int64)
-    np.add.at(counts, inverse, weight[at])
-    at = at[first]
-    final = single[at]
-    for n in range(1, size):
-        final = _joined(final, single[at + n])
-    return [b" ".join(tokens[k : k + size]) for k in at], final, counts
-
-
-def _counter(size: int, bits, longest: int):
+    passed: dict[int, np.ndarray] = {}
+
+    def hashed(at: np.ndarray, size: int) -> np.ndarray:
+        out = single[at]
+        for n in range(1, size):
+            out = _joined(out, single[at + n])
+        return out
+
+    for size, tested in wanted:
+        if tested and tested not in passed:
+            passed[tested] = np.zeros(len(tokens), bool)
+            at = np.flatnonzero(left >= tested)
+            passed[tested][at] = bitmap[hashed(at, tested)]
+        at = np.flatnonzero((left >= size) & counted)
+        for n in range(size - tested + 1 if tested else 0):
+            at = at[passed[tested][at + n]]
+        key = ids[at]
+        for n in range(1, size):  # exact: a phrase is named by its first words' name and its last word
+            if n > 1:
+                _, key = np.unique(key, return_inverse=True)
+            key = key * len(of_word) + ids[at + n]
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        counts = np.zeros(len(first), np.int64)
+        np.add.at(counts, inverse, weight[at])
+        yield size, at[first], hashed(at[first], size), counts
+
+
+def _by_language(batch):
+    """The rows of a batch, language by language: (language, chunks, last, n)."""
+    coded = pa.array(batch.column(0)).dictionary_encode()
+    at = np.asarray(coded.indices)
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(len(coded.dictionary) + 1))
+    for k, lang in enumerate(coded.dictionary.to_pylist()):
+        yield lang, *(batch.column(c).take(pa.array(order[cuts[k] : cuts[k + 1]])) for c in (1, 2, 3))
+
+
+def _counter(wanted: list[tuple[int, int]], named: bool, bits, longest: int):
     def flush(held, bitmap):
-        for lang, rows in held.items():
-            tokens = b" \n ".join([*(c for c, _, _ in rows), b""]).removesuffix(b" ").split(b" ")
-            lengths = np.fromiter((c.count(b" ") + 1 for c, _, _ in rows), np.int64, len(rows))
-            limits = np.where([last for _, last, _ in rows], lengths, lengths - (longest - 1))
-            phrases, hashes, counts = _block(lang, tokens, limits, lengths, np.array([n for _, _, n in rows], np.int64), size, bitmap)
-            if phrases:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), longs(hashes), pa.array(counts)], names=["lang", "phrase", "hash", "n"])
+        for lang, parts in held.items():
+            chunks_, last, n = (pa.chunked_array([p[k] for p in parts]).combine_chunks() for k in range(3))
+            lengths = np.asarray(pc.count_substring(chunks_, " ")).astype(np.int64) + 1
+            limits = np.where(np.asarray(last), lengths, lengths - (longest - 1))
+            tokens = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks_)], pa.int32()), chunks_), " \n ")[0].as_buffer().to_pybytes().split(b" ")
+            tokens.append(b"\n")
+            for size, at, hashes, counts in _block(lang, tokens, limits, lengths, np.asarray(n), wanted, bitmap):
+                if len(at) and named:
+                    phrases = pa.array([b" ".join(tokens[k : k + size]) for k in at], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), size, np.int32)), phrases, longs(hashes), pa.array(counts)], names=["lang", "size", "phrase", "hash", "n"])
+                elif len(at):
+                    yield pa.RecordBatch.from_arrays([longs(hashes), pa.array(counts)], names=["hash", "n"])
 
     def count(batches):
         bitmap = _Bitmap(bits.value) if bits is not None else None
         held, words = {}, 0
         for batch in batches:
-            for lang, chunk, last, n in zip(batch.column(0).to_pylist(), each_text(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                held.setdefault(lang, []).append((chunk, last, n))
-                words += len(chunk) // 5 + 1
+            for lang, chunks_, last, n in _by_language(batch):
+                held.setdefault(lang, []).append((chunks_, last, n))
+                words += chunks_.nbytes // 6
             if words >= BLOCK_WORDS:
                 yield from flush(held, bitmap)
                 held, words = {}, 0
@@ -196,25 +207,41 @@ def _marked(frequent: DataFrame, rows: int):
 
 
 def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: every phrase of 1 to `longest` words that occurs min_count times or more (lang, size, phrase, f), and all words (lang, n)."""
+    """Two written tables: every phrase of 1 to `longest` words that occurs min_count times or more (lang, size, phrase, f), and all words (lang, n).
+
+    Pairs of words are by far the most candidates, so they are first counted by hash alone; the next pass
+    counts by text those whose hash is frequent, and with them the candidates of three words.
+    """
     chunks_ = dictionary(docs, text_col, lang_col, longest)
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/phrases-{uuid.uuid4().hex}"
-    total, bits = None, None
-    schema = "lang string, phrase string, hash long, f long"
-    for size in range(1, longest + 1):
-        found = in_batches(chunks_, _counter(size, bits, longest), "lang string, phrase string, hash long, n long").groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("f"))
-        if size == 1:
-            found = written(found, "words")
-            total = written(found.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-        found.where(F.col("f") >= min_count).write.parquet(f"{path}/size={size}")
-        frequent = spark.read.schema(schema).parquet(f"{path}/size={size}")
-        rows = frequent.count()
-        if not rows:
-            break
-        if size < longest:
-            bits = _marked(frequent, rows)
-    return spark.read.schema(schema + ", size int").option("basePath", path).parquet(path).select("lang", "size", "phrase", "f"), total
+    schema = "lang string, size int, phrase string, hash long, f long"
+
+    def texts_of(wanted, bits):
+        found = in_batches(chunks_, _counter(wanted, True, bits, longest), "lang string, size int, phrase string, hash long, n long")
+        return found.groupBy("lang", "size", "phrase", "hash").agg(F.sum("n").alias("f"))
+
+    def kept(found: DataFrame, name: str) -> DataFrame:
+        found.where(F.col("f") >= min_count).write.parquet(f"{path}/pass={name}")
+        return spark.read.schema(schema).parquet(f"{path}/pass={name}")
+
+    words = written(texts_of([(1, 0)], None), "words")
+    total = written(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    frequent = kept(words, "1")
+    if rows := frequent.count():
+        pairs = in_batches(chunks_, _counter([(2, 1)], False, _marked(frequent, rows), longest), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        pairs = written(pairs.where(F.col("n") >= min_count).select("hash"), "pairs")
+        rows, bits = pairs.count(), None
+        if rows:
+            bits = _marked(pairs, rows)
+            frequent = kept(texts_of([(2, 2), (3, 2)] if longest > 2 else [(2, 2)], bits), "2")
+        for size in range(4, longest + 1):
+            last = frequent.where(F.col("size") == size - 1)
+            rows = rows and last.count()
+            if not rows:
+                break
+            frequent = kept(texts_of([(size, size - 1)], _marked(last, rows)), str(size - 1))
+    return spark.read.schema(schema + ", pass string").option("basePath", path).parquet(path).select("lang", "size", "phrase", "f"), total
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
