@@ -48,13 +48,12 @@ RULES = (
     Rule("stage2.content-resource-exposure-path", "content_resource_exposure_path", "Hidden content/resource exposure path: static content exposes hidden or private resources", ("Resource",), ("Sink",), ("exposes",), ("content_route_review", "asset_exposure_review"), ("stage2:content_assets",), source_equals=(("resourceType", "content_resource"),), target_equals=(("sinkType", "hidden_content_exposure"),), max_length=1),
     Rule("stage2.smart-contract-risk-path", "smart_contract_risk_path", "Smart contract risk path: contract sends value before updating state", ("Resource",), ("Sink",), ("flows_to",), ("smart_contract_reentrancy_review", "contract_unit_or_fork_test"), ("stage2:smart_contracts",), source_equals=(("resourceType", "smart_contract"),), target_equals=(("sinkType", "smart_contract_reentrancy"),), max_length=1),
 )
-_ = "external input reaches "
 #: Titles of dangerous operations by the type of their sink.
 TITLES = {
-    "sql_execution": f"SQL injection path: {_}SQL execution", "no_sql_execution": f"NoSQL injection path: {_}NoSQL query execution", "xml_processing": f"XXE path: {_}XML processing", "deserialization": f"Insecure deserialization path: {_}deserialization",
-    "file_system": f"Path traversal or file access path: {_}filesystem access", "log_disclosure": f"Log disclosure path: {_}exposed server log access", "file_upload_validation": f"File upload validation path: {_}upload validation logic", "redirect": f"Open redirect path: {_}a redirect",
-    "template_render": f"Server-side template injection path: {_}template rendering", "code_execution": f"Code execution path: {_}command or code execution", "hidden_content_exposure": f"Hidden content/resource exposure path: {_}hidden content", "server_side_request": f"Server-side request forgery path: {_}a server-side HTTP client",
-    "outbound_http": f"Outbound request path: {_}an HTTP client", "cross_site_scripting": f"Cross-site scripting path: {_}HTML or script output", "crypto_weakness": f"Cryptographic weakness path: {_}cryptographic or encoding logic", "jwt_token_trust": f"JWT token trust path: {_}JWT signing or parsing logic",
+    "sql_execution": "SQL injection path: external input reaches SQL execution", "no_sql_execution": "NoSQL injection path: external input reaches NoSQL query execution", "xml_processing": "XXE path: external input reaches XML processing", "deserialization": "Insecure deserialization path: external input reaches deserialization",
+    "file_system": "Path traversal or file access path: external input reaches filesystem access", "log_disclosure": "Log disclosure path: external input reaches exposed server log access", "file_upload_validation": "File upload validation path: external input reaches upload validation logic", "redirect": "Open redirect path: external input reaches a redirect",
+    "template_render": "Server-side template injection path: external input reaches template rendering", "code_execution": "Code execution path: external input reaches command or code execution", "hidden_content_exposure": "Hidden content/resource exposure path: external input reaches hidden content", "server_side_request": "Server-side request forgery path: external input reaches a server-side HTTP client",
+    "outbound_http": "Outbound request path: external input reaches an HTTP client", "cross_site_scripting": "Cross-site scripting path: external input reaches HTML or script output", "crypto_weakness": "Cryptographic weakness path: external input reaches cryptographic or encoding logic", "jwt_token_trust": "JWT token trust path: external input reaches JWT signing or parsing logic",
     "password_reset_trust": "Password reset path: request-controlled recovery data reaches password reset flow", "authentication_bypass": "Authentication bypass path: request-controlled verification data reaches account verification logic",
     "access_control": "Access control path: request-controlled resource id reaches owned data access", "csrf_state_change": "CSRF path: state-changing request reaches mutable server-side state without a strong CSRF control",
 }
@@ -84,28 +83,51 @@ def _ends(nodes: DataFrame, rules: tuple[Rule, ...], side: str) -> DataFrame:
     return nodes.select("graph_id", "node_id", F.explode(named).alias("rule_id"))
 
 
+def _leading(steps: DataFrame, targets: DataFrame, rounds: int) -> DataFrame:
+    """steps that lead to a target of their rule, with after: the fewest edges from a step's end to one (0: it ends there).
+
+    Found by sets of nodes, backwards from the targets, so each node of a rule is visited once.
+    """
+    front = seen = written(targets.distinct().withColumn("after", F.lit(0)), "leading")
+    back = steps.select("rule_id", "graph_id", F.col("from_id").alias("before"), F.col("to_id").alias("node_id")).distinct()
+    for n in range(1, rounds):
+        step = front.join(back, ["rule_id", "graph_id", "node_id"]).select("rule_id", "graph_id", F.col("before").alias("node_id")).distinct()
+        front = written(step.join(seen.select("rule_id", "graph_id", "node_id"), ["rule_id", "graph_id", "node_id"], "left_anti").withColumn("after", F.lit(n)), "leading")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return steps.join(seen.withColumnRenamed("node_id", "to_id"), ["rule_id", "graph_id", "to_id"])
+
+
 def paths(nodes: DataFrame, edges: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """rule_id, graph_id, start_id, end_id, edge_ids, node_ids: every simple path of a rule, also on through its targets."""
+    """rule_id, graph_id, start_id, end_id, edge_ids, node_ids: every simple path of a rule, also on through its targets.
+
+    A path grows only along edges from whose end a target is still near enough, so fronts that lead nowhere
+    end at once and no path is lost.
+    """
     allowed = F.filter(F.array(*(F.when(F.col("kind").isin(*r.allowed), F.lit(r.rule_id)) for r in rules)), lambda x: x.isNotNull())
+    lengths = {r.rule_id: r.max_length for r in rules}
+    most = max(lengths.values())
+    targets = _ends(nodes, rules, "target").select("rule_id", "graph_id", "node_id")
     steps = written(edges.select("graph_id", "edge_id", "kind", "from_id", "to_id", F.explode(allowed).alias("rule_id")), "rule-edges")
-    targets = written(_ends(nodes, rules, "target"), "rule-targets")
+    steps = written(_leading(steps, targets, most), "leading-edges")
+    limit = F.coalesce(*(F.when(F.col("rule_id") == r, n) for r, n in lengths.items()))
     first = _ends(nodes, rules, "source")
     front = first.select("rule_id", "graph_id", F.col("node_id").alias("start_id"), F.col("node_id").alias("end_id"), F.array().cast("array<string>").alias("edge_ids"), F.array("node_id").alias("node_ids"), F.array().cast("array<string>").alias("kinds"))
     required = {r.rule_id: r.required for r in rules if r.required}
-    lengths = {r.rule_id: r.max_length for r in rules}
     found = []
-    for depth in range(1, max(lengths.values()) + 1):
-        going = [r for r, n in lengths.items() if n >= depth]
-        ahead = front.where(F.col("rule_id").isin(*going)).join(steps, [front["rule_id"] == steps["rule_id"], front["graph_id"] == steps["graph_id"], front["end_id"] == steps["from_id"]])
-        ahead = ahead.where(~F.array_contains("node_ids", F.col("to_id"))).select(front["rule_id"], front["graph_id"], "start_id", F.col("to_id").alias("end_id"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("node_ids", F.col("to_id")).alias("node_ids"), F.array_append("kinds", F.col("kind")).alias("kinds"))
-        front = written(ahead, "paths")
+    for depth in range(1, most + 1):
+        ahead = front.join(steps.where(F.col("after") <= limit - depth).withColumnRenamed("from_id", "end_id"), ["rule_id", "graph_id", "end_id"])
+        ahead = ahead.where(~F.array_contains("node_ids", F.col("to_id")))
+        front = written(ahead.select("rule_id", "graph_id", "start_id", F.col("to_id").alias("end_id"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("node_ids", F.col("to_id")).alias("node_ids"), F.array_append("kinds", F.col("kind")).alias("kinds"), (F.col("after") == 0).alias("hit")), "paths")
         if front.isEmpty():
             break
-        hit = front.join(targets, [front["rule_id"] == targets["rule_id"], front["graph_id"] == targets["graph_id"], front["end_id"] == targets["node_id"]], "left_semi")
+        hit = front.where("hit")
         for rule_id, kinds in required.items():
             hit = hit.where((F.col("rule_id") != rule_id) | (F.size(F.array_except(F.array(*(F.lit(k) for k in kinds)), "kinds")) == 0))
-        found.append(hit)
-    out = found[0] if found else front
+        found.append(hit.drop("hit"))
+        front = front.drop("hit")
+    out = found[0] if found else front.drop("hit")
     for more in found[1:]:
         out = out.unionByName(more)
     return out.drop("kinds")
@@ -160,7 +182,7 @@ def _rules_frame(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
 def candidates(nodes: DataFrame, edges: DataFrame, contexts: DataFrame, coverage: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One candidate for each path of a rule: ids, title, reason, supporting and contradicting ids, findings, coverage references.
 
-    coverage is (graph_id, area, state). path_ord orders a rule's candidates of a graph as the search finds them.
+    coverage is (graph_id, area, state). path_ord, a struct, orders a rule's candidates of a graph as the search finds them.
     """
     found = paths(nodes, edges, rules).join(_rules_frame(nodes.sparkSession, rules), "rule_id")
     sorted_edges = F.array_sort(F.array_distinct("edge_ids"))
@@ -179,7 +201,7 @@ def candidates(nodes: DataFrame, edges: DataFrame, contexts: DataFrame, coverage
     none = F.array().cast("array<string>")
     title = title_of(F.col("family"), F.col("rule_title"), ends("end"), F.coalesce("open_data", F.lit(False)))
     reason = F.concat(title, F.lit(": "), plain_label(ends("start")), F.lit(" reaches "), plain_label(ends("end")), F.lit(" across "), F.size("edge_ids").cast("string"), F.lit(" graph edges"))
-    order = F.row_number().over(Window.partitionBy("graph_id", "rule_id").orderBy("start_id", "end_id", F.array_join("edge_ids", "\0")))
+    order = F.struct("start_id", "end_id", F.array_join("edge_ids", "\0").alias("edges"))
     return rows.select(
         "graph_id", "candidate_id", "rule_id", "family", title.alias("title"), "start_id", "end_id", F.coalesce("finding_ids", none).alias("finding_ids"), "supporting_node_ids", "supporting_edge_ids", F.coalesce("contradicting_node_ids", none).alias("contradicting_node_ids"),
         F.coalesce("contradicting_edge_ids", none).alias("contradicting_edge_ids"), F.array_sort(F.array_union("rule_coverage", F.coalesce("refs", F.array(F.lit("graph:coverage-unavailable"))))).alias("coverage_refs"), "required_validation", reason.alias("reason"),

@@ -69,9 +69,14 @@ def upserted(*frames: DataFrame) -> DataFrame:
     """Rows of all frames, one for each stable key of a graph: the first frame's wins, then the smallest record."""
     ordered = union(*(f.withColumn("source_ord", F.lit(k)) for k, f in enumerate(frames)))
     rest = [c for c in ordered.columns if c not in ("graph_id", "stable_key", "source_ord", "properties")]
-    shown = F.struct("source_ord", *rest)
-    first = F.row_number().over(Window.partitionBy("graph_id", "stable_key").orderBy(shown))
-    return ordered.withColumn("nth", first).where("nth = 1").drop("nth", "source_ord")
+    row = [c for c in frames[0].columns if c not in ("graph_id", "stable_key")]
+    first = ordered.groupBy("graph_id", "stable_key").agg(F.min_by(F.struct(*row), F.struct("source_ord", *rest)).alias("row"))
+    return first.select("graph_id", "stable_key", "row.*").select(*frames[0].columns)
+
+
+def merged(*graphs: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """One graph of several, each (nodes, edges): of a stable key that several have, the first graph's record wins."""
+    return upserted(*(n.select(*NODE) for n, _ in graphs)), upserted(*(e.select(*EDGE) for _, e in graphs))
 
 
 def located(entities: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from triagelake.operators import correlation as co
 from triagelake.operators import property_graph as pg
+from triagelake.operators import reachability as rc
 from triagelake.operators import workflows
 from triagelake.sources import programs, trees
 from triagelake.sources.shared import once
@@ -108,11 +109,11 @@ def _clusters(s, d):
 def contexts(s, d):
     """Contexts of findings: those of code patterns in a program are linked to the entities of their file."""
     nodes = _written_code(s, d)[0]
-    return nodes.where("kind = 'CodeEntity' AND line % 3 = 0").select("graph_id", F.concat(F.lit("f"), F.col("line").cast("string")).alias("finding_id"), F.when(F.col("line") % 2 == 0, "linked").otherwise("standalone").alias("status"), F.array("node_id").alias("node_ids"), F.array().cast("array<string>").alias("edge_ids"))
+    return nodes.where("kind = 'CodeEntity'").select("graph_id", F.concat(F.lit("f"), F.col("line").cast("string")).alias("finding_id"), F.when(F.col("line") % 2 == 0, "linked").otherwise("standalone").alias("status"), F.array("node_id").alias("node_ids"), F.array().cast("array<string>").alias("edge_ids"))
 
 
 def coverage(s, d):
-    return s.read.parquet(f"{d}/nation.parquet").where("n_regionkey < 4").selectExpr("'repo' || n_regionkey AS graph_id", "'area' || (n_nationkey % 3) AS area", "CASE WHEN n_nationkey % 3 = 1 THEN 'partial' ELSE 'checked' END AS state").distinct()
+    return s.read.parquet(f"{d}/nation.parquet").selectExpr("'repo' || n_regionkey AS graph_id", "'area' || (n_nationkey % 3) AS area", "CASE WHEN n_nationkey % 3 = 1 THEN 'partial' ELSE 'checked' END AS state").distinct()
 
 
 def _protected(edges):
@@ -121,9 +122,38 @@ def _protected(edges):
     return edges.unionByName(extra)
 
 
+#: Usages of packages by files of programs: a part is one.
+USAGE = {"graph_id": "'repo' || (p_partkey % 5)", "package": "'pkg' || (p_partkey % 45)", "path": programs.PATH.replace(programs.E, "p_partkey"), "kind": "CASE p_partkey % 2 WHEN 0 THEN 'used' ELSE 'imported' END", "line": "1 + p_size"}
+
+
+def _secret_edges(s, d):
+    """Secrets are used by the build steps and resources whose findings are of neighbouring orders."""
+    block = F.expr("CAST(split_part(substr(finding_id, 2), '-', 1) AS BIGINT) div 50").alias("block")
+    of = lambda *categories: _findings(s, d).where(F.col("category").isin(*categories)).select("graph_id", block, "finding_id", "category")
+    pairs = of("secret").withColumnRenamed("finding_id", "secret").drop("category").join(of("github-action", "iac"), ["graph_id", "block"])
+    return pg.edges(pairs, "secret-use", "uses", pg.key("QuickScanSubject", "secret", F.col("secret")), pg.key("QuickScanSubject", F.col("category"), F.col("finding_id")))
+
+
+def _merged_graph(s, d):
+    """Code, workflows, infrastructure, content, contracts, findings, uses of packages and of secrets in one graph for each repository."""
+    pair: list = []
+
+    def built(k):
+        if not pair:
+            code, found = _written_code(s, d), pg.finding_graph(_findings(s, d), _clusters(s, d))
+            known = once(s, "base-nodes", d, lambda: pg.union(code[0].select(*pg.NODE), found[0].select(*pg.NODE)))
+            parts = s.read.parquet(f"{d}/part.parquet").selectExpr(*(f"CAST({e} AS {'BIGINT' if c == 'line' else 'STRING'}) AS {c}" for c, e in USAGE.items()), "CAST(NULL AS STRING) AS symbol", "CAST(NULL AS STRING) AS affected").distinct()
+            needs = s.createDataFrame([], "graph_id string, manifest string, source_name string, name string")
+            used = rc.usage_graph(parts, needs, known)
+            pair.extend(pg.merged(code, _ci(s, d), pg.infra_graph(fp._infra(s, d)), pg.content_graph(fp._exposures(s, d)), pg.contract_graph(_contracts(s, d)), found, used, (used[0], _secret_edges(s, d))))
+        return pair[k]
+
+    return once(s, "merged-nodes", d, lambda: built(0)), once(s, "merged-edges", d, lambda: built(1))
+
+
 def _candidates(s, d):
-    nodes, edges = _written_code(s, d)
-    return once(s, "candidates", d, lambda: co.candidates(nodes, _protected(edges), contexts(s, d), coverage(s, d), co.RULES[:2]))
+    nodes, edges = _merged_graph(s, d)
+    return once(s, "candidates", d, lambda: co.candidates(nodes, _protected(edges), contexts(s, d), coverage(s, d)))
 
 
 CANDIDATE = ("graph_id", "candidate_id", "rule_id", "title", "reason", "start_key", "end_key")
@@ -140,9 +170,9 @@ QUERIES = {
     "g09_contract_edges": lambda s, d: pg.contract_graph(_contracts(s, d))[1].selectExpr(*EDGE_COLUMNS),
     "g01_finding_nodes": lambda s, d: pg.finding_graph(_findings(s, d), _clusters(s, d))[0].selectExpr(*NODE_COLUMNS),
     "g01_finding_edges": lambda s, d: pg.finding_graph(_findings(s, d), _clusters(s, d))[1].selectExpr(*EDGE_COLUMNS),
-    "g10_p23_rule_paths": lambda s, d: co.paths(*_written_code(s, d)).select("rule_id", "graph_id", "start_id", "end_id", F.array_join("edge_ids", ">").alias("edges")),
+    "g10_p23_rule_paths": lambda s, d: co.paths(*_merged_graph(s, d)).select("rule_id", "graph_id", "start_id", "end_id", F.array_join("edge_ids", ">").alias("edges")),
     "g11_code_flows": lambda s, d: co.flows(*_written_code(s, d)).select("graph_id", "flow_id", "source_id", "sink_id", F.array_join("edge_ids", ">").alias("edges")),
-    "g12_reached": lambda s, d: co.reached(*_written_code(s, d)).select("graph_id", "node_id", "start_id", F.array_join("edge_ids", ">").alias("edges")),
+    "g12_reached": lambda s, d: co.reached(*_merged_graph(s, d)).select("graph_id", "node_id", "start_id", F.array_join("edge_ids", ">").alias("edges")),
     "g14_g16_candidates": lambda s, d: _candidates(s, d).select(*CANDIDATE, *(F.array_join(c, ",").alias(c) for c in ("finding_ids", "contradicting_edge_ids", "coverage_refs", "required_validation"))),
     "a17_merged_candidates": lambda s, d: co.merged(_candidates(s, d)).select("graph_id", "rule_id", "title", "start_key", "end_key", "n_paths", "candidate_id", F.array_join("supporting_edge_ids", ",").alias("edges"), F.array_join("finding_ids", ",").alias("finding_ids")),
     "p28_w04_limited": lambda s, d: co.limited(co.merged(_candidates(s, d)), 5).select("graph_id", "rule_id", "candidate_id"),
@@ -168,12 +198,6 @@ _FK, _FP, _FS = "'QuickScanFinding:' || finding_id", "'QuickScanFile:' || path",
 _KIND = "CASE category WHEN 'secret' THEN 'Secret' WHEN 'dependency' THEN 'Component' WHEN 'sbom' THEN 'Component' WHEN 'github-action' THEN 'BuildStep' WHEN 'iac' THEN 'InfraResource' ELSE 'CodeEntity' END"
 _MIN = lambda inner: f"SELECT graph_id, node_id, kind, stable_key, path, min(line) AS line FROM ({inner}) GROUP BY ALL"
 _DIS = lambda inner: f"SELECT DISTINCT * FROM ({inner})"
-_RULE = lambda r: f"SELECT '{r.rule_id}' AS rule_id, [{', '.join(repr(x) for x in r.source_kinds)}] AS sk, [{', '.join(repr(x) for x in r.target_kinds)}] AS tk, [{', '.join(repr(x) for x in r.allowed)}] AS ok, [{', '.join(repr(x) for x in r.required)}]::VARCHAR[] AS rq"
-_WALK = f"""rules AS ({' UNION ALL '.join(_RULE(r) for r in co.RULES[:2])}), fe AS (SELECT * FROM ge),
-walk AS (SELECT rule_id, graph_id, node_id AS start_id, node_id AS end_id, []::VARCHAR[] AS es, [node_id] AS ns, []::VARCHAR[] AS ks FROM gn, rules WHERE list_contains(sk, kind)
-  UNION ALL SELECT w.rule_id, w.graph_id, start_id, to_id, list_append(es, edge_id), list_append(ns, to_id), list_append(ks, kind) FROM walk w JOIN rules r ON r.rule_id = w.rule_id JOIN fe ON fe.graph_id = w.graph_id AND fe.from_id = w.end_id AND list_contains(r.ok, fe.kind) WHERE len(es) < {co.MAX_LENGTH} AND NOT list_contains(ns, to_id)),
-found AS (SELECT w.*, row_number() OVER (PARTITION BY w.graph_id, w.rule_id ORDER BY start_id, end_id, array_to_string(es, chr(0))) AS path_ord FROM walk w JOIN rules r ON r.rule_id = w.rule_id JOIN gn ON gn.graph_id = w.graph_id AND gn.node_id = w.end_id AND list_contains(r.tk, gn.kind)
-  WHERE len(es) > 0 AND list_has_all(ks, rq) AND NOT (w.rule_id = '{co.RULES[0].rule_id}' AND starts_with(gn.stable_key, 'Sink:outbound_http:')))"""
 ORACLE_SQL = {
     "g02_g05_j08_j11_code_nodes": f"WITH {CODE} SELECT * FROM gn",
     "g02_g05_j08_j11_code_edges": f"WITH {CODE} SELECT * FROM ge",
@@ -187,8 +211,36 @@ ORACLE_SQL = {
     "g09_contract_edges": f"WITH {_CON} " + _DIS(_edge("flows_to", _MK, _RK) + " FROM con"),
     "g01_finding_nodes": f"WITH {_FI} " + _MIN(" UNION ALL ".join([_node("Finding", _FK, graph="graph_id") + " FROM fi", _node("Resource", _FP, line="NULL", graph="graph_id") + " FROM fi WHERE path IS NOT NULL", _node(_KIND, _FS, graph="graph_id") + " FROM fi", _node("Finding", "'QuickScanFindingCluster:c-' || category", "NULL", "NULL", "graph_id") + " FROM fi"])),
     "g01_finding_edges": f"WITH {_FI} " + _DIS(" UNION ALL ".join([_edge("located_in", _FK, _FP, "line", "line", graph="graph_id") + " FROM fi WHERE path IS NOT NULL", _edge("affects", _FK, _FS, graph="graph_id") + " FROM fi", _edge("supported_by", "'QuickScanFindingCluster:c-' || category", _FK, graph="graph_id") + " FROM fi"])),
-    "g10_p23_rule_paths": f"WITH RECURSIVE {CODE}, {_WALK} SELECT rule_id, graph_id, start_id, end_id, array_to_string(es, '>') AS edges FROM found",
     "g11_code_flows": f"""WITH RECURSIVE {CODE}, snk AS (SELECT graph_id, node_id FROM gn WHERE kind = 'Sink'), walk AS (SELECT graph_id, node_id AS source_id, node_id AS end_id, []::VARCHAR[] AS es, [node_id] AS ns, false AS hit FROM gn WHERE kind = 'Source'
   UNION ALL SELECT w.graph_id, source_id, to_id, list_append(es, edge_id), list_append(ns, to_id), EXISTS (SELECT 1 FROM snk WHERE snk.graph_id = ge.graph_id AND snk.node_id = to_id) FROM walk w JOIN ge ON ge.graph_id = w.graph_id AND ge.from_id = w.end_id WHERE NOT hit AND len(es) < {co.MAX_LENGTH} AND NOT list_contains(ns, to_id) AND ge.kind IN ('receives', 'registers', 'calls', 'flows_to'))
 SELECT graph_id, 'flow_' || substr(sha256(graph_id || chr(0) || 'flow:' || source_id || ':' || end_id || ':' || array_to_string(es, '>')), 1, 16) AS flow_id, source_id, end_id AS sink_id, array_to_string(es, '>') AS edges FROM walk WHERE hit""",
 }
+_PARTS = ("g06_ci", "g07_infra", "g08_content", "g09_contract", "g01_finding")
+_USE_KEY = "'ComponentUsage:' || path || ':' || line || ':' || package || ':' || kind"
+#: Nodes (gn) and edges (ge) of all graphs in one.
+MERGED = f"""code_n AS (WITH {CODE} SELECT graph_id, node_id, kind, stable_key FROM gn), code_e AS (WITH {CODE} SELECT * FROM ge),
+code_f AS (WITH {CODE} SELECT repo_id, path, CASE WHEN count(*) FILTER (WHERE p) = 1 THEN min(ek) FILTER (WHERE p) WHEN count(*) = 1 THEN min(ek) END AS k FROM (SELECT DISTINCT repo_id, path, ek, ends_with(full_name, '::program') OR sym IN ('<global>', 'program') AS p FROM who) GROUP BY ALL), {_FI},
+raw AS (SELECT DISTINCT 'repo' || (l_orderkey % 5) AS graph_id, 'f' || l_orderkey || '-' || l_partkey AS finding_id, l_partkey % 6 AS c, 'R' || (l_partkey % 20) AS rule, CASE WHEN l_partkey % 4 = 0 THEN 'pkg' || (l_partkey % 9) END AS package FROM lineitem WHERE l_linenumber = 1),
+comp AS (SELECT DISTINCT graph_id, 'QuickScanSubject:' || CASE c WHEN 1 THEN 'dependency' ELSE 'sbom' END || ':' || finding_id AS ck, unnest([package, rule]) AS n FROM raw WHERE c IN (1, 4)),
+usage AS (SELECT DISTINCT {', '.join(f"CAST({e} AS {'BIGINT' if c == 'line' else 'VARCHAR'}) AS {c}" for c, e in USAGE.items())} FROM part),
+used AS (SELECT u.*, ck, k AS known, coalesce(k, {_USE_KEY.replace('path', 'u.path')}) AS owner FROM usage u JOIN comp ON comp.graph_id = u.graph_id AND comp.n = u.package LEFT JOIN code_f ON code_f.repo_id = u.graph_id AND code_f.path = u.path),
+gn AS (SELECT DISTINCT * FROM (SELECT * FROM code_n UNION ALL {' UNION ALL '.join(f"SELECT graph_id, node_id, kind, stable_key FROM ({ORACLE_SQL[f'{p}_nodes']})" for p in _PARTS)} UNION ALL SELECT graph_id, {_nid('owner', 'graph_id')}, 'CodeEntity', owner FROM used WHERE known IS NULL)),
+ge AS (SELECT DISTINCT * FROM (SELECT * FROM code_e UNION ALL {' UNION ALL '.join(f"SELECT * FROM ({ORACLE_SQL[f'{p}_edges']})" for p in _PARTS)} UNION ALL {_edge('imports', 'owner', 'ck', 'path', 'line', 'package', "''", graph='graph_id')} FROM used WHERE kind = 'imported' UNION ALL {_edge('uses', 'owner', 'ck', 'path', 'line', 'package', "''", graph='graph_id')} FROM used WHERE kind = 'used'
+  UNION ALL SELECT * FROM (WITH pairs AS (SELECT a.graph_id, a.finding_id AS secret, b.category, b.finding_id FROM fi a JOIN fi b ON b.graph_id = a.graph_id AND split_part(substr(b.finding_id, 2), '-', 1)::BIGINT // 50 = split_part(substr(a.finding_id, 2), '-', 1)::BIGINT // 50 WHERE a.category = 'secret' AND b.category IN ('github-action', 'iac')) {_edge('uses', "'QuickScanSubject:secret:' || secret", "'QuickScanSubject:' || category || ':' || finding_id", graph='graph_id')} FROM pairs)))"""
+_FLOW_SQL = "['receives', 'registers', 'calls', 'flows_to']"
+#: Rules by hand: id, kinds and keys of starts, kinds and keys of targets and keys that are none, edges, edges that must be, length.
+_RULES_SQL = f"""rules(rule_id, sk, sp, tk, tp, tn, ok, rq, m) AS (VALUES
+  ('stage2.external-input-dangerous-operation', ['Boundary', 'Source'], '%', ['Sink'], '%', 'Sink:outbound_http:%', {_FLOW_SQL}, []::VARCHAR[], 6), ('stage2.sast-reachable-path', ['Boundary', 'Source'], '%', ['CodeEntity'], '%', '', {_FLOW_SQL}, ['calls'], 6),
+  ('stage2.dependency-usage-path', ['Boundary', 'Source', 'CodeEntity'], '%', ['Component'], '%', '', ['receives', 'registers', 'calls', 'imports', 'uses', 'depends_on'], [], 6), ('stage2.ci-supply-chain-path', ['BuildStep'], '%', ['Resource'], '%', '', ['contains', 'depends_on', 'uses', 'writes'], [], 6),
+  ('stage2.secret-impact-chain', ['Secret'], '%', ['ExternalService', 'InfraResource', 'BuildStep'], '%', '', ['reads', 'uses', 'depends_on', 'flows_to', 'writes', 'exposes'], [], 6), ('stage2.content-resource-exposure-path', ['Resource'], 'ContentResource:%', ['Sink'], 'ContentSink:%', '', ['exposes'], [], 1),
+  ('stage2.smart-contract-risk-path', ['Resource'], 'SmartContract:%', ['Sink'], 'SmartContractRisk:%', '', ['flows_to'], [], 1))"""
+_WALK = f"""{_RULES_SQL}, fe AS (SELECT * FROM ge),
+walk AS (SELECT rule_id, graph_id, node_id AS start_id, node_id AS end_id, []::VARCHAR[] AS es, [node_id] AS ns, []::VARCHAR[] AS ks FROM gn, rules WHERE list_contains(sk, kind) AND stable_key LIKE sp
+  UNION ALL SELECT w.rule_id, w.graph_id, start_id, to_id, list_append(es, edge_id), list_append(ns, to_id), list_append(ks, kind) FROM walk w JOIN rules r ON r.rule_id = w.rule_id JOIN fe ON fe.graph_id = w.graph_id AND fe.from_id = w.end_id AND list_contains(r.ok, fe.kind) WHERE len(es) < m AND NOT list_contains(ns, to_id)),
+found AS (SELECT w.* FROM walk w JOIN rules r ON r.rule_id = w.rule_id JOIN gn ON gn.graph_id = w.graph_id AND gn.node_id = w.end_id AND list_contains(r.tk, gn.kind) AND gn.stable_key LIKE r.tp AND NOT gn.stable_key LIKE r.tn WHERE len(es) > 0 AND list_has_all(ks, rq))"""
+ORACLE_SQL |= {
+    "g10_p23_rule_paths": f"WITH RECURSIVE {MERGED}, {_WALK} SELECT rule_id, graph_id, start_id, end_id, array_to_string(es, '>') AS edges FROM found",
+    "g12_reached": f"""WITH RECURSIVE {MERGED}, walk AS (SELECT graph_id, node_id, node_id AS start_id, []::VARCHAR[] AS es FROM gn WHERE kind IN ('Source', 'Boundary')
+  UNION ALL SELECT graph_id, node_id, start_id, es FROM (SELECT w.graph_id, to_id AS node_id, w.start_id, list_append(w.es, edge_id) AS es FROM walk w JOIN ge ON ge.graph_id = w.graph_id AND ge.from_id = w.node_id WHERE len(w.es) < 12 AND NOT EXISTS (SELECT 1 FROM recurring.walk x WHERE x.graph_id = ge.graph_id AND x.node_id = ge.to_id)) QUALIFY row_number() OVER (PARTITION BY graph_id, node_id ORDER BY start_id, array_to_string(es, '>')) = 1)
+SELECT graph_id, node_id, start_id, array_to_string(es, '>') AS edges FROM walk""",
+}
