@@ -135,3 +135,67 @@ def missing_evidence(rows: DataFrame, record: str, evidence: DataFrame) -> DataF
     asked = rows.select(F.col(record).alias("record_id"), F.explode("evidence_ids").alias("evidence_id"))
     lost = asked.join(evidence.select("evidence_id").distinct(), "evidence_id", "left_anti")
     return lost.select(F.lit("missing_evidence").alias("check_id"), "record_id", F.concat(F.lit("references missing evidence "), "evidence_id").alias("message"))
+
+
+#: Kinds of nodes and edges, and areas of coverage.
+NODE_KINDS = ("Boundary", "CodeEntity", "Source", "Sink", "Control", "Flow", "Component", "Finding", "Secret", "BuildStep", "InfraResource", "ExternalService", "DataStore", "Resource")
+EDGE_KINDS = ("contains", "imports", "calls", "registers", "receives", "flows_to", "uses", "reads", "writes", "protected_by", "exposes", "depends_on", "located_in", "affects", "supported_by", "contradicted_by")
+COVERAGE_AREAS = ("entities", "boundaries", "call_graph", "data_flow", "dependency_usage", "ci_iac", "content_assets", "smart_contracts", "language_support")
+
+
+def broken_flows(flows: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, flow_id, check_id, place of flows (source_id, sink_id, edge_ids) whose edges do not lead from source to sink.
+
+    The first fault of a flow counts: dangling (no such edge), not_connected (it does not start where the one
+    before ends, or at the source), wrong_end (place: behind the last edge). An empty path is no fault.
+    Of edges that share an id in a graph the first by its ends is taken; flows that repeat a row are told once.
+    """
+    ends = edges.groupBy("graph_id", "edge_id").agg(F.min(F.struct("from_id", "to_id")).alias("ends"))
+    steps = flows.select("graph_id", "flow_id", "source_id", "sink_id", F.posexplode("edge_ids").alias("place", "edge_id")).distinct().join(ends, ["graph_id", "edge_id"], "left")
+    rows = steps.groupBy("graph_id", "flow_id", "source_id", "sink_id").agg(F.array_sort(F.collect_list(F.struct("place", "edge_id", "ends"))).alias("steps"))
+    step = F.col("steps")
+    before = lambda i: F.when(i == 0, F.col("source_id")).otherwise(F.get(step, i - 1)["ends"]["to_id"])
+    faults = F.transform("steps", lambda x, i: F.when(x["ends"].isNull(), F.struct(F.lit("dangling").alias("check_id"), x["place"].alias("place"))).when(~x["ends"]["from_id"].eqNullSafe(before(i)), F.struct(F.lit("not_connected").alias("check_id"), x["place"].alias("place"))))
+    last = F.try_element_at("steps", F.lit(-1))
+    end = F.when(~last["ends"]["to_id"].eqNullSafe(F.col("sink_id")), F.struct(F.lit("wrong_end").alias("check_id"), (last["place"] + 1).alias("place")))
+    first = F.coalesce(F.get(F.array_compact(faults), F.lit(0)), end)
+    return rows.select("graph_id", "flow_id", first.alias("x")).where("x IS NOT NULL").select("graph_id", "flow_id", "x.check_id", "x.place").distinct()
+
+
+def graph_records(nodes: DataFrame, edges: DataFrame, flows: DataFrame, coverage: DataFrame, files: DataFrame, evidence: DataFrame) -> DataFrame:
+    """check_id, record_id, message for values outside of their lists and ranges, dangling ends, evidence and paths.
+
+    nodes: node_id, kind, stable_key, producer, confidence, state, path, line, end_line, evidence_ids; edges the
+    same without a place, with from_id and to_id; flows: source_id, sink_id, control_ids, confidence, state,
+    evidence_ids; coverage: area, producer, state, covered, total; files (graph_id, path) and evidence
+    (graph_id, evidence_id) are those of the snapshot. All have graph_id.
+    """
+    sure = lambda c: ("confidence", ~F.coalesce(F.col(c).between(0, 1) & ~F.isnan(c), F.lit(False)), "confidence is not between 0 and 1")
+    listed = lambda c, values, what: (f"unknown_{what}", ~F.coalesce(F.col(c).isin(*values), F.lit(False)), f"{what} is invalid")
+    shared = (("blank_key", _blank("stable_key"), "stable key is empty"), ("blank_producer", _blank("producer"), "producer is empty"), sure("confidence"), listed("state", STATES, "state"))
+    path = F.col("path")
+    unsafe = path.isNotNull() & (path.rlike(r"^$|^/|\\|\x00") | F.exists(F.split(path, "/"), lambda p: p.isin("", ".", "..")))
+    of_nodes = _violations(nodes, "node_id", listed("kind", NODE_KINDS, "kind"), *shared, ("unsafe_path", unsafe, "path is unsafe"), ("line", F.col("line") < 1, "line is not positive"), ("line_range", F.col("end_line") < F.col("line"), "ends before it starts"))
+    of_edges = _violations(edges, "edge_id", listed("kind", EDGE_KINDS, "kind"), *shared)
+    of_flows = _violations(flows, "flow_id", sure("confidence"), listed("state", STATES, "state"))
+    area = coverage.withColumn("record", F.concat_ws(":", "area", "producer"))
+    of_areas = _violations(area, "record", listed("area", COVERAGE_AREAS, "area"), listed("state", STATES, "state"), ("blank_producer", _blank("producer"), "producer is empty"), ("negative", (F.col("covered") < 0) | (F.col("total") < 0), "a count is negative"), ("excess", F.col("covered") > F.col("total"), "covers more than there is"))
+    outside = nodes.where(path.isNotNull() & ~unsafe).select("graph_id", "node_id", "path").join(files.select("graph_id", "path").distinct(), ["graph_id", "path"], "left_anti")
+    outside = outside.select(F.lit("outside").alias("check_id"), F.col("node_id").alias("record_id"), F.lit("points outside the snapshot").alias("message"))
+    held = [_unknown(rows, key, F.col("evidence_ids"), evidence, "evidence_id", "evidence") for rows, key in ((nodes, "node_id"), (edges, "edge_id"), (flows, "flow_id"))]
+    ends = [_unknown(edges, "edge_id", F.array("from_id", "to_id"), nodes, "node_id", "node"), _unknown(flows, "flow_id", F.concat(F.array("source_id", "sink_id"), "control_ids"), nodes, "node_id", "node")]
+    again = [_duplicates(rows, key) for rows, key in ((nodes, "node_id"), (nodes, "stable_key"), (edges, "edge_id"), (edges, "stable_key"), (flows, "flow_id"), (area, "record"))]
+    return _all(of_nodes, of_edges, of_flows, of_areas, outside, *held, *ends, *again)
+
+
+def rules(rows: DataFrame) -> DataFrame:
+    """check_id, record_id, message for rules (rule_id, family, title, source_kinds, target_kinds, allowed, required, max_length, validation, source_other, target_other).
+
+    source_other and target_other say whether a selector constrains something besides kinds; a null list of kinds constrains none.
+    """
+    empty = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True)) | F.coalesce(F.exists(c, lambda x: F.coalesce(F.trim(x) == "", F.lit(True))), F.lit(False))
+    side = lambda s: (f"{s}_selector", F.when(F.col(f"{s}_kinds").isNull(), ~F.coalesce(F.col(f"{s}_other"), F.lit(False))).otherwise(empty(f"{s}_kinds")), f"{s} selector constrains nothing or is empty")
+    return _violations(
+        rows, "rule_id", *((f"blank_{c}", _blank(c), f"{c} is empty") for c in ("rule_id", "family", "title")), side("source"), side("target"), ("no_edges", empty("allowed"), "allows no edge"), ("no_validation", empty("validation"), "needs no validation"),
+        ("length", ~F.coalesce(F.col("max_length") > 0, F.lit(False)), "path length is not positive"), ("required", F.size(F.array_except(F.coalesce("required", F.array().cast("array<string>")), F.coalesce("allowed", F.array().cast("array<string>")))) > 0, "requires an edge that it does not allow"),
+    )

@@ -179,3 +179,22 @@ def challenges(texts: DataFrame) -> DataFrame:
     field = lambda name: F.nullif(F.regexp_replace(F.regexp_extract("block", rf"(?m)^\s*{name}\s*:\s*(.+?)\s*$", 1), "^[\"']|[\"']$", ""), F.lit(""))
     out = rows.where(F.trim("block") != "").select("file", "nth", field("key").alias("key"), field("name").alias("name"), field("category").alias("category"))
     return out.withColumn("complete", F.col("key").isNotNull() & F.col("name").isNotNull() & F.col("category").isNotNull())
+
+
+def write_ordered(rows: DataFrame, path: str, *order) -> None:
+    """Parquet files that hold rows in one order: within each file, and over the files by their names.
+
+    order: columns or names. Rows are cut into ranges by samples, so no task sorts more than its range.
+    """
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+
+
+def graph_order(name: str) -> list:
+    """How a graph's table is read by people and compared: by id, coverage by `area:producer`."""
+    return ["graph_id", F.concat("area", F.lit(":"), "producer")] if name == "coverage" else ["graph_id", {"nodes": "node_id", "edges": "edge_id", "flows": "flow_id"}[name]]
+
+
+def group_order() -> list:
+    """Action groups: the highest score first, then those led by a finding, then by remediation key and id."""
+    return ["graph_id", F.desc("score"), F.desc(F.col("lead") == "direct_finding"), "remediation_key", "group_id"]
