@@ -131,9 +131,10 @@ def code_graph(entities: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFr
     seeds are (repo_id, full_name, path, line, source_name): a framework's inputs. One is taken where its owner is
     known by full name, or by a symbol unique in its file, and has no boundary yet.
     """
-    entities = written(entities, "entities")
+    entities = written(sr.contexts(entities), "entity-contexts")
     call_sinks = written(sr.call_sinks(entities), "call-sinks")
-    who, by = located(entities), "code-graph"
+    entity_sinks = written(sr.entity_sinks(entities, call_sinks), "entity-sinks")
+    who, by = written(located(entities.drop("descriptor", "wide", "names", "http", "state", "external", "browser")), "located"), "code-graph"
     own = nodes(who, by, "CodeEntity", F.col("entity_key"), F.col("symbol"), F.col("path"), F.col("line"), F.col("full_name"), fullName=F.col("full_name"))
     b = F.col("boundary")
     hinted = who.where(b["type"].isNotNull() & b["route"].isNotNull()).select(
@@ -155,13 +156,13 @@ def code_graph(entities: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFr
     seeded = seeded.withColumn("nth", one).where("nth = 1").select("graph_id", "entity_key", F.col("owner").alias("full_name"), "path", "line", F.lit("framework-input").alias("boundary_type"), F.concat("path", F.lit(":"), F.col("line").cast("string")).alias("route"), F.lit(None).cast("string").alias("method"), "source_name", key("Boundary", "framework-input", "", F.col("owner")).alias("boundary_key"))
     edge_of = [boundaries(rows.select("graph_id", "entity_key", "full_name", "path", "line", "boundary_type", "route", "method", "source_name", "boundary_key"), by) for rows in (hinted, sockets, seeded)]
     selected = calls.withColumn("name", F.coalesce("call.resolved", "call.name")).where("name IS NOT NULL")
-    aimed = resolved(selected.select("graph_id", "entity_key", "name", "path", at.alias("line"), F.col("call.nth").alias("nth"), "full_name"), who)
+    aimed = written(resolved(selected.select("graph_id", "entity_key", "name", "path", at.alias("line"), F.col("call.nth").alias("nth"), "full_name"), who), "aimed")
     sinks = call_sinks.withColumn("graph_id", F.col("repo_id"))
     sinks = sinks.join(aimed.where("target_key IS NOT NULL").select("graph_id", "full_name", "path", "nth").distinct(), ["graph_id", "full_name", "path", "nth"], "left_anti")
     sink_key = key("Sink", F.col("sink_type"), F.col("label"), F.col("full_name"), F.col("path"), F.col("line"))
     owners = who.select("graph_id", "full_name", "path", "entity_key")
     owned = sinks.where("call_name IS NOT NULL").join(owners, ["graph_id", "full_name", "path"])
-    whole = sr.entity_sinks(entities, call_sinks).withColumn("graph_id", F.col("repo_id")).withColumn("entity_key", key("CodeEntity", F.col("full_name"), F.col("path"), F.col("line")))
+    whole = entity_sinks.withColumn("graph_id", F.col("repo_id")).withColumn("entity_key", key("CodeEntity", F.col("full_name"), F.col("path"), F.col("line")))
     whole_key = key("Sink", F.col("sink_type"), F.col("semantic"), F.col("full_name"), F.col("path"), F.col("line"))
     routes = calls.where(F.coalesce(F.col("call.code").rlike(ROUTE), F.lit(False))).select("graph_id", "entity_key", "path", at.alias("line"), F.explode(handlers(code)).alias("name"))
     routes = resolved(routes, who).where("target_key IS NOT NULL AND target_key <> entity_key")

@@ -147,7 +147,9 @@ def from_request(boundary: Column, parameters: Column) -> Column:
 
 
 def contexts(entities: DataFrame) -> DataFrame:
-    """entities with descriptor (name, path, boundary, parameters), wide (and the calls) and facts that rules ask for."""
+    """entities with descriptor (name, path, boundary, parameters), wide (and the calls) and facts that rules ask for; entities that have them already stay as they are."""
+    if "descriptor" in entities.columns:
+        return entities
     empty = F.lit("")
     blank = lambda x: F.coalesce(x, empty)
     parameters = F.flatten(F.transform("parameters", lambda p: F.array(blank(p["name"]), blank(p["type"]))))
@@ -252,9 +254,9 @@ def call_sinks(entities: DataFrame) -> DataFrame:
 
 def entity_sinks(entities: DataFrame, calls: DataFrame) -> DataFrame:
     """repo_id, full_name, path, line, semantic, sink_type: what an entity as a whole gives away. calls are its call_sinks."""
-    rows = contexts(entities)
-    text = F.lower(F.concat_ws("\n", "descriptor", "wide"))
-    http = F.col("http")
+    # a column of its own, so that no test below repeats the text's expression
+    rows = contexts(entities).select("*", F.explode(F.array(F.lower(F.concat_ws("\n", "descriptor", "wide")))).alias("text"))
+    text, http = F.col("text"), F.col("http")
     weak = F.filter(F.array(*(F.lit(w) for w in WEAK)), lambda w: F.rlike(text, F.concat(F.lit("(?:^|[^a-z0-9])"), w, F.lit("(?:[^a-z0-9]|$)"))))
     inserted = lambda n: F.concat(F.lit(r"(?:\+\s*|\$\{\s*|%\s*|\{\s*)"), _quoted(n), _edge(n, "$"), F.lit("|"), _edge(n, "^"), _quoted(n), F.lit(r"\s*(?:\+|%|,|\})"))
     raw = F.exists("names", lambda n: F.rlike(text, inserted(n)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import once
+
 E, C = "c_custkey", "o_orderkey"
 _DIRS = ("frontend/src/app{k}.ts", "src/crypto/sign{k}.java", "src/jwt/token{k}.js", "routes/resetPassword{k}.ts", "api/views{k}.py", "routes/orders{k}.js", "routes/users{k}.js", "svc/main{k}.go", "lib/util{k}.js", "routes/admin{k}.js", "routes/upload{k}.py", "src/verify{k}.py")
 
@@ -44,6 +46,11 @@ CALLS = f"cal AS (SELECT {', '.join(f'{e} AS {n}' for n, e in CALL.items())} FRO
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities of all programs; a session derives them once."""
+    return once(spark, "programs", sf_dir, lambda: _entities(spark, sf_dir))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, full_name, path, line, boundary, parameters, calls (as operators/sink_rules reads them)."""
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(*(f"{e} AS {n}" for n, e in ENTITY.items()))
     calls = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*(f"{e} AS {n}" for n, e in CALL.items()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import once
+
 K, C, P = "o_orderkey", "o_custkey", "o_totalprice"
 #: Shapes of paths; {k} is the file's number.
 PATHS = (
@@ -59,11 +61,16 @@ TREE = f"tree AS (SELECT {', '.join(f'{e} AS {n}' for n, e in COLUMNS.items())}
 LINES = f"{TREE}, lines AS (SELECT repo_id, path, n, parts[n] AS line FROM (SELECT repo_id, path, string_split(text, chr(10)) AS parts FROM tree), unnest(range(1, len(parts) + 1)) AS u(n))"
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, path, size, text."""
     return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*(f"{e} AS {n}" for n, e in COLUMNS.items()))
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of all trees; a session derives them once, for their texts come from long expressions."""
+    return once(spark, "trees", sf_dir, lambda: _files(spark, sf_dir))
+
+
 def lines(files_: DataFrame) -> DataFrame:
     """repo_id, path, n (from 1), line."""
     split = files_.select("repo_id", "path", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
