@@ -98,7 +98,7 @@ def _findings(s, d):
     return rows.selectExpr(
         "'repo' || (l_orderkey % 5) AS graph_id", "'f' || l_orderkey || '-' || l_partkey AS finding_id", "'tool' || (l_suppkey % 3) AS tool", "'R' || (l_partkey % 20) AS rule_id",
         "CASE l_partkey % 6 WHEN 0 THEN 'secret' WHEN 1 THEN 'dependency' WHEN 2 THEN 'github-action' WHEN 3 THEN 'iac' WHEN 4 THEN 'sbom' ELSE 'code-pattern' END AS category", "CASE l_suppkey % 4 WHEN 0 THEN 'high' ELSE 'low' END AS severity",
-        "CASE WHEN l_partkey % 10 > 0 THEN 'src/a' || (l_partkey % 30) END AS path", "CASE WHEN l_partkey % 10 > 0 THEN CAST(l_quantity AS BIGINT) END AS line", "CASE WHEN l_partkey % 4 = 0 THEN 'pkg' || (l_partkey % 9) END AS package",
+        "CASE WHEN l_partkey % 10 > 0 THEN 'src/a' || (l_partkey % 30) END AS path", "CASE WHEN l_partkey % 10 > 0 THEN CAST(l_quantity AS BIGINT) END AS line", "CASE WHEN l_partkey % 4 = 0 THEN 'pkg' || l_partkey END AS package",
     ).distinct()
 
 
@@ -123,7 +123,7 @@ def _protected(edges):
 
 
 #: Usages of packages by files of programs: a part is one.
-USAGE = {"graph_id": "'repo' || (p_partkey % 5)", "package": "'pkg' || (p_partkey % 45)", "path": programs.PATH.replace(programs.E, "p_partkey"), "kind": "CASE p_partkey % 2 WHEN 0 THEN 'used' ELSE 'imported' END", "line": "1 + p_size"}
+USAGE = {"graph_id": "'repo' || (p_partkey % 5)", "package": "'pkg' || p_partkey", "path": programs.PATH.replace(programs.E, "p_partkey"), "kind": "CASE p_partkey % 2 WHEN 0 THEN 'used' ELSE 'imported' END", "line": "1 + p_size"}
 
 
 def _secret_edges(s, d):
@@ -220,7 +220,7 @@ _USE_KEY = "'ComponentUsage:' || path || ':' || line || ':' || package || ':' ||
 #: Nodes (gn) and edges (ge) of all graphs in one.
 MERGED = f"""code_n AS (WITH {CODE} SELECT graph_id, node_id, kind, stable_key FROM gn), code_e AS (WITH {CODE} SELECT * FROM ge),
 code_f AS (WITH {CODE} SELECT repo_id, path, CASE WHEN count(*) FILTER (WHERE p) = 1 THEN min(ek) FILTER (WHERE p) WHEN count(*) = 1 THEN min(ek) END AS k FROM (SELECT DISTINCT repo_id, path, ek, ends_with(full_name, '::program') OR sym IN ('<global>', 'program') AS p FROM who) GROUP BY ALL), {_FI},
-raw AS (SELECT DISTINCT 'repo' || (l_orderkey % 5) AS graph_id, 'f' || l_orderkey || '-' || l_partkey AS finding_id, l_partkey % 6 AS c, 'R' || (l_partkey % 20) AS rule, CASE WHEN l_partkey % 4 = 0 THEN 'pkg' || (l_partkey % 9) END AS package FROM lineitem WHERE l_linenumber = 1),
+raw AS (SELECT DISTINCT 'repo' || (l_orderkey % 5) AS graph_id, 'f' || l_orderkey || '-' || l_partkey AS finding_id, l_partkey % 6 AS c, 'R' || (l_partkey % 20) AS rule, CASE WHEN l_partkey % 4 = 0 THEN 'pkg' || l_partkey END AS package FROM lineitem WHERE l_linenumber = 1),
 comp AS (SELECT DISTINCT graph_id, 'QuickScanSubject:' || CASE c WHEN 1 THEN 'dependency' ELSE 'sbom' END || ':' || finding_id AS ck, unnest([package, rule]) AS n FROM raw WHERE c IN (1, 4)),
 usage AS (SELECT DISTINCT {', '.join(f"CAST({e} AS {'BIGINT' if c == 'line' else 'VARCHAR'}) AS {c}" for c, e in USAGE.items())} FROM part),
 used AS (SELECT u.*, ck, k AS known, coalesce(k, {_USE_KEY.replace('path', 'u.path')}) AS owner FROM usage u JOIN comp ON comp.graph_id = u.graph_id AND comp.n = u.package LEFT JOIN code_f ON code_f.repo_id = u.graph_id AND code_f.path = u.path),
