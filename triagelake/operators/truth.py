@@ -193,3 +193,22 @@ def ground_truth(items: DataFrame, matched: DataFrame) -> DataFrame:
     rows = items.join(matched, ["repo_id", "item_id"], "left")
     ok, covered = _count("n") >= F.coalesce("min_count", F.lit(1)), F.col("expected") == "covered"
     return rows.groupBy("repo_id").agg(F.count("*").alias("total"), F.count_if(covered & ok).alias("passed"), F.count_if(~covered & ~ok).alias("known_gaps"), F.count_if(covered & ~ok).alias("failed"), F.count_if(~covered & ok).alias("resolved"))
+
+
+def source_url(url: Column) -> Column:
+    """A repository's URL without one trailing slash, then without `.git`."""
+    return F.regexp_replace(F.regexp_replace(url, "/$", ""), r"\.git$", "")
+
+
+def matched_repositories(assessments: DataFrame, expectations: DataFrame) -> DataFrame:
+    """repo_id, expectation_id of assessments (repo_id, origin, local_path) and expectations (expectation_id, origin_url, local_suffix) of one repository.
+
+    Their URLs are equal (source_url), or the local path ends with the suffix; an empty suffix ends every path. Both
+    are joins by equality: a path offers each of its endings as long as some suffix is. Nulls match nothing.
+    """
+    by_url = assessments.select("repo_id", source_url(F.col("origin")).alias("url")).join(expectations.select("expectation_id", source_url(F.col("origin_url")).alias("url")), "url").select("repo_id", "expectation_id")
+    asked = expectations.where("local_suffix IS NOT NULL").select("expectation_id", "local_suffix")
+    lengths = asked.select(F.length("local_suffix").alias("n")).distinct()
+    paths = assessments.where("local_path IS NOT NULL").select("repo_id", "local_path", F.explode(F.sequence(F.lit(0), F.length("local_path"))).alias("n")).join(lengths, "n", "left_semi")
+    endings = paths.select("repo_id", F.substring("local_path", F.length("local_path") - F.col("n") + 1, F.col("n")).alias("local_suffix"))
+    return by_url.unionByName(endings.join(asked, "local_suffix").select("repo_id", "expectation_id")).distinct()

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from triagelake.operators import composition, enrichment, integrity
+from triagelake.operators import composition, enrichment, integrity, truth
 from triagelake.operators import correlation as co
 from triagelake.operators import reachability as rc
 from triagelake.sources import tables
@@ -102,7 +102,19 @@ def _ordered(s, d):
     return back.join(F.broadcast(before), "file").select("graph_id", "group_id", (F.col("before") + F.col("at") + 1).alias("position"))
 
 
+_REPOSITORIES = {"repo_id": "page_id", "origin": "CASE WHEN page_id % 4 > 0 THEN url END", "local_path": "CASE WHEN page_id % 3 > 0 THEN '/src/' || (page_id % 37) || '/repo' || (page_id % 111) END"}
+_EXPECTED = {"expectation_id": "'x' || page_id", "origin_url": "CASE WHEN page_id % 3 = 1 THEN url || CASE page_id % 2 WHEN 0 THEN '.git/' ELSE '/' END END", "local_suffix": "CASE WHEN page_id % 3 = 2 THEN '/repo' || (page_id % 111) WHEN page_id % 9 = 0 THEN (page_id % 37) || '/repo1' END"}
+
+
+def _repositories(s, d):
+    """Pages are repositories, and expectations of some."""
+    pages = s.read.parquet(f"{d}/pages.parquet")
+    of = lambda columns: pages.selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
+    return truth.matched_repositories(of(_REPOSITORIES), of(_EXPECTED))
+
+
 QUERIES = {
+    "p27_matched_repositories": _repositories,
     "g27_contexts": lambda s, d: _composed(s, d, "contexts").select("graph_id", "finding_id", "status", "reason", F.array_join("hypothesis_ids", ",").alias("hypothesis_ids")),
     "g27_hypotheses": lambda s, d: _composed(s, d, "hypotheses").select("graph_id", "hypothesis_id", "rule_id", "status", "confidence", "summary"),
     "g27_groups": lambda s, d: _composed(s, d, "groups").select("graph_id", "group_id", "lead", "score", F.size("hypothesis_ids").alias("n_hypotheses")),
@@ -111,7 +123,10 @@ QUERIES = {
 _PLACE = "CASE WHEN {0}.line IS NULL THEN {0}.path ELSE {0}.path || ':' || {0}.line END"
 _COPY = lambda values, other: "CASE k.family " + " ".join(f"WHEN '{f}' THEN '{t}'" for f, t in values.items() if f in ("external_input_to_dangerous_operation", "dependency_usage_path", "secret_impact_chain")) + f" ELSE {other} END"
 _RECIPES = f"{az._WITH('hypotheses', 'hints')}"
+_URL = "regexp_replace(regexp_replace({0}, '/$', ''), '\\.git$', '')"
 ORACLE_SQL = {
+    "p27_matched_repositories": f"""WITH a AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _REPOSITORIES.items())} FROM pages), x AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _EXPECTED.items())} FROM pages)
+SELECT DISTINCT repo_id, expectation_id FROM a JOIN x ON {_URL.format('origin')} = {_URL.format('origin_url')} OR ends_with(local_path, local_suffix)""",
     "v03_broken_flows": f"""WITH w AS (SELECT DISTINCT {', '.join(f'{e} AS {c}' for c, e in _FLOW.items())} FROM lineitem), e AS (SELECT DISTINCT 'g' || (p_partkey % 5) AS graph_id, 'e' || (p_partkey % 53) AS edge_id, 'n' || (p_partkey % 53) AS a, 'n' || (p_partkey % 53 + 1) AS b FROM part),
 j AS (SELECT w.*, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM w LEFT JOIN e x ON x.graph_id = w.graph_id AND x.edge_id = one LEFT JOIN e y ON y.graph_id = w.graph_id AND y.edge_id = two WHERE NOT empty),
 f AS (SELECT graph_id, flow_id, CASE WHEN a1 IS NULL THEN 'dangling:0' WHEN a1 <> source_id THEN 'not_connected:0' WHEN a2 IS NULL THEN 'dangling:1' WHEN a2 <> b1 THEN 'not_connected:1' WHEN b2 <> sink_id THEN 'wrong_end:2' END AS x FROM j)
