@@ -142,6 +142,25 @@ def rolled_up(scores: DataFrame) -> DataFrame:
     return rows.select("metric", "value", F.coalesce(F.col("value") >= F.col("target"), F.lit(False)).alias("passed"))
 
 
+#: How far the two splits may be apart.
+MOST_APART = 0.10
+
+
+def split_gap(scores: DataFrame) -> DataFrame:
+    """gap, passed: the largest difference of four metrics between tuning and held-out repositories, in one row.
+
+    Counts (of both kinds of scores) are summed for each split first. Without one of the splits, or where one
+    of the eight values has no denominator, the gap is null and does not pass.
+    """
+    sums = scores.where(F.col("split").isin("tuning", "held-out")).groupBy("split").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "supported_tp", "false_support", "candidate_tp", "candidate_fn")))
+    values = [ratio(F.col(a), F.col(a) + F.col(b)) for a, b in (("tp", "fp"), ("tp", "fn"), ("supported_tp", "false_support"), ("candidate_tp", "candidate_fn"))]
+    rows = sums.select("split", F.array(*values).alias("values"))
+    of = lambda split: F.max(F.when(F.col("split") == split, F.col("values")))
+    apart = rows.agg(of("tuning").alias("a"), of("held-out").alias("b")).select(F.zip_with("a", "b", lambda x, y: F.abs(x - y)).alias("apart"))
+    gap = F.when(F.col("apart").isNotNull() & ~F.exists("apart", lambda x: x.isNull()), F.array_max("apart"))
+    return apart.select(gap.alias("gap"), F.coalesce(gap <= MOST_APART, F.lit(False)).alias("passed"))
+
+
 def _count(column: str) -> Column:
     return F.coalesce(column, F.lit(0))
 

@@ -87,6 +87,7 @@ QUERIES = {
     "b01_direct_scores": _direct,
     "b02_b03_static_scores": _static,
     "b07_b08_all_targets": lambda s, d: tr.rolled_up(_both(s, d)),
+    "b09_split_gap": lambda s, d: tr.split_gap(_both(s, d)),
     "b10_coverage_gates": lambda s, d: tr.coverage_errors(*_of(s, d, "coverage", "wanted")),
     "b12_verdicts": lambda s, d: tr.verdict_errors(_verdicts(s, d), table(s, d, "repositories").select("repo_id", F.when(F.col("static_truth"), F.array(F.lit("not-ready-to-deploy"))).otherwise(F.array(F.lit("looks-ok-for-now"), F.lit("scan-incomplete"))).alias("verdicts"))),
     "b13_expectations": lambda s, d: tr.expectation_errors(_summary(s, d), _expected(s, d)),
@@ -127,6 +128,9 @@ ORACLE_SQL = {
     "b11_recallable": f"WITH {_SQL['truth']}, {_COV}, judged AS ({_JUDGED('truth', "c.state = 'checked'")}) SELECT repo_id, item_id, verdict FROM judged",
     "b01_direct_scores": f"WITH RECURSIVE {_DIRECT} SELECT * EXCLUDE (split) FROM direct",
     "b02_b03_static_scores": f"WITH RECURSIVE {_DIRECT}, {_STATIC} SELECT * FROM static",
+    "b09_split_gap": f"""WITH RECURSIVE {_DIRECT}, {_STATIC}, t AS (SELECT split, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(supported_tp) AS st, sum(false_support) AS fs, sum(candidate_tp) AS ct, sum(candidate_fn) AS cf FROM direct d JOIN static s ON s.repo_id = d.repo_id WHERE split IN ('tuning', 'held-out') GROUP BY split),
+each_metric AS (SELECT split, unnest(['a', 'b', 'c', 'd']) AS metric, unnest([tp / nullif(tp + fp, 0), tp / nullif(tp + fn, 0), st / nullif(st + fs, 0), ct / nullif(ct + cf, 0)]) AS v FROM t), both_splits AS (SELECT metric, max(v) - min(v) AS apart, count(v) AS n FROM each_metric GROUP BY metric)
+SELECT CASE WHEN count(*) = 4 AND min(n) = 2 THEN max(apart) END AS gap, coalesce(CASE WHEN count(*) = 4 AND min(n) = 2 THEN max(apart) END <= 0.1, false) AS passed FROM both_splits""",
     "b07_b08_all_targets": f"""WITH RECURSIVE {_DIRECT}, {_STATIC}, t AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(supported_tp) AS st, sum(false_support) AS fs, sum(candidate_tp) AS ct, sum(candidate_fn) AS cf FROM direct d JOIN static s ON s.repo_id = d.repo_id WHERE split <> 'canary'),
 p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS rc FROM t), e AS (SELECT unnest([{{'metric': 'direct_precision', 'value': pr, 'target': 0.9}}, {{'metric': 'direct_recall', 'value': rc, 'target': 0.85}}, {{'metric': 'direct_f_half', 'value': CASE WHEN 0.25 * pr + rc = 0 THEN 0.0 ELSE 1.25 * pr * rc / (0.25 * pr + rc) END, 'target': 0.88}},
   {{'metric': 'support_precision', 'value': CASE WHEN st + fs > 0 THEN st / (st + fs) END, 'target': 0.8}}, {{'metric': 'candidate_recall', 'value': CASE WHEN ct + cf > 0 THEN ct / (ct + cf) END, 'target': 0.8}}]) AS x FROM p) SELECT x.metric, x.value, coalesce(x.value >= x.target, false) AS passed FROM e""",
