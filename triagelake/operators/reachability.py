@@ -1,7 +1,8 @@
 """Whether components are imported, used or reachable from a boundary, over property graphs.
 
 Components and code are nodes (of operators/property_graph); usages are (graph_id, package, path, kind, line, symbol,
-affected), dependencies (graph_id, manifest, source_name, name).
+affected), dependencies (graph_id, manifest, source_name, name). Both may also have ord, version and evidence_ids, and
+dependencies a relationship: of observations that make the same edge or node the first by ord gives these.
 """
 
 from __future__ import annotations
@@ -20,6 +21,29 @@ FOLLOWED = ("receives", "registers", "calls", "imports", "uses", "depends_on")
 BY = "component-reachability"
 
 
+def weighed(observations: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """observations with outcome: no_evidence, outside_manifest (their path is no file (graph_id, path) of the graph's manifest) or kept.
+
+    A null path is outside; a graph without files keeps nothing; repeated files change nothing.
+    """
+    listed = files.select("graph_id", F.col("path").alias(path)).distinct().withColumn("is_listed", F.lit(True))
+    bare = F.coalesce(F.size("evidence_ids") <= 0, F.lit(True))
+    outcome = F.when(bare, "no_evidence").when(F.col("is_listed").isNull(), "outside_manifest").otherwise("kept")
+    return observations.join(listed, ["graph_id", path], "left").withColumn("outcome", outcome).drop("is_listed")
+
+
+def _first(rows: DataFrame, *group: str) -> DataFrame:
+    """The first row by ord of each group."""
+    rest = [c for c in rows.columns if c not in group]
+    return rows.groupBy(*group).agg(F.min_by(F.struct(*rest), "ord").alias("first")).select(*group, "first.*")
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """rows with version, evidence_ids and, for dependencies, relationship, where they came without."""
+    blank = {"ord": F.lit(0), "version": F.lit(None).cast("string"), "evidence_ids": F.array().cast("array<string>"), "relationship": F.lit(None).cast("string")}
+    return rows.withColumns({k: v for k, v in blank.items() if k not in rows.columns})
+
+
 def component_names(nodes: DataFrame) -> DataFrame:
     """graph_id, component_key, left_name: every name a component goes by."""
     p = F.col("properties")
@@ -56,38 +80,87 @@ def usage_graph(usages: DataFrame, dependencies: DataFrame, nodes: DataFrame) ->
     """Nodes and edges that usages and dependencies of known components add: usages without an owner, manifests, and imports, uses, depends_on."""
     asked = usages.select("graph_id", "package").unionByName(dependencies.select("graph_id", F.col("name").alias("package"))).distinct()
     of = written(matched(nodes, asked), "component-matches")
-    used = written(owned(usages, nodes).join(of, ["graph_id", "package"]), "owned-usages")
+    used = written(_described(owned(usages, nodes)).join(of, ["graph_id", "package"]), "owned-usages")
     manifest = pg.key("DependencyManifest", F.col("manifest"), F.col("source_name"))
-    needed = dependencies.withColumnRenamed("name", "package").join(of, ["graph_id", "package"])
-    new = used.where("is_new").dropDuplicates(["graph_id", "owner_key"])
+    needed = _described(dependencies.withColumnRenamed("name", "package")).join(of, ["graph_id", "package"])
+    new = _first(used.where("is_new"), "graph_id", "owner_key")
+    sources = _first(needed, "graph_id", "manifest", "source_name")
+    if "ord" in usages.columns:
+        used = _first(used, "graph_id", "kind", "owner_key", "component_key", "path", "line", "package", "affected")
+    if "ord" in dependencies.columns:
+        needed = _first(needed, "graph_id", "manifest", "source_name", "component_key", "package")
+    evidence, version = F.col("evidence_ids"), F.col("version")
     made = pg.upserted(
-        pg.nodes(new, BY, "CodeEntity", F.col("owner_key"), F.concat("kind", F.lit(" "), "package"), F.col("path"), F.col("line"), F.col("package"), recordType=F.lit("component_usage"), packageName=F.col("package"), usageKind=F.col("kind")),
-        pg.nodes(needed.dropDuplicates(["graph_id", "manifest", "source_name"]), BY, "CodeEntity", manifest, F.concat("source_name", F.lit(" dependency graph")), F.col("manifest"), F.lit(1), F.col("source_name"), recordType=F.lit("dependency_manifest")),
+        pg.nodes(new, BY, "CodeEntity", F.col("owner_key"), F.concat("kind", F.lit(" "), "package"), F.col("path"), F.col("line"), F.col("package"), evidence, recordType=F.lit("component_usage"), packageName=F.col("package"), usageKind=F.col("kind"), version=version, affectedSymbol=F.col("affected")),
+        pg.nodes(sources, BY, "CodeEntity", manifest, F.concat("source_name", F.lit(" dependency graph")), F.col("manifest"), F.lit(1), F.col("source_name"), evidence, recordType=F.lit("dependency_manifest"), sourcePackageName=F.col("source_name"), manifestPath=F.col("manifest")),
     )
-    of_kind = lambda kind, edge: pg.edges(used.where(F.col("kind") == kind), BY, edge, F.col("owner_key"), F.col("component_key"), F.col("path"), F.col("line"), F.col("package"), F.col("affected"), affectedSymbol=F.col("affected"))
-    links = pg.upserted(of_kind("imported", "imports"), of_kind("used", "uses"), pg.edges(needed, BY, "depends_on", manifest, F.col("component_key"), F.col("package")))
+    of_kind = lambda kind, edge: pg.edges(used.where(F.col("kind") == kind), BY, edge, F.col("owner_key"), F.col("component_key"), F.col("path"), F.col("line"), F.col("package"), F.col("affected"), evidence=evidence, packageName=F.col("package"), usageKind=F.col("kind"), version=version, affectedSymbol=F.col("affected"))
+    links = pg.upserted(of_kind("imported", "imports"), of_kind("used", "uses"), pg.edges(needed, BY, "depends_on", manifest, F.col("component_key"), F.col("package"), evidence=evidence, packageName=F.col("package"), sourcePackageName=F.col("source_name"), relationship=F.coalesce("relationship", F.lit("dependency_graph")), version=version))
     return made, links
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, component_id, level, path_edge_ids: how near a boundary gets to each component.
+def _into(edges: DataFrame) -> DataFrame:
+    """Edges into components that speak of their use: imports and uses, and what this module's dependencies add."""
+    return edges.where(F.col("kind").isin("imports", "uses") | ((F.col("kind") == "depends_on") & (F.col("producer") == BY)))
+
+
+def records(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, component_id, package_name, version, level, path_edge_ids, affected_symbol, affected_reachability: one row a component.
 
-    Of the edges into a component the first that a boundary reaches counts, usages before dependencies, by edge id.
+    Of the edges into a component the first that a boundary reaches counts, usages before dependencies, by edge id; its
+    symbol decides whether an affected one is reachable. The version is the component's own, else that of the first edge
+    that has one, in the same order. What may be many for a component, its findings and evidence, stays rows: see
+    component_findings and component_evidence. A component without edges is present, with an empty path.
     """
-    into = edges.where((F.col("kind").isin("imports", "uses")) | ((F.col("kind") == "depends_on") & (F.col("producer") == BY)))
-    into = into.select("graph_id", "edge_id", "kind", "from_id", F.col("to_id").alias("component_id"), F.col("properties")["affectedSymbol"].alias("affected"))
+    text = lambda c: F.when(c != "", c)
+    p = F.col("properties")
+    into = _into(edges).select("graph_id", "edge_id", "kind", "from_id", F.col("to_id").alias("component_id"), p["affectedSymbol"].alias("affected"), text(p["version"]).alias("edge_version"))
     found = reached(nodes, edges.where(F.col("kind").isin(*FOLLOWED))).select("graph_id", F.col("node_id").alias("from_id"), F.col("edge_ids").alias("path"))
     rows = into.join(found, ["graph_id", "from_id"], "left")
-    usage = F.col("kind") != "depends_on"
-    first = F.min(F.when(F.col("path").isNotNull(), F.struct((~usage).alias("later"), "edge_id", "path", "affected")))
+    later = (F.col("kind") == "depends_on").alias("later")
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("edge_id"))).alias(kind)
-    best = rows.groupBy("graph_id", "component_id").agg(first.alias("first"), of("uses"), of("imports"), of("depends_on"))
-    all_ = nodes.where("kind = 'Component'").select("graph_id", F.col("node_id").alias("component_id")).join(best, ["graph_id", "component_id"], "left")
+    best = rows.groupBy("graph_id", "component_id").agg(
+        F.min(F.when(F.col("path").isNotNull(), F.struct(later, "edge_id", "path", "affected"))).alias("first"),
+        F.min(F.when(F.col("edge_version").isNotNull(), F.struct(later, "edge_id", "edge_version"))).alias("of_edge"),
+        F.min(F.when(text(F.col("affected")).isNotNull(), F.struct("edge_id", "affected"))).alias("of_usage"),
+        of("uses"), of("imports"), of("depends_on"),
+    )
+    name, own = F.coalesce(text(p["packageName"]), text(F.col("symbol")), text(F.col("label")), F.col("node_id")), text(p["version"])
+    parts = nodes.where("kind = 'Component'").select("graph_id", F.col("node_id").alias("component_id"), name.alias("package_name"), own.alias("own_version"))
     hit = F.col("first").isNotNull()
-    level = F.when(hit & F.col("first.affected").isNotNull(), "affected_symbol_reachable").when(hit, "reachable_from_boundary").when(F.col("uses").isNotNull(), "used").when(F.col("imports").isNotNull(), "imported").when(F.col("depends_on").isNotNull(), "dependency_graph_reachable").otherwise("present")
+    affected = hit & F.col("first.affected").isNotNull()
+    level = F.when(affected, "affected_symbol_reachable").when(hit, "reachable_from_boundary").when(F.col("uses").isNotNull(), "used").when(F.col("imports").isNotNull(), "imported").when(F.col("depends_on").isNotNull(), "dependency_graph_reachable").otherwise("present")
     alone = F.coalesce("uses", "imports", "depends_on")
     path = F.when(hit, F.concat("first.path", F.array("first.edge_id"))).when(alone.isNotNull(), F.array(alone)).otherwise(F.array().cast("array<string>"))
-    return all_.select("graph_id", "component_id", level.alias("level"), path.alias("path_edge_ids"))
+    return parts.join(best, ["graph_id", "component_id"], "left").select(
+        "graph_id", "component_id", "package_name", F.coalesce("own_version", "of_edge.edge_version").alias("version"), level.alias("level"), path.alias("path_edge_ids"),
+        F.col("of_usage.affected").alias("affected_symbol"), F.when(affected, "reachable").otherwise("unknown").alias("affected_reachability"),
+    )
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, component_id, level, path_edge_ids: how near a boundary gets to each component."""
+    return records(nodes, edges).select("graph_id", "component_id", "level", "path_edge_ids")
+
+
+def component_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, component_id, finding_id: findings whose nodes affect a component, each once."""
+    findings = nodes.where(F.col("properties")["findingId"].isNotNull()).select("graph_id", F.col("node_id").alias("from_id"), F.col("properties")["findingId"].alias("finding_id"))
+    parts = nodes.where("kind = 'Component'").select("graph_id", F.col("node_id").alias("component_id"))
+    affects = edges.where("kind = 'affects'").select("graph_id", "from_id", F.col("to_id").alias("component_id"))
+    return affects.join(findings, ["graph_id", "from_id"]).join(parts, ["graph_id", "component_id"], "left_semi").select("graph_id", "component_id", "finding_id").distinct()
+
+
+def component_evidence(nodes: DataFrame, edges: DataFrame, records_: DataFrame) -> DataFrame:
+    """graph_id, component_id, evidence_id: each once, of the component, of every edge into it and of the edges of its path.
+
+    Evidence stays rows, for a component that everything uses has as much of it as there are usages.
+    """
+    parts = nodes.where("kind = 'Component'").select("graph_id", F.col("node_id").alias("component_id"), "evidence_ids")
+    into = _into(edges).select("graph_id", F.col("to_id").alias("component_id"), "evidence_ids").join(parts.select("graph_id", "component_id"), ["graph_id", "component_id"], "left_semi")
+    steps = records_.select("graph_id", "component_id", F.explode("path_edge_ids").alias("edge_id"))
+    along = steps.join(edges.select("graph_id", "edge_id", "evidence_ids"), ["graph_id", "edge_id"]).select("graph_id", "component_id", "evidence_ids")
+    return pg.union(parts, into, along).select("graph_id", "component_id", F.explode("evidence_ids").alias("evidence_id")).distinct()
 
 
 def coverage(levels_: DataFrame) -> DataFrame:
