@@ -10,7 +10,7 @@ from triagelake.operators import graph, integrity
 from triagelake.sources import corpus
 from triagelake.sources.shared import once
 
-from . import assessments, code, component_records, components, files, graphs, programs, quick, reports, routes, scores, tables, triage, composed
+from . import assessments, code, component_records, components, files, graphs, programs, quick, reports, review, routes, scores, tables, triage, composed
 from .findings_sql import FILES as _FILES
 from .findings_sql import FOUND as _FOUND
 from .findings_sql import SEVERITY_RANK as _SEV
@@ -64,6 +64,6 @@ s AS (SELECT DISTINCT a AS node FROM e WHERE a LIKE 'c%'), t AS (SELECT DISTINCT
 SELECT node, 0 AS distance FROM s UNION SELECT node, 1 FROM t UNION SELECT DISTINCT b, 2 FROM e JOIN t ON e.a = t.node""",
 }
 
-for _plan in (triage, code, files, reports, programs, graphs, assessments, scores, quick, tables, components, component_records, routes, composed):
+for _plan in (triage, code, files, reports, programs, graphs, assessments, scores, quick, tables, components, component_records, routes, composed, review):
     QUERIES |= _plan.QUERIES
     ORACLE_SQL |= _plan.ORACLE_SQL
