@@ -33,9 +33,9 @@ def weighed(observations: DataFrame, files: DataFrame, path: str) -> DataFrame:
 
 
 def _first(rows: DataFrame, *group: str) -> DataFrame:
-    """The first row by ord of each group."""
+    """The first row by ord of each group, of equal ones the least version and evidence."""
     rest = [c for c in rows.columns if c not in group]
-    return rows.groupBy(*group).agg(F.min_by(F.struct(*rest), "ord").alias("first")).select(*group, "first.*")
+    return rows.groupBy(*group).agg(F.min_by(F.struct(*rest), F.struct("ord", "version", "evidence_ids")).alias("first")).select(*group, "first.*")
 
 
 def _described(rows: DataFrame) -> DataFrame:

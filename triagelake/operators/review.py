@@ -53,12 +53,14 @@ def reportable(hypotheses: DataFrame, enrichments: DataFrame, recipes: DataFrame
 
     They say the same when normalised title, status, need of a runtime, the enrichment's description, impact and prompt
     and the recipe's fixtures and expected result agree. Without an enrichment a hypothesis is always reported.
-    hypotheses: repo_id, hypothesis_id, title, status, runtime, confidence; enrichments and recipes: one row a hypothesis.
+    hypotheses: repo_id, hypothesis_id, title, status, runtime, confidence; of repeated enrichments or recipes
+    of a hypothesis the least counts.
     """
+    one = lambda rows, name: rows.groupBy("repo_id", "hypothesis_id").agg(F.min(name).alias(name))
     said = enrichments.select("repo_id", "hypothesis_id", F.struct(*(normal(F.col(c)).alias(c) for c in ("attack_description", "impact", "agent_prompt"))).alias("enrichment"))
     fixtures = F.transform("required_fixtures", normal)
     asked = recipes.select("repo_id", "hypothesis_id", F.struct(fixtures.alias("fixtures"), normal(F.col("expected_result")).alias("expected")).alias("recipe"))
-    rows = hypotheses.where(~F.col("status").eqNullSafe("statically_contradicted")).join(said, ["repo_id", "hypothesis_id"], "left").join(asked, ["repo_id", "hypothesis_id"], "left")
+    rows = hypotheses.where(~F.col("status").eqNullSafe("statically_contradicted")).join(one(said, "enrichment"), ["repo_id", "hypothesis_id"], "left").join(one(asked, "recipe"), ["repo_id", "hypothesis_id"], "left")
     alone = F.when(F.col("enrichment").isNull(), F.col("hypothesis_id"))
     group = rows.withColumns({"alone": alone, "shown": F.struct(normal(F.col("title")).alias("title"), "status", "runtime", "enrichment", "recipe")})
     kept = [c for c in hypotheses.columns if c != "repo_id"]

@@ -18,7 +18,7 @@ from .graphs import _nid
 
 _L, _P = "(l_partkey - l_partkey % 2)", "(p_partkey - p_partkey % 2)"
 _ID = "l_orderkey || '-' || l_linenumber"
-_SEEN = {"graph_id": f"'repo' || ({_L} % 97)", "ord": "l_orderkey * 10 + l_linenumber", "version": "CASE l_orderkey % 5 WHEN 0 THEN '2.' || (l_suppkey % 10) WHEN 1 THEN '' END"}
+_SEEN = {"graph_id": f"'repo' || ({_L} % 97)", "ord": "(l_orderkey * 10 + l_linenumber) * 1000000000 + l_suppkey", "version": "CASE l_orderkey % 5 WHEN 0 THEN '2.' || (l_suppkey % 10) WHEN 1 THEN '' END"}
 CODE = {"graph_id": f"'repo' || ({_P} % 97)", "path": "'src/' || (p_partkey % 7)", "line": "1 + p_partkey % 50", "sym": "CASE p_partkey % 5 WHEN 0 THEN 'program' ELSE 'fn' || p_partkey END", "k": "'Code:' || p_partkey", "caller": "CASE WHEN p_partkey % 2 = 1 AND p_partkey > 1 THEN 'Code:' || (p_partkey - 1) END", "entry": "p_partkey % 6 = 0"}
 PART = {"graph_id": CODE["graph_id"], "k": "'Component:' || p_partkey", "package": f"CASE {_P} % 3 WHEN 0 THEN 'org/p' || {_P} ELSE 'p' || {_P} END", "own": "CASE p_partkey % 4 WHEN 0 THEN '1.' || (p_partkey % 10) WHEN 1 THEN '' END", "evidence": "'part-' || p_partkey"}
 FILE = {"graph_id": CODE["graph_id"], "path": CODE["path"], "manifest": "'m' || (p_partkey % 3) || '/pom.xml'"}

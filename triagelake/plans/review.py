@@ -11,7 +11,7 @@ from triagelake.sources.shared import once
 from . import files, graphs, scores
 from .quick import _ACTIONS, _findings
 
-_ID = "'h' || l_orderkey || '-' || l_linenumber"
+_ID = "'h' || l_orderkey || '-' || l_linenumber || '-' || l_partkey"
 _BLOCK = "'r' || ({0} - {0} % 36)"
 _A = scores._list
 
