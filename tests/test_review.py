@@ -72,3 +72,25 @@ def test_coverage_counts_every_graph(spark):
     }
     seen = spark.createDataFrame([("g", 2), ("g", 3), ("x", 1)], "graph_id string, n int")
     assert sorted((r["graph_id"], r["state"], r["covered"], r["total"]) for r in review.observed_coverage(graphs, seen, "ci_iac", "p").collect()) == [("g", "checked", 5, 5), ("h", "checked", 0, 0)]
+
+
+def test_a_map_lists_its_entries_in_order(spark):
+    from triagelake.operators import repository_map
+
+    nodes = spark.createDataFrame([("g", "n2", "CodeEntity", "b", "src/x", "checked", ["v2", "v1"]), ("g", "n1", "CodeEntity", "a", "src/x", "partial", []), ("g", "n3", "CodeEntity", "z", None, "checked", None), ("g", "n4", "Other", "o", None, "checked", []), ("h", "n1", "Component", "c", None, "checked", [])], "graph_id string, node_id string, kind string, label string, path string, state string, evidence_ids array<string>")
+    edges = spark.createDataFrame([("g", "e1", "calls", "n2", "gone", "checked", []), ("g", "e2", "calls", "n1", "n2", "failed", ["v"])], "graph_id string, edge_id string, kind string, from_id string, to_id string, state string, evidence_ids array<string>")
+    flows = spark.createDataFrame([("g", "w", "n1", "gone", ["e2", "e1"], "checked")], "graph_id string, flow_id string, source_id string, sink_id string, edge_ids array<string>, state string")
+    areas = ("boundaries", "call_graph", "dependency_usage", "ci_iac", "content_assets", "smart_contracts", "language_support")
+    rows = [(g, a, "p", "checked", 1, 2, None) for g in ("g", "h") for a in areas] + [("g", "data_flow", "p", "partial", None, None, "why"), ("h", "data_flow", "p", "checked", 1, 1, None)]
+    coverage = spark.createDataFrame(rows, "graph_id string, area string, producer string, state string, covered long, total long, reason string")
+    got = {}
+    for r in repository_map.entries(nodes, edges, flows, coverage).orderBy("nth").collect():
+        got.setdefault((r["graph_id"], r["section"]), []).append((r["nth"], r["entry_id"], r["from_label"], r["to_label"], r["evidence_ids"], r["note"]))
+    assert [x[:2] for x in got.pop(("g", "coverage"))] == [(n + 1, f"{a}:p") for n, a in enumerate(sorted([*areas, "data_flow"]))] and len(got.pop(("h", "coverage"))) == 8
+    assert got == {
+        ("g", "codeEntities"): [(1, "n3", None, None, None, None), (2, "n1", None, None, [], None), (3, "n2", None, None, ["v1", "v2"], None)],
+        ("g", "relationships"): [(1, "e2", "a", "b", ["v"], None), (2, "e1", "b", "gone", [], None)],
+        ("g", "flows"): [(1, "w", "a", "gone", None, "e2>e1")],
+        ("g", "factGaps"): [(1, "coverage:data_flow:p", None, None, None, "why"), (2, "edge:e2", None, None, None, "calls relationship coverage is failed."), (3, "node:n1", None, None, None, "CodeEntity coverage is partial.")],
+        ("h", "integrations"): [(1, "n1", None, None, [], None)],
+    }

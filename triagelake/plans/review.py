@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triagelake.operators import content, quick, review
+from triagelake.operators import content, quick, repository_map, review
 from triagelake.sources import trees
 from triagelake.sources.shared import once
 
-from . import files, graphs, scores
+from . import assessments, files, graphs, scores
 from .quick import _ACTIONS, _findings
 
 _ID = "'h' || l_orderkey || '-' || l_linenumber || '-' || l_partkey"
@@ -66,6 +66,15 @@ def _observed(s, d):
     return rows.unionByName(review.observed_coverage(routed, scanned("n_content"), "content_assets", "content-resource-context")).unionByName(review.observed_coverage(routed, scanned("n_contracts"), "smart_contracts", "smart-contract-context"))
 
 
+def _map(s, d):
+    """The graphs of assessments, with paths for two nodes in three and counts for coverage."""
+    nodes, edges, flows, coverage = assessments._of(s, d, "nodes", "edges", "flows", "coverage")
+    nodes = nodes.selectExpr("*", f"{_PATH} AS path")
+    coverage = coverage.selectExpr("*", "CAST(length(area) AS BIGINT) AS covered", "CAST(length(producer) AS BIGINT) AS total")
+    return repository_map.entries(nodes, edges, flows, coverage).withColumns({"evidence_ids": F.array_join("evidence_ids", ","), **{c: F.col(c).cast("string") for c in ("covered_count", "total_count")}})
+
+
+_PATH = "CASE WHEN CAST(substr(node_id, 2) AS BIGINT) % 3 > 0 THEN 'src/' || (CAST(substr(node_id, 2) AS BIGINT) % 7) END"
 _J = lambda c: F.array_join(c, ",").alias(c)
 QUERIES = {
     "a22_action_counts": lambda s, d: review.hidden_counts(_actions(s, d), _findings(s, d)),
@@ -77,6 +86,7 @@ QUERIES = {
     "j22_a21_errors": _audit,
     "a14_code_coverage": _code_coverage,
     "a16_observed_coverage": _observed,
+    "g25_map_entries": _map,
 }
 _SQL = {n: f"{n} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {t} WHERE {w})" for n, (t, w, cols) in _tables("duckdb").items()}
 _N = lambda c: f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
@@ -89,7 +99,18 @@ b AS (SELECT coalesce(c.repo_id, p.repo_id) AS repo_id, coalesce(c.category, p.c
 _FLOWS = graphs.ORACLE_SQL["g11_code_flows"]
 _COV = lambda area, state, have, of: f"SELECT graph_id, '{area}' AS area, {state} AS state, {have} AS covered, {of} AS total FROM n"
 _SCANNED = f"SELECT repo_id, n_contracts, n_content FROM ({files.ORACLE_SQL['x27_routing']})"
+_ENTRY = lambda source, order, **v: f"SELECT graph_id, {', '.join(f'{v.get(c, "NULL")} AS {c}' for c in repository_map.COLUMNS[1:-1])}, row_number() OVER (PARTITION BY graph_id, {v['section']} ORDER BY {order}) AS nth FROM {source}"
+_SORTED = "array_to_string(list_sort(evidence_ids), ',')"
+_ENDS = lambda t, a, b: f"(SELECT t.*, coalesce(x.label, {a}) AS from_label, coalesce(y.label, {b}) AS to_label FROM {t} t LEFT JOIN nodes x ON x.graph_id = t.graph_id AND x.node_id = {a} LEFT JOIN nodes y ON y.graph_id = t.graph_id AND y.node_id = {b})"
+_MAP = " UNION ALL ".join((
+    _ENTRY(f"(SELECT *, {assessments._SECTION} AS section, {_PATH} AS path FROM nodes)", "coalesce(path, ''), label, kind, node_id", section="section", entry_id="node_id", kind="kind", path="path", label="label", evidence_ids=_SORTED, state="state") + " WHERE section IS NOT NULL",
+    _ENTRY(_ENDS("edges", "from_id", "to_id"), "kind, from_id, to_id, edge_id", section="'relationships'", entry_id="edge_id", kind="kind", from_id="from_id", from_label="from_label", to_id="to_id", to_label="to_label", evidence_ids=_SORTED, state="state"),
+    _ENTRY(_ENDS("flows", "source_id", "sink_id"), "flow_id", section="'flows'", entry_id="flow_id", from_id="source_id", from_label="from_label", to_id="sink_id", to_label="to_label", note="array_to_string(edge_ids, '>')", state="state"),
+    _ENTRY("coverage", "area, producer, state, coalesce(reason, '')", section="'coverage'", entry_id="area || ':' || producer", kind="producer", label="area", state="state", covered_count="length(area)::VARCHAR", total_count="length(producer)::VARCHAR", note="reason"),
+    _ENTRY(f"({assessments.ORACLE_SQL['g26_fact_gaps']})", "source, CASE source WHEN 'coverage' THEN label ELSE '' END, label, gap_id, description", section="'factGaps'", entry_id="gap_id", kind="source", label="label", state="state", note="description"),
+))
 ORACLE_SQL = {
+    "g25_map_entries": f"WITH {assessments._WITH('edges', 'flows', 'coverage')} {_MAP}",
     "a22_action_counts": f"WITH {_ACTIONS}, n AS (SELECT action_id, repo_id, len(finding_ids) AS n, len(files) AS f FROM act) SELECT repo_id, action_id, n AS total_findings, least(n, 10) AS included_findings, n - least(n, 10) AS omitted_findings, f AS total_files, least(f, 20) AS included_files, f - least(f, 20) AS omitted_files FROM n",
     "a22_action_buckets": f"WITH {_ACTIONS}, e AS ({_EACH}), n AS (SELECT repo_id, remediation_key, what, value, count(*) AS n FROM e GROUP BY ALL) SELECT n.repo_id, action_id, what, row_number() OVER (PARTITION BY n.repo_id, n.remediation_key, what ORDER BY n DESC, value) AS nth, value, n FROM n JOIN act a ON a.repo_id = n.repo_id AND a.remediation_key = n.remediation_key QUALIFY nth <= 12",
     "w08_owner_facing": f"""WITH {_SQL['said']}, {_SQL['enriched']}, {_SQL['recipes']} SELECT h.* FROM said h LEFT JOIN enriched e ON e.repo_id = h.repo_id AND e.hypothesis_id = h.hypothesis_id LEFT JOIN recipes r ON r.repo_id = h.repo_id AND r.hypothesis_id = h.hypothesis_id WHERE status <> 'statically_contradicted'
