@@ -88,11 +88,11 @@ def same_package(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def evidence_for(packages: DataFrame, evidence: DataFrame) -> DataFrame:
-    """repo_id, name, evidence_ids of packages (repo_id, name): of the equal package, else of the first by order that matches by suffix.
+    """repo_id, name, evidence_ids of packages (repo_id, name): of the equal package, else of the first by order that matches by suffix, of equal orders the shortest name.
 
     evidence is (repo_id, ord, package_name, evidence_ids), one row for each package name.
     """
     pairs = same_package(packages.withColumnRenamed("name", "left_name"), evidence.withColumnRenamed("package_name", "right_name"))
     known = pairs.join(evidence.select("repo_id", F.col("package_name").alias("right_name"), "ord", "evidence_ids"), ["repo_id", "right_name"]).where(F.size("evidence_ids") > 0)
-    best = known.groupBy("repo_id", F.col("left_name").alias("name")).agg(F.min_by("evidence_ids", F.struct(F.col("left_name") != F.col("right_name"), "ord")).alias("evidence_ids"))
+    best = known.groupBy("repo_id", F.col("left_name").alias("name")).agg(F.min_by("evidence_ids", F.struct(F.col("left_name") != F.col("right_name"), "ord", F.length("right_name"), "right_name")).alias("evidence_ids"))
     return packages.select("repo_id", "name").distinct().join(best, ["repo_id", "name"], "left")
