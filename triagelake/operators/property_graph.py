@@ -52,9 +52,14 @@ def nodes(rows: DataFrame, producer: str, kind: str | Column, stable: Column, la
 
 
 def edges(rows: DataFrame, producer: str, kind: str, from_key: Column, to_key: Column, *more: Column, evidence: Column | None = None, **properties: Column) -> DataFrame:
-    start, end = node_id(from_key), node_id(to_key)
-    stable = key(F.lit(kind), start, end, *more)
-    values = {"graph_id": F.col("graph_id"), "edge_id": fn.stable_id("edge", F.col("graph_id"), stable), "kind": F.lit(kind), "stable_key": stable, "from_id": start, "to_id": end, "properties": _map(properties), "evidence_ids": F.array().cast("array<string>") if evidence is None else evidence, "producer": F.lit(producer)}
+    return edges_between(rows, producer, kind, node_id(from_key), node_id(to_key), *more, evidence=evidence, **properties)
+
+
+def edges_between(rows: DataFrame, producer: str, kind: str | Column, start: Column, end: Column, *more: Column, evidence: Column | None = None, **properties: Column) -> DataFrame:
+    """edges of ends that are known by id already."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    stable = key(kind, start, end, *more)
+    values = {"graph_id": F.col("graph_id"), "edge_id": fn.stable_id("edge", F.col("graph_id"), stable), "kind": kind, "stable_key": stable, "from_id": start, "to_id": end, "properties": _map(properties), "evidence_ids": F.array().cast("array<string>") if evidence is None else evidence, "producer": F.lit(producer)}
     return rows.select(*(v.alias(k) for k, v in values.items()))
 
 

@@ -33,24 +33,27 @@ def _nodes(s, d):
     return nodes, pg.edges(entry, "t", "registers", bk, F.col("k"))
 
 
-def _graph(s, d):
+def _observed(s, d):
+    """The written nodes, their edges, usages and dependencies."""
     nodes, edges = _nodes(s, d)
-    nodes = written(nodes, "component-nodes")
-    more, links = rc.usage_graph(_table(s, d, "uses").withColumn("line", F.col("line").cast("long")), _table(s, d, "needs"), nodes)
-    return nodes, more, edges, links
+    return written(nodes, "component-nodes"), edges, _table(s, d, "uses").withColumn("line", F.col("line").cast("long")), _table(s, d, "needs")
+
+
+def _graph(s, d):
+    nodes, _, uses, needs = _observed(s, d)
+    return rc.usage_graph(uses, needs, nodes)
 
 
 def _levels(s, d):
-    nodes, more, edges, links = _graph(s, d)
-    return rc.levels(written(pg.upserted(nodes, more), "all-nodes"), written(pg.upserted(edges, links), "all-edges"))
+    return rc.usage_levels(*_observed(s, d))
 
 
 QUERIES = {
     "j05_component_matches": lambda s, d: rc.matched(_nodes(s, d)[0], _table(s, d, "uses").select("graph_id", "package").distinct()),
     "j06_usage_owners": lambda s, d: rc.owned(_table(s, d, "uses"), _nodes(s, d)[0]).select("graph_id", "package", "path", "kind", "line", "owner_key", "is_new", F.coalesce("symbol", F.lit("")).alias("symbol")).distinct(),
-    "j07_usage_nodes": lambda s, d: _graph(s, d)[1].select("graph_id", "node_id", "label"),
-    "j07_usage_edges": lambda s, d: _graph(s, d)[3].select("graph_id", "edge_id", "kind", "from_id", "to_id"),
-    "g13_levels": lambda s, d: _levels(s, d).select("graph_id", "component_id", "level", F.size("path_edge_ids").alias("n_edges")),
+    "j07_usage_nodes": lambda s, d: _graph(s, d)[0].select("graph_id", "node_id", "label"),
+    "j07_usage_edges": lambda s, d: _graph(s, d)[1].select("graph_id", "edge_id", "kind", "from_id", "to_id"),
+    "g13_levels": lambda s, d: _levels(s, d),
     "a15_usage_coverage": lambda s, d: rc.coverage(_levels(s, d)),
 }
 _KEY = "'ComponentUsage:' || path || ':' || line || ':' || package || ':' || kind"
