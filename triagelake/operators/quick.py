@@ -91,34 +91,38 @@ def _worst(column: str = "severity") -> Column:
     return F.max_by(column, fn.severity_rank(F.col(column)))
 
 
-def _listed(column: str) -> Column:
-    """Distinct values in the order of `at` that they first have."""
-    return F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(column).alias("v")))), lambda x: x["v"])
+def _ordered(*columns: str) -> Column:
+    """Records of columns in the order of `at`, gathered and sorted once for all of them."""
+    return F.sort_array(F.collect_list(F.struct("at", *columns)))
 
 
 def clusters(findings: DataFrame) -> DataFrame:
     """repo_id, cluster_id, category, finding_ids in order, max_severity: of a category, key and file."""
-    out = findings.groupBy("repo_id", "category", "remediation_key", "path").agg(_listed("finding_id").alias("finding_ids"), _worst().alias("max_severity"))
+    out = findings.groupBy("repo_id", "category", "remediation_key", "path").agg(_ordered("finding_id")["finding_id"].alias("finding_ids"), _worst().alias("max_severity"))
     return out.select("repo_id", fn.stable_id("cluster", F.col("category"), F.col("remediation_key"), F.col("path")).alias("cluster_id"), "category", "path", "finding_ids", "max_severity")
 
 
 def actions(findings: DataFrame) -> DataFrame:
     """repo_id, action_id (of the sorted fingerprints), key, score of the worst severity and the first finding's category, ids, files, impact, rules, first place, rank."""
     grouped = findings.groupBy("repo_id", "remediation_key").agg(
-        F.array_sort(F.collect_list("fingerprint")).alias("fingerprints"), _worst().alias("severity"), F.min_by("category", "at").alias("category"), _listed("finding_id").alias("finding_ids"), _listed("evidence_id").alias("all_evidence"), _listed("path").alias("all_paths"), _listed("rule_id").alias("all_rules"), F.min_by(F.concat("path", F.lit(":"), F.col("line").cast("string")), "at").alias("place"),
+        F.sort_array(F.collect_list("fingerprint")).alias("fingerprints"), _worst().alias("severity"), F.min_by("category", "at").alias("category"), _ordered("finding_id", "evidence_id", "path", "rule_id").alias("all"), F.min_by(F.concat("path", F.lit(":"), F.col("line").cast("string")), "at").alias("place"),
     )
     score = fn.priority(F.col("severity"), F.col("category"))
     rows = grouped.select(
-        "repo_id", fn.stable_id("action", F.array_join("fingerprints", "\0")).alias("action_id"), "remediation_key", score.alias("score"), "severity", "finding_ids", F.array_distinct("all_evidence").alias("evidence_ids"), F.array_distinct("all_paths").alias("files"), fn.verdict_impact(F.col("severity")).alias("impact"), F.array_distinct("all_rules").alias("rules"), "place",
+        "repo_id", fn.stable_id("action", F.array_join("fingerprints", "\0")).alias("action_id"), "remediation_key", score.alias("score"), "severity", F.col("all.finding_id").alias("finding_ids"), F.array_distinct("all.evidence_id").alias("evidence_ids"), F.array_distinct("all.path").alias("files"), fn.verdict_impact(F.col("severity")).alias("impact"), F.array_distinct("all.rule_id").alias("rules"), "place",
     )
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("score"), "remediation_key")))
 
 
 def locations(actions_: DataFrame, findings: DataFrame) -> DataFrame:
-    """repo_id, action_id, nth, place: distinct `path:line` of an action's findings, in the order of its findings."""
-    each = actions_.select("repo_id", "action_id", F.posexplode("finding_ids").alias("ord", "finding_id")).join(findings.select("repo_id", "finding_id", F.concat("path", F.lit(":"), F.col("line").cast("string")).alias("place")), ["repo_id", "finding_id"])
-    first = each.groupBy("repo_id", "action_id", "place").agg(F.min("ord").alias("ord"))
-    return first.select("repo_id", "action_id", F.row_number().over(Window.partitionBy("repo_id", "action_id").orderBy("ord")).alias("nth"), "place")
+    """repo_id, action_id, nth, place: distinct `path:line` of an action's findings, in the order of its findings.
+
+    A place is one row before it meets its action, and lists of findings are not gathered for it.
+    """
+    key = ["repo_id", "remediation_key"]
+    first = findings.groupBy(*key, F.concat("path", F.lit(":"), F.col("line").cast("string")).alias("place")).agg(F.min(F.struct("at", "finding_id")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("first"))
+    return actions_.select(*key, "action_id").join(first.withColumn("nth", nth), key).select("repo_id", "action_id", "nth", "place")
 
 
 def remediations(actions_: DataFrame) -> DataFrame:

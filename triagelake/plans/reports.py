@@ -36,8 +36,11 @@ def _st(**values):
     return F.struct(*((v if not isinstance(v, str) else F.col(v)).alias(k) for k, v in values.items()))
 
 
-def _reports(s, d):
-    """One report for each order, in the shape of its tool; some are fenced or stand inside other text, some are cut short."""
+def _reports(s, d, kind=None):
+    """One report for each order, in the shape of its tool; some are fenced or stand inside other text, some are cut short.
+
+    With a kind only reports of that kind, whose records are picked before they are shuffled.
+    """
     cause = _st(Resource=F.when(F.col("nth") % 2 == 0, F.col("path")), StartLine="line_no")
     vulnerability = _st(VulnerabilityID="rule", ID="other_rule", Title="message", PkgName="package", InstalledVersion="version", FixedVersion="fixed", Severity="severity", CauseMetadata=cause, PkgIdentifier=_st(PURL=F.when(F.col("ecosystem").isNotNull(), F.concat(F.lit("pkg:"), "ecosystem", F.lit("/"), "package"))))
     osv = _st(packageName=F.when(F.col("nth") != 3, F.col("package")), version="version", target="path", vulns=F.array(_st(id="rule"), _st(id=F.lit("GHSA"))))
@@ -46,12 +49,18 @@ def _reports(s, d):
     zizmor = _st(ident="rule", desc="message", determinations=_st(severity="severity"), locations=F.array(_st(file="path", start_line="line_no")))
     sarif = _st(ruleId="rule", level="severity", message=_st(text="message"), locations=F.array(_st(physicalLocation=_st(artifactLocation=_st(uri="path"), region=_st(startLine="line_no")))))
     part = _st(name="package", version="version", purl=F.concat(F.lit("pkg:npm/"), "package"))
-    rows = _facts(s, d).groupBy("repo_id", "report_id", "kind").agg(*(F.array_sort(F.collect_list(F.struct("nth", x.alias("r")))).alias(n) for n, x in (("trivy", vulnerability), ("osv", osv), ("lint", lint), ("zizmor", zizmor), ("sarif", sarif), ("parts", part))), F.first("path").alias("any_path"))
+    facts = _facts(s, d) if kind is None else _facts(s, d).where(F.col("kind") == kind)
+    rows = facts.groupBy("repo_id", "report_id", "kind").agg(*(F.array_sort(F.collect_list(F.struct("nth", x.alias("r")))).alias(n) for n, x in (("trivy", vulnerability), ("osv", osv), ("lint", lint), ("zizmor", zizmor), ("sarif", sarif), ("parts", part))), F.first("path").alias("any_path"))
     listed = {n: F.transform(n, lambda x: x["r"]) for n in ("trivy", "osv", "lint", "zizmor", "sarif", "parts")}
     odd = F.transform(F.filter("trivy", lambda x: x["nth"] % 2 == 1), lambda x: x["r"])
     even = F.transform(F.filter("trivy", lambda x: x["nth"] % 2 == 0), lambda x: x["r"])
-    raw = F.when(F.col("kind") == 0, F.to_json(_st(Results=F.array(_st(Target=F.lit("web/package.json"), Vulnerabilities=even, Misconfigurations=odd))))).when(F.col("kind") == 1, F.to_json(_st(results=listed["osv"]))).when(F.col("kind") == 2, F.to_json(listed["lint"]))
-    raw = raw.when(F.col("kind") == 3, F.to_json(listed["zizmor"])).when(F.col("kind") == 4, F.to_json(_st(Vulnerabilities=listed["trivy"]))).when(F.col("kind") == 5, F.to_json(_st(components=listed["parts"]))).otherwise(F.to_json(_st(runs=F.array(_st(results=listed["sarif"])))))
+    shapes = (_st(Results=F.array(_st(Target=F.lit("web/package.json"), Vulnerabilities=even, Misconfigurations=odd))), _st(results=listed["osv"]), listed["lint"], listed["zizmor"], _st(Vulnerabilities=listed["trivy"]), _st(components=listed["parts"]), _st(runs=F.array(_st(results=listed["sarif"]))))
+    if kind is None:
+        raw = F.to_json(shapes[6])
+        for n, shape in enumerate(shapes[:6]):
+            raw = F.when(F.col("kind") == n, F.to_json(shape)).otherwise(raw)
+    else:
+        raw = F.to_json(shapes[kind])
     k = F.col("report_id")
     raw = F.when(k % 17 == 0, F.substring(raw, 1, 30)).when(k % 5 == 0, F.concat(F.lit("Log:\n```json\n"), raw, F.lit("\n```\nend"))).when(k % 11 == 0, F.concat(F.lit("scan done: "), raw, F.lit(" (0 errors)"))).otherwise(raw)
     raw = F.when(k % 19 == 0, " ").when(k % 23 == 0, "17").otherwise(raw)
@@ -64,7 +73,8 @@ def _manifests(s, d):
 
 
 def _records(s, d, check):
-    return rp.records(_reports(s, d).where(F.col("check") == check)).withColumn("ord", F.col("report_id") * 100 + F.col("ord"))
+    kind = next(k for k, c, _ in TOOLS if c == check)
+    return rp.records(_reports(s, d, kind)).withColumn("ord", F.col("report_id") * 100 + F.col("ord"))
 
 
 _OUT = ("repo_id", "rule_id", "message", "path", "CAST(coalesce(line_no, 0) AS BIGINT) AS line_no", "severity")
