@@ -123,3 +123,12 @@ def test_candidates_merging_and_limits(spark, merged):
             first[r["graph_id"], r["rule_id"]].append(r["candidate_id"])
     limited = graphs.QUERIES["p28_w04_limited"](spark, DATA).collect()
     assert {r["candidate_id"] for r in limited} == {c for rows in first.values() for c in rows[:5]} and len(limited) == sum(len(rows[:5]) for rows in first.values())
+
+
+def test_flows_are_counted_as_they_are_listed(spark):
+    kinds = {"s": "Source", "t": "Source", "a": "CodeEntity", "b": "CodeEntity", "c": "CodeEntity", "k": "Sink", "l": "Sink"}
+    ends = ["sa", "ab", "ba", "bc", "ac", "ck", "ck", "cl", "ak", "kl", "kc", "lc", "ta", "tk", "cb", "aa"]
+    nodes = spark.createDataFrame([(g, n, k) for g in "xy" for n, k in kinds.items()] + [("z", "s", "Source")], "graph_id string, node_id string, kind string")
+    edges = spark.createDataFrame([(g, f"{g}{i}", "calls" if i % 7 else "flows_to", e[0], e[1]) for g in "xy" for i, e in enumerate(ends if g == "x" else ends[:8])] + [("x", "other", "uses", "s", "k")], "graph_id string, edge_id string, kind string, from_id string, to_id string")
+    listed = {r["graph_id"]: r["count"] for r in co.flows(nodes, edges).groupBy("graph_id").count().collect()}
+    assert {r["graph_id"]: r["n"] for r in co.flow_counts(nodes, edges).collect()} == listed and listed["x"] > 12

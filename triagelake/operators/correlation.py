@@ -261,6 +261,30 @@ def flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("graph_id", fn.stable_id("flow", F.col("graph_id"), stable).alias("flow_id"), "source_id", F.col("end_id").alias("sink_id"), "edge_ids", "node_ids")
 
 
+def flow_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, n: how many flows a graph has, for graphs that have some.
+
+    Paths are listed without their last edge. Edges from there into sinks are counted for each node: no path
+    has met a sink before, so each of these edges ends one flow.
+    """
+    sinks = nodes.where("kind = 'Sink'").select("graph_id", F.col("node_id").alias("to_id"), F.lit(True).alias("is_sink")).distinct()
+    steps = written(edges.where(F.col("kind").isin(*_FLOW)).select("graph_id", "from_id", "to_id").join(sinks, ["graph_id", "to_id"], "left"), "flow-edges")
+    into = written(steps.where("is_sink").groupBy("graph_id", F.col("from_id").alias("end_id")).agg(F.count("*").alias("n")), "flow-ends")
+    steps = steps.where("is_sink IS NULL").select("graph_id", F.col("from_id").alias("end_id"), "to_id")
+    front = nodes.where("kind = 'Source'").select("graph_id", F.col("node_id").alias("end_id"), F.array("node_id").alias("node_ids"))
+    found = []
+    for length in range(1, MAX_LENGTH + 1):
+        found.append(front.join(into, ["graph_id", "end_id"]).groupBy("graph_id").agg(F.sum("n").alias("n")))
+        if length == MAX_LENGTH or front.isEmpty():
+            break
+        ahead = front.join(steps, ["graph_id", "end_id"]).where(~F.array_contains("node_ids", F.col("to_id")))
+        front = written(ahead.select("graph_id", F.col("to_id").alias("end_id"), F.array_append("node_ids", F.col("to_id")).alias("node_ids")), "flow-fronts")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("graph_id").agg(F.sum("n").alias("n"))
+
+
 def reached(nodes: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
     """graph_id, node_id, edge_ids: the shortest path to each node from any source or boundary, the least by (start, edge ids) of equal ones.
 

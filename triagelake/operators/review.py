@@ -162,12 +162,13 @@ def inventory_errors(challenges: DataFrame, policies: DataFrame, expectations: D
 def code_coverage(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, flows: DataFrame, seeds: DataFrame) -> DataFrame:
     """graph_id, area, producer, state, covered, total, reason: entities, boundaries, calls and flows of every graph, counted from its tables.
 
-    A graph of which a table holds nothing counts zero there. seeds are the inputs (one row each) that flows can start from.
+    A graph of which a table holds nothing counts zero there. flows are rows of one flow each, or counts n of a graph. seeds are the inputs (one row each) that flows can start from.
     """
     count = lambda rows, name, where="true": rows.groupBy("graph_id").agg(F.count_if(F.expr(where)).alias(name))
     of_nodes = nodes.groupBy("graph_id").agg(F.count_if(F.col("kind") == "CodeEntity").alias("entities"), F.count_if(F.col("kind") == "Boundary").alias("boundaries"))
+    of_flows = flows.groupBy("graph_id").agg((F.sum("n") if "n" in flows.columns else F.count("*")).alias("flows"))
     rows = graphs.select("graph_id").distinct().join(of_nodes, "graph_id", "left")
-    for more in (count(edges, "calls", "kind = 'calls'"), count(flows, "flows"), count(seeds, "seeds")):
+    for more in (count(edges, "calls", "kind = 'calls'"), of_flows, count(seeds, "seeds")):
         rows = rows.join(more, "graph_id", "left")
     rows = rows.fillna(0)
     e, b, c, f = (F.col(x) for x in ("entities", "boundaries", "calls", "flows"))

@@ -53,7 +53,7 @@ def _audit(s, d):
 def _code_coverage(s, d):
     nodes, edges = graphs._written_code(s, d)
     seeds = graphs.seeds(s, d).select(F.col("repo_id").alias("graph_id"))
-    return review.code_coverage(nodes, nodes, edges, graphs.co.flows(nodes, edges), seeds)
+    return review.code_coverage(nodes, nodes, edges, graphs.co.flow_counts(nodes, edges), seeds)
 
 
 def _observed(s, d):
