@@ -103,7 +103,8 @@ def _findings(s, d):
 
 
 def _clusters(s, d):
-    return _findings(s, d).groupBy("graph_id", "category").agg(F.array_sort(F.collect_set("finding_id")).alias("finding_ids")).withColumn("cluster_id", F.concat(F.lit("c-"), "category"))
+    """The findings of a category of a graph, one row each."""
+    return _findings(s, d).select("graph_id", F.concat(F.lit("c-"), "category").alias("cluster_id"), "category", "finding_id").distinct()
 
 
 def contexts(s, d):
