@@ -36,25 +36,38 @@ def _st(**values):
     return F.struct(*((v if not isinstance(v, str) else F.col(v)).alias(k) for k, v in values.items()))
 
 
+def _of(fact, **values):
+    """A struct of a fact's fields, by name, and of other columns."""
+    return _st(**{k: fact[v] if isinstance(v, str) else v for k, v in values.items()})
+
+
+def _vulnerability(f):
+    cause = _of(f, Resource=F.when(f["nth"] % 2 == 0, f["path"]), StartLine="line_no")
+    purl = F.when(f["ecosystem"].isNotNull(), F.concat(F.lit("pkg:"), f["ecosystem"], F.lit("/"), f["package"]))
+    return _of(f, VulnerabilityID="rule", ID="other_rule", Title="message", PkgName="package", InstalledVersion="version", FixedVersion="fixed", Severity="severity", CauseMetadata=cause, PkgIdentifier=_st(PURL=purl))
+
+
 def _reports(s, d, kind=None):
     """One report for each order, in the shape of its tool; some are fenced or stand inside other text, some are cut short.
 
     With a kind only reports of that kind, whose records are picked before they are shuffled.
     """
-    cause = _st(Resource=F.when(F.col("nth") % 2 == 0, F.col("path")), StartLine="line_no")
-    vulnerability = _st(VulnerabilityID="rule", ID="other_rule", Title="message", PkgName="package", InstalledVersion="version", FixedVersion="fixed", Severity="severity", CauseMetadata=cause, PkgIdentifier=_st(PURL=F.when(F.col("ecosystem").isNotNull(), F.concat(F.lit("pkg:"), "ecosystem", F.lit("/"), "package"))))
-    osv = _st(packageName=F.when(F.col("nth") != 3, F.col("package")), version="version", target="path", vulns=F.array(_st(id="rule"), _st(id=F.lit("GHSA"))))
-    low = F.col("nth") % 2 == 0
-    lint = _st(kind=F.when(low, F.col("rule")), Kind=F.when(~low, F.col("rule")), message="message", filepath="path", Line="line_no")
-    zizmor = _st(ident="rule", desc="message", determinations=_st(severity="severity"), locations=F.array(_st(file="path", start_line="line_no")))
-    sarif = _st(ruleId="rule", level="severity", message=_st(text="message"), locations=F.array(_st(physicalLocation=_st(artifactLocation=_st(uri="path"), region=_st(startLine="line_no")))))
-    part = _st(name="package", version="version", purl=F.concat(F.lit("pkg:npm/"), "package"))
-    facts = _facts(s, d) if kind is None else _facts(s, d).where(F.col("kind") == kind)
-    rows = facts.groupBy("repo_id", "report_id", "kind").agg(*(F.array_sort(F.collect_list(F.struct("nth", x.alias("r")))).alias(n) for n, x in (("trivy", vulnerability), ("osv", osv), ("lint", lint), ("zizmor", zizmor), ("sarif", sarif), ("parts", part))), F.first("path").alias("any_path"))
-    listed = {n: F.transform(n, lambda x: x["r"]) for n in ("trivy", "osv", "lint", "zizmor", "sarif", "parts")}
-    odd = F.transform(F.filter("trivy", lambda x: x["nth"] % 2 == 1), lambda x: x["r"])
-    even = F.transform(F.filter("trivy", lambda x: x["nth"] % 2 == 0), lambda x: x["r"])
-    shapes = (_st(Results=F.array(_st(Target=F.lit("web/package.json"), Vulnerabilities=even, Misconfigurations=odd))), _st(results=listed["osv"]), listed["lint"], listed["zizmor"], _st(Vulnerabilities=listed["trivy"]), _st(components=listed["parts"]), _st(runs=F.array(_st(results=listed["sarif"]))))
+    items, orders = (s.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "orders"))
+    facts = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).selectExpr(*(f"{FACTS[n]} AS {n}" for n in ("repo_id", "report_id", "kind")), f"struct({L}, {P}, l_quantity) AS item")
+    facts = facts if kind is None else facts.where(F.col("kind") == kind)
+    # numbers are grouped; texts are made of them afterwards, and only those of the report's own shape
+    rows = facts.groupBy("repo_id", "report_id", "kind").agg(F.collect_list("item").alias("items"))
+    of_item = {n: e.replace(K, "report_id").replace(P, f"x.{P}").replace(L, f"x.{L}").replace("l_quantity", "x.l_quantity") for n, e in FACTS.items() if n not in ("repo_id", "report_id", "kind")}
+    rows = rows.withColumn("facts", F.expr(f"transform(items, x -> struct({', '.join(f'{e} AS {n}' for n, e in of_item.items())}))"))
+    listed = lambda record: F.array_sort(F.transform("facts", lambda f: F.struct(f["nth"].alias("nth"), record(f).alias("r"))))
+    bare = lambda records: F.transform(records, lambda x: x["r"])
+    trivy, parts = listed(_vulnerability), listed(lambda f: _of(f, name="package", version="version", purl=F.concat(F.lit("pkg:npm/"), f["package"])))
+    osv = listed(lambda f: _of(f, packageName=F.when(f["nth"] != 3, f["package"]), version="version", target="path", vulns=F.array(_of(f, id="rule"), _st(id=F.lit("GHSA")))))
+    lint = listed(lambda f: _of(f, kind=F.when(f["nth"] % 2 == 0, f["rule"]), Kind=F.when(f["nth"] % 2 != 0, f["rule"]), message="message", filepath="path", Line="line_no"))
+    zizmor = listed(lambda f: _of(f, ident="rule", desc="message", determinations=_of(f, severity="severity"), locations=F.array(_of(f, file="path", start_line="line_no"))))
+    sarif = listed(lambda f: _of(f, ruleId="rule", level="severity", message=_of(f, text="message"), locations=F.array(_st(physicalLocation=_st(artifactLocation=_of(f, uri="path"), region=_of(f, startLine="line_no"))))))
+    odd, even = bare(F.filter(trivy, lambda x: x["nth"] % 2 == 1)), bare(F.filter(trivy, lambda x: x["nth"] % 2 == 0))
+    shapes = (_st(Results=F.array(_st(Target=F.lit("web/package.json"), Vulnerabilities=even, Misconfigurations=odd))), _st(results=bare(osv)), bare(lint), bare(zizmor), _st(Vulnerabilities=bare(trivy)), _st(components=bare(parts)), _st(runs=F.array(_st(results=bare(sarif)))))
     if kind is None:
         raw = F.to_json(shapes[6])
         for n, shape in enumerate(shapes[:6]):
@@ -91,13 +104,14 @@ def _npm(s, d):
 
 def _graph_reports(s, d):
     """Package graphs: a package depends on the next; every third result has no edges."""
-    rows = _facts(s, d)
-    name = F.concat(F.lit("g"), F.col("nth").cast("string"))
-    follows = F.concat(F.lit("g"), (F.col("nth") + 1).cast("string"), F.lit("@"), (F.col("nth") + 1).cast("string"))
-    package = _st(ID=F.concat(name, F.lit("@"), F.col("nth").cast("string")), Name=F.when(F.col("nth") % 2 == 0, name), Version=F.col("nth").cast("string"), Relationship=F.when(F.col("nth") == 1, "direct"), DependsOn=F.when(F.col("report_id") % 3 != 0, F.array(follows)))
-    grouped = rows.groupBy("repo_id", "report_id").agg(F.array_sort(F.collect_set(F.struct("nth", package.alias("p")))).alias("all"))
+    grouped = _facts(s, d).groupBy("repo_id", "report_id").agg(F.array_sort(F.collect_set("nth")).alias("all"))
+
+    def package(nth):
+        name, follows = F.concat(F.lit("g"), nth.cast("string")), F.concat(F.lit("g"), (nth + 1).cast("string"), F.lit("@"), (nth + 1).cast("string"))
+        return _st(ID=F.concat(name, F.lit("@"), nth.cast("string")), Name=F.when(nth % 2 == 0, name), Version=nth.cast("string"), Relationship=F.when(nth == 1, "direct"), DependsOn=F.when(F.col("report_id") % 3 != 0, F.array(follows)))
+
     target = F.when(F.col("report_id") % 4 == 0, "apps/none.lock").otherwise("../x")
-    return grouped.select("repo_id", "report_id", F.to_json(_st(Results=F.array(_st(Target=target, Packages=F.transform("all", lambda x: x["p"]))))).alias("raw"))
+    return grouped.select("repo_id", "report_id", F.to_json(_st(Results=F.array(_st(Target=target, Packages=F.transform("all", package))))).alias("raw"))
 
 
 def _packages(s, d):
