@@ -1,5 +1,6 @@
 """Plans of steps whose cost once grew faster than their input."""
 
+from triagelake.operators import dependencies
 from triagelake.plans import reports
 
 
@@ -7,6 +8,16 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def test_packages_of_reports_are_parsed_once_and_keys_merged_before_they_move(spark):
+    raw = '{"Results": [{"Target": "../x", "Packages": [{"ID": "a@1", "Name": "a", "Version": "1", "DependsOn": ["b@2"]}, {"ID": "b@2", "Name": "b", "Version": "2"}]}]}'
+    later = raw.replace('"2"}', '"3"}')
+    rows = spark.createDataFrame([("r", 2, later), ("r", 1, raw), ("r", 3, None)], "repo_id string, report_id int, raw string")
+    manifests = spark.createDataFrame([("r", "go.mod")], "repo_id string, path string")
+    graph = dependencies.package_graph(rows, manifests)
+    assert [tuple(r) for r in graph.collect()] == [("r", "go.mod", "a", "b", "2", None)]
+    assert "parse_json" not in plan(graph) and "Window" not in plan(graph)
+
+
 def test_reports_are_grouped_as_numbers(spark):
     made = reports._reports(spark, "/root/testdata/sf0.001")
     aggregates = [x for x in plan(made).splitlines() if "collect_list" in x]

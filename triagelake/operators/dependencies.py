@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import paths
 from triagelake.sources import reports as rp
+from triagelake.sources.shared import written
 
 #: Scopes of a package.json.
 SCOPES = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
@@ -42,6 +43,7 @@ def package_graph(reports: DataFrame, manifests: DataFrame) -> DataFrame:
     """repo_id, manifest, source_name, name, version, relationship: who depends on whom, each key once, the first report's.
 
     reports are (repo_id, report_id, raw). A result without edges lists its packages under its target instead.
+    Reports are parsed once, into written packages, and of a key that comes often each task shuffles one row.
     """
     value = rp.parsed(F.col("raw"))
     results = reports.select("repo_id", "report_id", F.posexplode(F.try_variant_get(value, "$.Results", "array<variant>")).alias("at", "result"))
@@ -53,6 +55,7 @@ def package_graph(reports: DataFrame, manifests: DataFrame) -> DataFrame:
         "repo_id", "report_id", "at", "nth", F.when(~target.rlike(r"^$|^\.\./|^/"), target).alias("target"), identifier.alias("id"), F.coalesce(rp.text(p, "$.Name"), package_name(identifier)).alias("package_name"), rp.text(p, "$.Name").alias("own_name"),
         rp.text(p, "$.Version").alias("package_version"), rp.text(p, "$.Relationship").alias("relationship"), F.coalesce(rp.text(p, "$.Identifier.PURL"), rp.text(p, "$.PkgIdentifier.PURL")).alias("purl"), F.try_variant_get(p, "$.DependsOn", "array<string>").alias("depends"),
     )
+    packages = written(packages, "report-packages")
     first_purl = packages.groupBy("repo_id", "report_id", "at").agg(F.min_by("purl", F.when(F.col("purl").isNotNull(), F.col("nth"))).alias("purl"), F.first("target").alias("path"))
     where = rp.placed(first_purl, manifests.where(F.col("path").rlike(GRAPH_MANIFESTS)), F.lit(True)).where("path IS NOT NULL").select("repo_id", "report_id", "at", F.col("path").alias("manifest"))
     packages = packages.join(where, ["repo_id", "report_id", "at"])
@@ -63,8 +66,9 @@ def package_graph(reports: DataFrame, manifests: DataFrame) -> DataFrame:
     graph = edges.select(*key, "nth", "edge", "manifest", F.col("package_name").alias("source_name"), "name", F.col("known.package_version").alias("version"), "relationship")
     listed = packages.where("package_name IS NOT NULL").join(edges.select(*key).distinct(), key, "left_anti")
     listed = listed.select(*key, "nth", F.lit(0).alias("edge"), "manifest", F.coalesce("target", "manifest").alias("source_name"), F.col("package_name").alias("name"), F.col("package_version").alias("version"), F.coalesce("relationship", F.lit("package_manifest")).alias("relationship"))
-    unique = Window.partitionBy("repo_id", "manifest", "source_name", "name", F.coalesce("relationship", F.lit(""))).orderBy("report_id", "at", "nth", "edge")
-    return graph.unionByName(listed).withColumn("first", F.row_number().over(unique)).where("first = 1").select("repo_id", "manifest", "source_name", "name", "version", "relationship")
+    unique = ["repo_id", "manifest", "source_name", "name", F.coalesce("relationship", F.lit("")).alias("related")]
+    first = F.min_by(F.struct("version", "relationship"), F.struct("report_id", "at", "nth", "edge"))
+    return graph.unionByName(listed).groupBy(*unique).agg(first.alias("first")).select("repo_id", "manifest", "source_name", "name", "first.version", "first.relationship")
 
 
 def suffixes(name: Column) -> Column:
