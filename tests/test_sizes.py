@@ -1,6 +1,6 @@
 """Plans of steps whose cost once grew faster than their input."""
 
-from triagelake.operators import dependencies
+from triagelake.operators import dependencies, extractors
 from triagelake.plans import reports
 
 
@@ -22,3 +22,13 @@ def test_reports_are_grouped_as_numbers(spark):
     made = reports._reports(spark, "/root/testdata/sf0.001")
     aggregates = [x for x in plan(made).splitlines() if "collect_list" in x]
     assert aggregates and all(x.count("collect_list(") <= 2 and "RULE-" not in x for x in aggregates)
+
+
+def test_lines_of_contracts_are_sorted_once_and_without_their_texts(spark):
+    texts = ["contract A {", "function f() {", 'b.call{value: 1}("");', "// says nothing", "balances[a] -= 1;", "}", "balances[b] -= 1;", "}"]
+    lines = spark.createDataFrame([("a.sol", k, t) for k, t in enumerate(texts)] + [("b.sol", 0, None)], "path string, line_no int, line string")
+    found = extractors.reentrant(lines)
+    assert [tuple(r) for r in found.collect()] == [("a.sol", "A", "f", 2, 4)]
+    assert [r["line_no"] for r in extractors.functions(lines).orderBy("line_no").collect()] == [1, 2, 3, 4, 5]
+    sorts = [x for x in plan(found).split("Initial Plan")[-1].splitlines() if " Sort [" in x or "+- Sort [" in x]
+    assert len(sorts) == 1

@@ -40,28 +40,44 @@ def imports(lines: DataFrame) -> DataFrame:
     return lines.select("path", "line_no", F.explode(packages(F.col("path"), F.col("line"))).alias("package")).distinct()
 
 
+def _marked(lines: DataFrame) -> DataFrame:
+    """lines with what functions are found by: step (braces opened less those closed), closes, named and contract_named."""
+    braces = lambda b: F.char_length("line") - F.char_length(F.replace("line", F.lit(b), F.lit("")))
+    some = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit(""))
+    return lines.withColumns({"step": braces("{") - braces("}"), "closes": F.col("line").contains("}"), "named": some(r"\bfunction\s+(\w+)"), "contract_named": some(r"\bcontract\s+(\w+)")})
+
+
+def _inside(marked: DataFrame, depth: int) -> DataFrame:
+    """Marked lines that lie in a function, with contract, function and start. All windows read one order, so lines are sorted once."""
+    in_order = Window.partitionBy("path").orderBy("line_no")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    deep = marked.withColumn("after", F.sum("step").over(so_far)).withColumn("contract", F.last("contract_named", ignorenulls=True).over(so_far)).drop("contract_named")
+    starts = F.col("named").isNotNull() & (F.col("after") - F.col("step") == depth)
+    head = F.last(F.when(starts, F.struct(F.col("named").alias("function"), F.col("line_no").alias("start"))), ignorenulls=True).over(so_far)
+    ends = F.when((F.col("after") <= depth) & F.col("closes"), F.col("line_no"))
+    ended = F.max(ends).over(in_order.rangeBetween(Window.unboundedPreceding, -1))
+    inside = deep.withColumns({"head": head, "ended": ended}).where("head IS NOT NULL AND (ended IS NULL OR ended < head.start)")
+    return inside.select("*", "head.*").drop("head", "ended", "named", "step", "after", "closes")
+
+
 def functions(lines: DataFrame, depth: int = 1) -> DataFrame:
     """lines of functions, with contract, function and the line it starts in.
 
     A function starts at brace depth `depth` and ends where the depth returns to it, so that what is nested
     in it belongs to it. The contract is the last one named before.
     """
-    braces = lambda b: F.char_length("line") - F.char_length(F.replace("line", F.lit(b), F.lit("")))
-    so_far = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.regexp_extract("line", r"\bfunction\s+(\w+)", 1)
-    contract = F.nullif(F.regexp_extract("line", r"\bcontract\s+(\w+)", 1), F.lit(""))
-    deep = lines.withColumn("step", braces("{") - braces("}")).withColumn("after", F.sum("step").over(so_far)).withColumn("contract", F.last(contract, ignorenulls=True).over(so_far))
-    starts = (name != "") & (F.col("after") - F.col("step") == depth)
-    head = F.last(F.when(starts, F.struct(name.alias("function"), F.col("line_no").alias("start"))), ignorenulls=True).over(so_far)
-    inside = deep.withColumn("head", head).where("head IS NOT NULL").select("*", "head.*").drop("head")
-    block = Window.partitionBy("path", "start")
-    end = F.min(F.when((F.col("after") <= depth) & F.col("line").contains("}"), F.col("line_no"))).over(block)
-    return inside.withColumn("end", end).where("end IS NULL OR line_no <= end").drop("step", "after")
+    return _inside(_marked(lines), depth)
 
 
 def reentrant(lines: DataFrame) -> DataFrame:
-    """path, contract, function, call_line, state_line: a balance changed in or after the line of a value call."""
-    at = lambda pattern: F.when(F.col("line").rlike(pattern), F.col("line_no"))
-    each = functions(lines).groupBy("path", "contract", "function", "start").agg(F.min(at(VALUE_CALL)).alias("call_line"), F.collect_list(at(STATE_CHANGE)).alias("states"))
+    """path, contract, function, call_line, state_line: a balance changed in or after the line of a value call.
+
+    Texts of lines are read before they are sorted, and lines that say nothing of this are left out.
+    """
+    calls, changes = F.col("line").rlike(VALUE_CALL), F.col("line").rlike(STATE_CHANGE)
+    marked = _marked(lines).withColumns({"calls": calls, "changes": changes}).select("path", "line_no", "step", "closes", "named", "contract_named", "calls", "changes")
+    marked = marked.where("step <> 0 OR closes OR calls OR changes OR named IS NOT NULL OR contract_named IS NOT NULL")
+    at = lambda flag: F.when(F.col(flag), F.col("line_no"))
+    each = _inside(marked, 1).where("calls OR changes").groupBy("path", "contract", "function", "start").agg(F.min(at("calls")).alias("call_line"), F.collect_list(at("changes")).alias("states"))
     later = F.array_min(F.filter("states", lambda x: x >= F.col("call_line")))
     return each.withColumn("state_line", later).where("state_line IS NOT NULL").select("path", "contract", "function", "call_line", "state_line")
