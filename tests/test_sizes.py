@@ -1,7 +1,7 @@
 """Plans of steps whose cost once grew faster than their input."""
 
 from triagelake.operators import dependencies, extractors
-from triagelake.plans import reports
+from triagelake.plans import graphs, reports
 
 
 def plan(frame):
@@ -32,3 +32,10 @@ def test_lines_of_contracts_are_sorted_once_and_without_their_texts(spark):
     assert [r["line_no"] for r in extractors.functions(lines).orderBy("line_no").collect()] == [1, 2, 3, 4, 5]
     sorts = [x for x in plan(found).split("Initial Plan")[-1].splitlines() if " Sort [" in x or "+- Sort [" in x]
     assert len(sorts) == 1
+
+
+def test_lines_are_searched_once_for_nodes_and_edges_of_the_merged_graph(spark, monkeypatch):
+    kept = graphs.once
+    monkeypatch.setattr(graphs, "once", lambda s, name, d, build: build() if name.startswith("merged-") else kept(s, name, d, build))
+    for part in graphs._merged_graph(spark, "/root/testdata/sf0.001"):
+        assert "matcher" not in plan(part)
