@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secrets(texts: DataFrame) -> DataFrame:
     """repo_id, path, line_no, rule_id, snippet: each match of each shape of secret in whole texts, by the line it starts in, redacted.
 
-    Texts are not split into lines first: key blocks, headers and assignments may span them.
+    Texts are not split into lines first: key blocks, headers and assignments may span them. Only texts with a word of a
+    shape are searched for it, and only those with a match are split at it.
     """
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    rows = texts.select("repo_id", "path", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    hits = F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(rule).alias("rule_id"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"), F.split("text", pattern).alias("between")) for k, (rule, pattern, _) in enumerate(fn.SECRETS)))
-    each = rows.select("repo_id", "path", "row", F.explode(hits).alias("hit")).where(F.size("hit.found") > 0)
-    each = each.select("repo_id", "path", "row", "hit.ord", "hit.rule_id", F.posexplode(F.arrays_zip("hit.found", "hit.between")).alias("nth", "x")).where(F.col("x.found").isNotNull())
+    low = F.lower(F.col("text").cast("string"))
+    may = [reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in fn.SECRET_WORDS[rule])) for rule, _, _ in fn.SECRETS]
+    rows = texts.select("repo_id", "path", F.col("text").cast("string").alias("text")).where(reduce(lambda a, b: a | b, may))
+    hits = (F.when(m, F.struct(F.lit(k).alias("ord"), F.lit(rule).alias("rule_id"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"))) for k, (m, (rule, pattern, _)) in enumerate(zip(may, fn.SECRETS)))
+    rows = rows.select("repo_id", "path", "text", F.filter(F.array(*hits), lambda h: F.size(h["found"]) > 0).alias("hits"), F.monotonically_increasing_id().alias("row"))
+    each = rows.select("repo_id", "path", "row", "text", F.explode("hits").alias("hit"))
+    between = reduce(lambda out, kv: out.when(F.col("hit.ord") == kv[0], F.split("text", kv[1][1])), enumerate(fn.SECRETS), F.when(F.lit(False), F.array().cast("array<string>")))
+    each = each.select("repo_id", "path", "row", "hit.ord", "hit.rule_id", F.posexplode(F.arrays_zip(F.col("hit.found").alias("found"), between.alias("between"))).alias("nth", "x")).where(F.col("x.found").isNotNull())
     so_far = Window.partitionBy("row", "ord").orderBy("nth")
     before = F.sum(breaks(F.col("x.between"))).over(so_far) + F.sum(breaks(F.col("x.found"))).over(so_far) - breaks(F.col("x.found"))
     return each.select("repo_id", "path", (before + 1).alias("line_no"), "rule_id", fn.without_secrets(F.col("x.found")).alias("snippet"))
