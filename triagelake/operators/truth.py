@@ -219,15 +219,31 @@ def source_url(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, "/$", ""), r"\.git$", "")
 
 
+#: Over how many parts the rows of one key are spread.
+SPREAD = 8
+
+
 def matched_repositories(assessments: DataFrame, expectations: DataFrame) -> DataFrame:
     """repo_id, expectation_id of assessments (repo_id, origin, local_path) and expectations (expectation_id, origin_url, local_suffix) of one repository.
 
     Their URLs are equal (source_url), or the local path ends with the suffix; an empty suffix ends every path. Both
-    are joins by equality: a path offers each of its endings as long as some suffix is. Nulls match nothing.
+    are one join by equality: a path offers each of its endings as long as some suffix is. Nulls match nothing.
+    Pairs grow with the square of a suffix's rows, so the rows of a key are spread over SPREAD parts, and only pairs of
+    expectations with several keys can meet twice: the others are not gathered to be made distinct.
     """
-    by_url = assessments.select("repo_id", source_url(F.col("origin")).alias("url")).join(expectations.select("expectation_id", source_url(F.col("origin_url")).alias("url")), "url").select("repo_id", "expectation_id")
-    asked = expectations.where("local_suffix IS NOT NULL").select("expectation_id", "local_suffix")
+    key = lambda kind, c: F.concat(F.lit(kind), c).alias("key")
+    asked = expectations.where("local_suffix IS NOT NULL")
     lengths = asked.select(F.length("local_suffix").alias("n")).distinct()
     paths = assessments.where("local_path IS NOT NULL").select("repo_id", "local_path", F.explode(F.sequence(F.lit(0), F.length("local_path"))).alias("n")).join(lengths, "n", "left_semi")
-    endings = paths.select("repo_id", F.substring("local_path", F.length("local_path") - F.col("n") + 1, F.col("n")).alias("local_suffix"))
-    return by_url.unionByName(endings.join(asked, "local_suffix").select("repo_id", "expectation_id")).distinct()
+    offered = paths.select("repo_id", key("end:", F.substring("local_path", F.length("local_path") - F.col("n") + 1, F.col("n")))).unionByName(assessments.where("origin IS NOT NULL").select("repo_id", key("url:", source_url(F.col("origin"))))).distinct()
+    wanted = asked.select("expectation_id", key("end:", F.col("local_suffix"))).unionByName(expectations.where("origin_url IS NOT NULL").select("expectation_id", key("url:", source_url(F.col("origin_url"))))).distinct()
+    several = wanted.groupBy(F.col("expectation_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    parts = int(assessments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    offered = offered.withColumn("part", F.pmod(F.xxhash64("repo_id", "key"), F.lit(SPREAD))).repartition(parts, "key", "part")
+
+    def pairs(of: DataFrame) -> DataFrame:
+        spread = of.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))).repartition(parts, "key", "part")
+        return offered.join(spread, ["key", "part"]).select("repo_id", "expectation_id")
+
+    by_several = F.col("expectation_id").eqNullSafe(F.col("id"))
+    return pairs(wanted.join(several, by_several, "left_anti")).unionByName(pairs(wanted.join(several, by_several, "left_semi")).distinct())
