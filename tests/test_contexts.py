@@ -32,3 +32,14 @@ def test_rows_are_distinct_before_they_are_texts(spark, tmp_path):
         assert made.columns == plain.columns and made.count() == plain.count() and made.exceptAll(plain).isEmpty(), name
         plan = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "simple")
         assert any("hashpartitioning(l_orderkey" in line for line in plan.splitlines()), name
+
+
+def test_nodes_are_the_ends_of_lines_shuffled_once(spark, tmp_path):
+    rows = [(o, n, p, s, "N") for o in (1, 2) for n in (1, 2, 3) for p in (3, 9, 11) for s in (1, 8)] * 2
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    ends = {(r["graph_id"], x) for r in assessments.table(spark, str(tmp_path), "edges").collect() for x in (r["from_id"], r["to_id"])}
+    made = assessments.nodes(spark, str(tmp_path))
+    assert sorted((r["graph_id"], r["node_id"]) for r in made.collect()) == sorted(ends)
+    assert sorted((r["graph_id"], r["node_id"]) for r in assessments.nodes(spark, str(tmp_path), only="node_id LIKE 'p%'").collect()) == sorted(x for x in ends if x[1].startswith("p"))
+    plan = spark._jvm.PythonSQLUtils.explainString(assessments.nodes(spark, str(tmp_path))._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange hashpartitioning") == 1, "edges are made distinct before their ends are"

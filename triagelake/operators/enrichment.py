@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import findings as fn
 from triagelake.functions import texts
+from triagelake.sources.shared import written
 
 from .quick import without_personal
 
@@ -143,6 +144,8 @@ def details(hypotheses: DataFrame, candidates: DataFrame, nodes: DataFrame, edge
     ids = ("finding_ids", "supporting_node_ids", "supporting_edge_ids", "contradicting_node_ids", "contradicting_edge_ids", "coverage_refs", "required_validation")
     own = hypotheses.select(*KEY, "candidate_id", "title", "status", "confidence", "state", "summary", "supporting_evidence_ids", "contradicting_evidence_ids")
     rows = own.join(candidates.select("graph_id", "candidate_id", "family", "rule_id", *(F.array_sort(F.array_distinct(c)).alias(c) for c in ids)), ["graph_id", "candidate_id"])
+    # each child list reads the rows again
+    rows = written(rows, "detail-rows")
     steps = recipes.select(*KEY, F.struct("recipe_id", "fixtures", "steps", "expected", "notes", "gaps").alias("recipe"))
     for children in (references(rows, nodes, edges), snippets(rows, findings, evidence), places(rows, nodes, evidence), steps):
         rows = rows.join(children, list(KEY), "left")
